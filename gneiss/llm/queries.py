@@ -14,6 +14,7 @@ from gneiss.llm.winnow import op5_fingerprints
 from gneiss.llm.quality import op6_quality
 from gneiss.llm.bpe import op7_byte_bpe
 from gneiss.llm.decontaminate import op8_decontamination
+from gneiss.llm.licenses import op10_licenses
 from gneiss.llm.sharding import op9_sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -26,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_byte_bpe": op7_byte_bpe,
     "op8_decontamination": op8_decontamination,
     "op9_sharding": op9_sharding,
+    "op10_licenses": op10_licenses,
 }
 
 ORACLE_SQL: dict[str, str] = {}
