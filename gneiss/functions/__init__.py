@@ -1 +1 @@
-
+"""Column functions: text, URLs, numbers, JSON, language and classification."""
