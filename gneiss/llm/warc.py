@@ -14,7 +14,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualNullSafe, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, IsNull, LessThan, LessThanOrEqual, Not, StringContains, StringEndsWith, StringStartsWith
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualNullSafe, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, IsNull, LessThan, LessThanOrEqual, StringContains, StringEndsWith, StringStartsWith
 
 from gneiss.llm.common import map_batches, prepare, shared_dir, table
 
@@ -54,11 +54,11 @@ def record_text(page_id: object, url: str | None, html: str | None, refers_to: o
 
 
 def write_archives(pages: DataFrame, path: str) -> None:
-    """Writes pages(page_id, url, html) as *.warc.txt files below path.
+    """Writes pages(page_id, url, html) as gzip-compressed WARC files below path.
 
     The smallest page_id of equal payloads is the response, the others revisit it (from REVISIT_FROM bytes on). A null
-    html is an empty payload, a null url an empty URI; a null page_id comes after all others; rows that repeat a
-    page_id and payload are told apart by a row number, the first being the response.
+    html is an empty payload, a null url an empty URI. A null page_id revisits the least one; without any, and where
+    rows repeat the least page_id with its payload, all of them are responses. An empty table gives no records.
     """
     prepare(pages.sparkSession)
     keyed = pages.select("page_id", "url", "html", F.sha2(F.coalesce("html", F.lit("")), 256).alias("digest"), F.octet_length(F.coalesce("html", F.lit(""))).alias("n"))
@@ -68,7 +68,7 @@ def write_archives(pages: DataFrame, path: str) -> None:
     def fn(cols: dict[str, list]) -> dict[str, list]:
         return {"value": [record_text(*r) for r in zip(cols["page_id"], cols["url"], cols["html"], cols["refers"])]}
 
-    map_batches(dealt.select("page_id", "url", "html", "refers"), fn, "value string").write.option("lineSep", EOL * 2).text(path)
+    map_batches(dealt.select("page_id", "url", "html", "refers"), fn, "value string").write.option("lineSep", EOL * 2).text(path, compression="gzip")
 
 
 class _File(InputPartition):
@@ -166,12 +166,10 @@ class WarcReader(DataSourceReader):
 
     def pushFilters(self, filters):
         for f in filters:
-            inner = f.child if isinstance(f, Not) else f
             if isinstance(f, PUSHED) and f.attribute[0] in COLUMNS and f.attribute[0] != "payload":
                 self.filters.append(f)
             else:
                 yield f
-            del inner
 
     def partitions(self):
         import pyarrow.fs as fs
@@ -187,6 +185,7 @@ class WarcReader(DataSourceReader):
         return [_File(p) for p in packed] or [_File([])]
 
     def read(self, partition):
+        import gzip
         import io
 
         import pyarrow.fs as fs
@@ -194,40 +193,8 @@ class WarcReader(DataSourceReader):
         store, _ = fs.FileSystem.from_uri(self.path)
         for p in partition.paths:
             with store.open_input_file(p) as f:
-                yield from read_records(io.BufferedReader(_Raw(f), 1 << 20), self.wanted, self.filters)
-
-
-def _raw_class():
-    import io
-
-    class Raw(io.RawIOBase):
-        """A pyarrow file as a raw stream: a seek within the buffer reads nothing, one beyond it skips bytes."""
-
-        def __init__(self, f):
-            self.f = f
-
-        def readable(self):
-            return True
-
-        def seekable(self):
-            return True
-
-        def seek(self, at, whence=0):
-            return self.f.seek(at, whence)
-
-        def tell(self):
-            return self.f.tell()
-
-        def readinto(self, b):
-            data = self.f.read(len(b))
-            b[: len(data)] = data
-            return len(data)
-
-    return Raw
-
-
-def _Raw(f):
-    return _raw_class()(f)
+                plain = gzip.GzipFile(fileobj=f) if p.endswith(".gz") else f
+                yield from read_records(io.BufferedReader(plain, 1 << 20), self.wanted, self.filters)
 
 
 class WarcSource(DataSource):
