@@ -2,18 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint, so that a loop's plan does not grow; in spark.checkpoint.dir, or for tests in a folder of its own."""
-    context = df.sparkSession.sparkContext
-    if not context.getConf().get("spark.checkpoint.dir", None) and context.getCheckpointDir() is None:
-        context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='gneiss-loops-')}")
-    return df.checkpoint()
+from gneiss.shared import dropped, written
 
 
 def undirected(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -34,21 +26,23 @@ def expand(edges: DataFrame, a: str, b: str, roots: DataFrame, hops: int) -> Dat
     front = seen
     for h in range(1, hops + 1):
         new = both.join(front.select(F.col("node").alias("a")), "a").select(F.col("b").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("hop", F.lit(h))
-        front = _cut(new)
+        front = written(new, "front")
         seen = seen.unionByName(front)
     return seen
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component): the least node that each node is connected with; every round also takes the label's label."""
-    both = _cut(undirected(edges, a, b))
-    label = _cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "node"))
+    both = written(undirected(edges, a, b), "links")
+    label = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "node"), "labels")
     while True:
-        near = both.join(label.select(F.col("node").alias("b"), F.col("label").alias("l")), "b").groupBy("a").agg(F.min("l").alias("near"))
+        near = both.join(label.select(F.col("node").alias("b"), F.col("label").alias("_l")), "b").groupBy("a").agg(F.min("_l").alias("near"))
         step = label.join(near, label["node"] == near["a"]).select("node", F.least("label", "near").alias("label"), F.col("label").alias("was"))
         beyond = step.select(F.col("node").alias("label"), F.col("label").alias("beyond"))
-        label = _cut(step.join(beyond, "label").select("node", F.least("label", "beyond").alias("label"), (F.least("label", "beyond") != F.col("was")).alias("moved")))
-        if label.filter("moved").isEmpty():
+        new = written(step.join(beyond, "label").select("node", F.least("label", "beyond").alias("label"), (F.least("label", "beyond") != F.col("was")).alias("moved")), "labels")
+        dropped(label)
+        label = new.select("node", "label")
+        if new.filter("moved").isEmpty():
             return label.select("node", F.col("label").alias("component"))
 
 
@@ -66,12 +60,13 @@ def largest_component(edges: DataFrame, a: str, b: str) -> DataFrame:
 
 def k_core(edges: DataFrame, a: str, b: str, k: int) -> DataFrame:
     """Nodes of the k-core with their degree in it: nodes with under k neighbours leave until none does."""
-    both = _cut(undirected(edges, a, b))
+    both = written(undirected(edges, a, b), "links")
     while True:
         keep = both.groupBy("a").agg(F.count("*").alias("n")).filter(F.col("n") >= k).select("a")
-        rest = _cut(both.join(keep, "a", "left_semi").join(keep.withColumnRenamed("a", "b"), "b", "left_semi").select("a", "b"))
+        rest = written(both.join(keep, "a", "left_semi").join(keep.withColumnRenamed("a", "b"), "b", "left_semi").select("a", "b"), "links")
         if rest.count() == both.count():
             return rest.groupBy("a").agg(F.count("*").alias("degree")).withColumnRenamed("a", "node")
+        dropped(both)
         both = rest
 
 

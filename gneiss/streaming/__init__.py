@@ -1 +1 @@
-
+"""Structured Streaming: ingestion by id, bursts, per-key queues."""
