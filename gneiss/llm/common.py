@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 
@@ -12,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gneiss.shared import shared_dir, written
+
 PACKAGE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 #: Texts in one Arrow batch; with long texts a batch stays at some tens of MB.
 BATCH_ROWS = 1000
@@ -39,32 +40,12 @@ def prepare(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); only where it is unset, one for tests."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.conf.get("gneiss.local.shared", None)
-        if not found:
-            found = f"file://{tempfile.mkdtemp(prefix='gneiss-shared-')}"
-            spark.conf.set("gneiss.local.shared", found)
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
 def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the shared folder: later steps neither recompute df nor depend on one executor."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder (smaller than a checkpoint)."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/gneiss/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_or_empty(c: str = "text") -> Column:
     return F.coalesce(F.col(c).cast("string"), F.lit(""))
 

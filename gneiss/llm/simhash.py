@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gneiss.llm.common import cut, map_batches, prepare, table
+from gneiss.shared import dropped, written
 
 SHINGLE, SEED, BITS, RADIUS = 3, 42, 64, 3
 #: Fingerprints in the sample that the plan is made from, and those of it that are compared pair by pair.
@@ -63,8 +64,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 def correlated_groups(fps: np.ndarray, m: int) -> list[list[int]]:
     """The 64 bits in m groups of about equal width, correlated ones together."""
     bits = ((fps[:, None] >> np.arange(BITS, dtype=np.uint64)) & _ONE).astype(np.float64)
-    spread = bits.std(0)
-    z = (bits - bits.mean(0)) / np.where(spread > 0, spread, 1)
+    spread = bits.std(0) if len(bits) else np.zeros(BITS)
+    z = (bits - (bits.mean(0) if len(bits) else 0)) / np.where(spread > 0, spread, 1)
     c = np.abs(z.T @ z) / max(len(fps), 1)
     np.fill_diagonal(c, 0)
     free, groups = set(range(BITS)), []
@@ -222,18 +223,19 @@ def components(edges: DataFrame) -> DataFrame:
     """(fp, root) of every end of edges(a, b): the least fingerprint it is connected with.
 
     Every round takes the least label among neighbours and then the label's label, so rounds grow with the logarithm
-    of the longest chain; each round ends in a checkpoint.
+    of the longest chain. Each round's labels are a written table, so plans and their estimates do not grow.
     """
-    both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    label = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).withColumnRenamed("a", "fp"))
+    both = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
+    label = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).withColumnRenamed("a", "fp"), "labels")
     while True:
-        near = both.join(label.select(F.col("fp").alias("b"), F.col("root").alias("r")), "b").groupBy("a").agg(F.min("r").alias("near"))
+        near = both.join(label.select(F.col("fp").alias("b"), F.col("root").alias("_l")), "b").groupBy("a").agg(F.min("_l").alias("near"))
         step = label.join(near, label["fp"] == near["a"]).select("fp", F.least("root", "near").alias("root"), F.col("root").alias("was"))
-        jump = step.select(F.col("fp").alias("root"), F.col("root").alias("beyond"))
-        label = cut(step.join(jump, "root").select("fp", F.least("root", "beyond").alias("root"), (F.least("root", "beyond") != F.col("was")).alias("moved")))
-        if not label.filter("moved").limit(1).count():
-            return label.select("fp", "root")
-        label = label.select("fp", "root")
+        beyond = step.select(F.col("fp").alias("root"), F.col("root").alias("beyond"))
+        new = written(step.join(beyond, "root").select("fp", F.least("root", "beyond").alias("root"), (F.least("root", "beyond") != F.col("was")).alias("moved")), "labels")
+        dropped(label)
+        label = new.select("fp", "root")
+        if new.filter("moved").isEmpty():
+            return label
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
