@@ -127,7 +127,7 @@ def _with_next(docs: DataFrame) -> DataFrame:
     n = docs.count()
     ranges = max(LEAST_RANGES, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // RANGE_ROWS))
     at = [i / ranges for i in range(1, ranges)]
-    bounds = sorted(set(docs.agg(F.percentile_approx("doc_id", F.array(*map(F.lit, at)), F.lit(100 * ranges)).alias("b")).first()["b"] or []))
+    bounds = sorted(set(docs.agg(F.percentile_approx("doc_id", F.array(*map(F.lit, at)), F.lit(max(10_000, 20 * ranges))).alias("b")).first()["b"] or []))
     number = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(_place(F.col("doc_id"), bounds)).cast("int")
     # Every head row is the least (doc_id, text hash) of its range; one of equal rows stands for all.
     heads = ids.withColumn("range", number).groupBy("range").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("k"), F.col("doc_id"), F.col("h"))).alias("s")).orderBy("range").collect()
