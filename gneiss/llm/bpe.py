@@ -33,6 +33,8 @@ LATER_LETTERS = (
 LATER_NUMBERS = "11DE0-11DE9 1246F 12475-1247F 12550-12686 16FF4-16FF6"
 #: States, and pieces with their output, that a worker keeps; at this many it starts over.
 MOST_STATES, MOST_PIECES = 400_000, 300_000
+#: Pairs of tokens whose verdict it keeps.
+MOST_PAIRS = 500_000
 #: Above every rank.
 NONE = 1 << 40
 
@@ -116,6 +118,8 @@ class MergeTransducer:
             return (whole,)
         if len(self.states) > MOST_STATES:
             self._reset()
+        if len(self.pairs) > MOST_PAIRS:
+            self.pairs.clear()
         out: tuple[int, ...] = ()
         state, moves = 0, self.moves
         for byte in piece:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import zipfile
@@ -63,7 +66,7 @@ def map_batches(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]],
                 out = fn({n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)})
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in kind], schema=kind)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def filter_batches(df: DataFrame, keep: Callable[[dict[str, list]], list[bool]]) -> DataFrame:
@@ -74,20 +77,37 @@ def filter_batches(df: DataFrame, keep: Callable[[dict[str, list]], list[bool]])
             if b.num_rows:
                 yield b.filter(pa.array(keep({"text": b.column(b.schema.get_field_index("text")).to_pylist()}), pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(lean(run), df.schema)
 
 
 _LOADED: dict[str, object] = {}
+_USED: set[str] = set()
 
 
 def once(key: str, make: Callable[[], object]) -> object:
-    """One object per Python worker and key, kept across tasks (the newest few keys)."""
+    """One object per Python worker and key, kept across tasks as long as they use it."""
+    _USED.add(key)
     if key not in _LOADED:
-        while len(_LOADED) >= 4:
-            _LOADED.pop(next(iter(_LOADED)))
         _LOADED[key] = make()
     return _LOADED[key]
 
 
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run as a task's function, after which the worker gives up the objects of once() that it did not use: workers are
+    reused, and the tables of one operator should not stay in memory while another one runs."""
 
-__all__ = ["cut", "filter_batches", "map_batches", "once", "prepare", "shared_dir", "table", "text_or_empty", "written"]
+    def task(batches: Iterator) -> Iterator:
+        _USED.clear()
+        yield from run(batches)
+        unused = [k for k in _LOADED if k not in _USED]
+        for k in unused:
+            del _LOADED[k]
+        if unused:
+            gc.collect()
+            with contextlib.suppress(OSError, AttributeError):  # glibc only
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return task
+
+
+__all__ = ["cut", "filter_batches", "lean", "map_batches", "once", "prepare", "shared_dir", "table", "text_or_empty", "written"]

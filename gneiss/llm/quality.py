@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import cut, map_batches, prepare, table
+from gneiss.llm.common import cut, lean, map_batches, prepare, table
 
 FOLDS = 5
 #: Of the folds a fit may use, the one whose rows calibrate.
@@ -120,7 +120,7 @@ def fit(stats: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mo
             total += np.hstack([a.T @ a, (a.T @ y)[:, None]])
         yield pa.RecordBatch.from_pydict({"s": pa.array([total.tobytes()], pa.binary())})
 
-    parts = rows.filter(F.col("fold") != CALIBRATION_FOLD).select("x", "y").mapInArrow(sums, "s binary").collect()
+    parts = rows.filter(F.col("fold") != CALIBRATION_FOLD).select("x", "y").mapInArrow(lean(sums), "s binary").collect()
     total = sum(np.frombuffer(bytes(r["s"])).reshape(WAVES + 1, WAVES + 2) for r in parts)
     beta = np.linalg.solve(total[:, :-1] + RIDGE * np.eye(WAVES + 1), total[:, -1])
     model = Model(mean, scale, waves, phases, beta, None, None)

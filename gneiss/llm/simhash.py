@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import cut, map_batches, prepare, table
+from gneiss.llm.common import cut, lean, map_batches, prepare, table
 from gneiss.shared import dropped, written
 
 SHINGLE, SEED, BITS, RADIUS = 3, 42, 64, 3
@@ -215,8 +215,8 @@ def link_fingerprints(nodes: DataFrame) -> DataFrame:
         if len(held[0]):
             yield given(held)
 
-    rows = nodes.select("fp").mapInArrow(listed, "key long, fp long, probing boolean")
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(verified, "a long, b long").distinct()
+    rows = nodes.select("fp").mapInArrow(lean(listed), "key long, fp long, probing boolean")
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(lean(verified), "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

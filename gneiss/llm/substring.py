@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import map_batches, prepare, table, written
+from gneiss.llm.common import lean, map_batches, prepare, table, written
 from gneiss.llm.winnow import gram_hashes
 
 WINDOW, ANCHOR = 35, 8
@@ -178,7 +178,7 @@ def _segments(keyed: DataFrame) -> DataFrame:
             if parts:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(f.type.to_pandas_dtype())) for c, f in zip(zip(*parts), schema)], schema=schema)
 
-    return keyed.select(F.col("text").cast("binary"), "gneiss_r1", "gneiss_r2").mapInArrow(run, "key long, seg long, r1 long, r2 long, first int, last int, weight int")
+    return keyed.select(F.col("text").cast("binary"), "gneiss_r1", "gneiss_r2").mapInArrow(lean(run), "key long, seg long, r1 long, r2 long, first int, last int, weight int")
 
 
 def _cut_texts(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -231,7 +231,7 @@ def _automata(groups: DataFrame) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
-    return dealt.mapInArrow(run, "key long, seg long, spans array<array<int>>")
+    return dealt.mapInArrow(lean(run), "key long, seg long, spans array<array<int>>")
 
 
 def _windows(texts: DataFrame) -> DataFrame:
@@ -329,7 +329,7 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
                 cols["n_chars"] = pa.array([len(t) if s else n for t, s, n in zip(texts, spans, was)], b.schema.field("n_chars").type)
             yield pa.RecordBatch.from_arrays([cols[n] for n in names], names=names)
 
-    return _with_spans(docs).select(*names, "gneiss_spans").mapInArrow(run, docs.schema)
+    return _with_spans(docs).select(*names, "gneiss_spans").mapInArrow(lean(run), docs.schema)
 
 
 def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:

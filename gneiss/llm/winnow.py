@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import prepare, table, text_or_empty
+from gneiss.llm.common import lean, prepare, table, text_or_empty
 
 K, W = 32, 97
 #: An odd multiplier of the rolling hash and the mixing steps' constants (fixed values).
@@ -174,7 +174,7 @@ def compare_edits(docs: DataFrame) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
 
-    return _with_next(docs).mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double").select(names)
+    return _with_next(docs).mapInArrow(lean(run), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double").select(names)
 
 
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
