@@ -16,6 +16,7 @@ from gneiss.llm.bpe import op7_byte_bpe
 from gneiss.llm.decontaminate import op8_decontamination
 from gneiss.llm.licenses import op10_licenses
 from gneiss.llm.sharding import op9_sharding
+from gneiss.llm.sql import ORACLE_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
@@ -30,4 +31,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_licenses": op10_licenses,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
