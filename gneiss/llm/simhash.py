@@ -19,6 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gneiss.llm.alike import drop_near_duplicates  # noqa: F401  (the pipeline's stage)
 from gneiss.llm.common import cut, lean, map_batches, prepare, table
 from gneiss.shared import dropped, written
 
@@ -253,19 +254,5 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component: that of the least doc_id; columns unchanged.
-
-    Of rows that repeat a kept doc_id one stays; if all doc_ids of a component are null, they all stay.
-    """
-    found = cut(near_duplicates(docs))
-    kept = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id")
-    nameless = docs.filter(F.col("doc_id").isNull()) if not found.filter(F.col("component_id").isNull()).isEmpty() else None
-    out = docs.join(kept.distinct(), "doc_id", "left_semi")
-    if kept.count() > kept.distinct().count():
-        out = out.dropDuplicates(["doc_id"])
-    return out if nameless is None else out.unionByName(nameless)
-
-
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
