@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from gneiss.llm.common import lean, prepare, table, text_or_empty
 
-K, W = 32, 97
+K, W = 16, 15
 #: An odd multiplier of the rolling hash and the mixing steps' constants (fixed values).
 BASE = np.array([0x9E3779B97F4A7C15], np.uint64)
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -55,7 +55,7 @@ def gram_hashes(points: np.ndarray, k: int = K) -> np.ndarray:
         h, power, width = h[:m] * power + h[width : width + m], power * power, 2 * width
 
 
-def window_least(h: np.ndarray, w: int = W) -> np.ndarray:
+def window_least(h: np.ndarray, w: int = 97) -> np.ndarray:
     """Positions of the rightmost least value of each window of w, without repeats, ascending.
 
     Value (44 bits) and place from the right share a word, so that one sliding minimum settles ties; texts of more

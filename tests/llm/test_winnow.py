@@ -58,3 +58,11 @@ def test_repeated_and_null_ids(make):
     lone = win.compare_edits(make([(4, "alone here")])).collect()
     assert len(lone) == 1 and lone[0]["near_next"] == 1.0
     assert win.compare_edits(make([])).count() == 0
+
+
+def test_half_edited_short_texts_share_a_hash():
+    r = random.Random(4)
+    for n in range(60, 301):
+        text, after = ("".join(r.choice("abcdefgh ") for _ in range(n)) for _ in range(2))
+        a, b = win.fingerprint(text), win.fingerprint(win.edited(text, after))
+        assert win.likeness(a[0], b[0]) > 0
