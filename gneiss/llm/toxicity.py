@@ -24,7 +24,7 @@ GRADES = 4
 #: A row is rejected from this P(grade > 0) on.
 REJECT = 0.5
 STEPS, RATE, RIDGE = 400, 0.1, 3e-6
-#: A feature's share of toxic rows is at least this many times that of all rows.
+#: A feature's share of toxic rows is at least this many times that of all rows, or half-way from that to 1 if this is less.
 LIFT = 2
 STRIP = ".,!?;:*%$&#|\"'()[]{}<>=+-_/\\~`^@"
 #: Tokens whose features a worker remembers.
@@ -130,7 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
     counted = map_batches(sample, count, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).filter(F.col("toxic") >= LEAST_ROWS)
     n = F.col("toxic") + F.col("clean")
     excess = (F.col("toxic") - share * n) / F.sqrt(share * (1 - share) * n)
-    best = counted.withColumn("excess", excess).filter((F.col("excess") > 3) & (F.col("toxic") >= LIFT * share * n)).orderBy(F.desc("excess"), "feature").limit(FEATURES).collect()
+    best = counted.withColumn("excess", excess).filter((F.col("excess") > 3) & (F.col("toxic") >= min(LIFT * share, (1 + share) / 2) * n)).orderBy(F.desc("excess"), "feature").limit(FEATURES).collect()
     if not best:
         return Model({}, [700.0] * 3)
     index = {r["feature"]: i for i, r in enumerate(best)}

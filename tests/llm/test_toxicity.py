@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from gneiss.llm import toxicity as tox
 
@@ -54,3 +55,15 @@ def test_thresholds_share_weights():
     rows = [np.array(sorted({int(g), 4 + int(r.integers(0, 3))})) for g in grades]
     w, theta = tox.fit_ordinal(rows, grades, 7)
     assert w[0] < w[1] < w[2] < w[3] and list(theta) == sorted(theta)
+
+
+@pytest.mark.parametrize("tenths", [4, 6, 8])
+def test_many_or_most_labels_toxic(spark, make, prose, tenths):
+    rows, labels = [], []
+    for i in range(600):
+        bad = i // 5 % 10 < tenths
+        rows.append((i, prose(30, i) + (f" {['grobian', 'flegelhaft', 'flegelig'][i % 3]} " + prose(5, 700 + i) if bad else "")))
+        labels.append((i, 1, int(bad)))
+    model = tox.fit(make(rows), spark.createDataFrame([x for x in labels if x[0] % 5], "doc_id long, quality int, toxic int"))
+    got = {r["doc_id"]: r["toxic"] for r in tox.score(make(rows), model).collect()}
+    assert not [i for i, _, t in labels if i % 5 == 0 and got[i] != bool(t)]
