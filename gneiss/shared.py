@@ -9,30 +9,46 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where it is unset, one of this session's own, as in tests."""
+    """The folder in spark.checkpoint.dir; where it is unset, one of this session's own, which only a local master can use."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
         found = spark.conf.get("gneiss.local.shared", None)
         if not found:
+            if not spark.sparkContext.master.split("[")[0] == "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             found = f"file://{tempfile.mkdtemp(prefix='gneiss-shared-')}"
             spark.conf.set("gneiss.local.shared", found)
             spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder for files that go when the application ends."""
+    path = f"{shared_dir(spark)}/gneiss/{name}-{uuid.uuid4().hex}"
+    _store(spark, path).deleteOnExit(_path(spark, path))
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: reading it needs neither df's plan nor the executors that made it."""
+    """df as a Parquet table in the shared folder: reading it needs neither df's plan nor the executors that made it.
+    The table goes with dropped(), at the latest when the application ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/gneiss/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _path(spark: SparkSession, name: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(name)
+
+
+def _store(spark: SparkSession, name: str):
+    return _path(spark, name).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
 def dropped(df: DataFrame) -> None:
     """Removes the files of a table made by written() that nothing reads any more."""
     spark = df.sparkSession
-    jvm = spark._jvm
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if "/gneiss/" in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+            _store(spark, folder).delete(_path(spark, folder), True)

@@ -20,7 +20,7 @@ def duck(sf):
 
 
 def value(x):
-    if x is None or x is pd.NaT or (isinstance(x, float) and math.isnan(x)):
+    if x is None or x is pd.NaT or x is pd.NA or (isinstance(x, float) and math.isnan(x)):
         return ""
     if isinstance(x, float):
         return repr(round(x, 5) + 0.0).removesuffix(".0")
