@@ -147,7 +147,11 @@ def _utf8_step(state: tuple[int, int, int], byte: int) -> tuple[tuple[int, int,
 
 
 class StreamDecoder:
-    """ids to bytes, one id after the other; characters may span ids. Transitions (state, id) are kept once made."""
+    """ids to bytes by the UTF-8 state machine, some ids after others: a character goes out as its last byte comes in.
+
+    Bytes of a character begun are held until it is whole, in whichever later call; bytes that fit no character go out
+    as they are, and are remembered in well. Moves (state, id) are kept once made.
+    """
 
     START = (0, 0, 0)
 
@@ -155,35 +159,58 @@ class StreamDecoder:
         self.bytes_of = [b""] * (max(ranks.values(), default=-1) + 1)
         for b, i in ranks.items():
             self.bytes_of[i] = b
-        self.between = [self._whole(b) for b in self.bytes_of]
+        # Of usual tokens, which start and end between characters: their bytes; they leave the machine where it was.
+        self.whole = [b if b and self._walk(self.START, 0, b) == (self.START, True, 0) else None for b in self.bytes_of]
         self.moves: dict[tuple, tuple] = {}
+        self.begin()
 
-    def _walk(self, state: tuple[int, int, int], token: bytes) -> tuple[tuple[int, int, int], bool]:
-        ok = True
-        for byte in token:
-            state, fits = _utf8_step(state, byte)
-            ok &= fits
-        return state, ok
+    def begin(self) -> None:
+        self.state, self.held, self.well = self.START, b"", True
 
-    def _whole(self, token: bytes) -> bool:
-        """It starts and ends between characters: the usual token, which leaves the machine where it was."""
-        return self._walk(self.START, token) == (self.START, True)
+    def _walk(self, state: tuple[int, int, int], begun: int, token: bytes) -> tuple[tuple[int, int, int], bool, int]:
+        """From a state with begun bytes held: the state after token, whether all bytes fit, and how many to hold then."""
+        ok, start = True, -begun
+        for at, byte in enumerate(token):
+            if not state[0]:
+                start = at
+            state, fits = _utf8_step(state, byte)
+            if not fits:
+                ok, start = False, at
+                state, _ = _utf8_step(self.START, byte)  # a character broken off: this byte may begin one
+        return state, ok, len(token) - start if state[0] else 0
+
+    def feed(self, ids: list[int]) -> bytes:
+        """The bytes of all characters that are complete with these ids."""
+        whole, out = self.whole, []
+        for i in ids:
+            if not self.held and whole[i] is not None:
+                out.append(whole[i])
+                continue
+            at = (self.state, len(self.held), i)
+            move = self.moves.get(at)
+            if move is None:
+                if len(self.moves) > MOST_STATES:
+                    self.moves.clear()
+                move = self.moves[at] = self._walk(self.state, len(self.held), self.bytes_of[i])
+            self.state, ok, hold = move
+            self.well = self.well and ok
+            ready = self.held + self.bytes_of[i]
+            out.append(ready[: len(ready) - hold])
+            self.held = ready[len(ready) - hold :]
+        return b"".join(out)
+
+    def end(self) -> tuple[bytes, bool]:
+        """What is held of a character that never ended, and whether all was well-formed; the machine begins anew."""
+        last = self.held, self.well and not self.held
+        self.begin()
+        return last
 
     def decode(self, ids: list[int]) -> tuple[bytes, bool]:
-        """All bytes, and whether they are well-formed UTF-8."""
-        bytes_of, state, well = self.bytes_of, self.START, True
-        if not all(map(self.between.__getitem__, ids)):
-            for i in ids:
-                if state is self.START and self.between[i]:
-                    continue
-                move = self.moves.get((state, i))
-                if move is None:
-                    after, ok = self._walk(state, bytes_of[i])
-                    move = self.moves[(state, i)] = (self.START if after == self.START else after, ok)
-                    if len(self.moves) > MOST_STATES:
-                        self.moves.clear()
-                state, well = move[0], well and move[1]
-        return b"".join(map(bytes_of.__getitem__, ids)), well and state is self.START
+        """All bytes of one sequence, and whether they are well-formed UTF-8."""
+        self.begin()
+        out = self.feed(ids)
+        rest, well = self.end()
+        return out + rest, well
 
 
 def exact_pattern(pattern: str) -> str:

@@ -18,7 +18,7 @@ from gneiss.shared import shared_dir, written
 
 PACKAGE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 #: Texts in one Arrow batch; with long texts a batch stays at some tens of MB.
-BATCH_ROWS = 1000
+BATCH_ROWS = 250
 _SHIPPED: set[str] = set()
 
 
@@ -43,6 +43,24 @@ def prepare(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+#: A key is hot if it has more than one in this many of all rows, so that there are fewer hot keys than this.
+HOT_ONE_IN = 1000
+
+
+def hot_join(rows: DataFrame, named: DataFrame, keys: list[str], count: str, how: str = "inner") -> DataFrame:
+    """rows joined with named (one row for each value of keys), without sending all rows of a hot value to one task.
+
+    named[count] is how many of rows have the value. The values with more than 1/HOT_ONE_IN of all counted rows, which
+    are fewer than HOT_ONE_IN, are broadcast; only the other rows are shuffled. how is inner or left; keys are not null.
+    """
+    total = named.agg(F.coalesce(F.sum(count), F.lit(0)).alias("n")).first()["n"]
+    hot = F.col(count) * HOT_ONE_IN > F.lit(total)
+    few = named.filter(hot).drop(count)
+    marks = F.broadcast(few.select(*keys))
+    usual = rows.join(marks, keys, "left_anti").join(named.filter(~hot).drop(count), keys, how)
+    return usual.unionByName(rows.join(F.broadcast(few), keys))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the shared folder: later steps neither recompute df nor depend on one executor."""
     shared_dir(df.sparkSession)
@@ -110,4 +128,4 @@ def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     return task
 
 
-__all__ = ["cut", "filter_batches", "lean", "map_batches", "once", "prepare", "shared_dir", "table", "text_or_empty", "written"]
+__all__ = ["cut", "filter_batches", "hot_join", "lean", "map_batches", "once", "prepare", "shared_dir", "table", "text_or_empty", "written"]

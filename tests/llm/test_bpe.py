@@ -78,6 +78,28 @@ def test_decoder_state_machine(ranks):
         assert codec.decode([byte(b) for b in bad]) == (bad, False)
 
 
+def test_decoding_in_parts_at_every_split(ranks):
+    codec, byte = bpe.Codec(ranks, P.PATTERN), lambda b: ranks[bytes((b,))]
+    for text in ("aé日😀z", "no 日本語 here", "🏳️‍🌈"):
+        for ids in (codec.encode(text), [byte(b) for b in text.encode()]):
+            for cut in range(len(ids) + 1):
+                d = bpe.StreamDecoder(ranks)
+                first = d.feed(ids[:cut])
+                first.decode()  # only whole characters go out
+                second = d.feed(ids[cut:])
+                assert (first + second).decode() == text
+                assert d.end() == (b"", True)
+
+
+def test_a_character_that_never_ends_is_held(ranks):
+    byte = lambda b: ranks[bytes((b,))]
+    d = bpe.StreamDecoder(ranks)
+    assert d.feed([byte(b) for b in b"a\xe6\x97"]) == b"a"
+    assert d.end() == (b"\xe6\x97", False)
+    assert d.feed([byte(b) for b in b"\xe6b\xc3\xa9"]) == "".join(["\ufffdb", "é"]).encode().replace("\ufffd".encode(), b"\xe6")
+    assert d.end() == (b"", False)
+
+
 def test_query_rows(make, reference):
     rows = [(1, "The end."), (2, None), (3, ""), (1, "The end."), (None, "é" * 3000)]
     got = sorted((tuple(r) for r in bpe.encode_decode(make(rows)).collect()), key=str)
