@@ -19,8 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gneiss.llm.alike import drop_near_duplicates  # noqa: F401  (the pipeline's stage)
-from gneiss.llm.common import cut, lean, map_batches, prepare, table
+from gneiss.llm.common import cut, hot_join, lean, map_batches, prepare, table
 from gneiss.shared import dropped, written
 
 SHINGLE, SEED, BITS, RADIUS = 3, 42, 64, 3
@@ -156,33 +155,63 @@ def neighbours(keys: np.ndarray, fps: np.ndarray, probing: np.ndarray) -> Iterat
         d += 1
 
 
+class Forest:
+    """The links that first connect fingerprints; others add nothing."""
+
+    def __init__(self):
+        self.root: dict[int, int] = {}
+        self.edges: list[tuple[int, int]] = []
+
+    def top(self, x: int) -> int:
+        root = self.root
+        while root.get(x, x) != x:
+            root[x] = x = root.get(root[x], root[x])
+        return x
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        for x, y in zip(a.tolist(), b.tolist()):
+            p, q = self.top(x), self.top(y)
+            if p != q:
+                self.root[max(p, q)] = min(p, q)
+                self.edges.append((signed(x), signed(y)))
+
+
+def grown(fps: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links that connect all that links within RADIUS connect among distinct fps: from one on, all that are near and
+    not yet reached are reached, so that a dense group costs a few passes and no list of its pairs."""
+    left = np.unique(fps)
+    while len(left):
+        edge, left = [left[0]], left[1:]
+        while edge and len(left):
+            x = np.uint64(edge.pop())
+            near = np.bitwise_count(left ^ x) <= RADIUS
+            if near.any():
+                yield np.full(int(near.sum()), x, np.uint64), left[near]
+                edge += left[near].tolist()
+                left = left[~near]
+
+
 def links(keys: np.ndarray, fps: np.ndarray, probing: np.ndarray) -> list[tuple[int, int]]:
     """A spanning forest of the links in sorted buckets; large buckets are split by each quarter of the bits first."""
     starts = np.flatnonzero(np.diff(keys, prepend=keys[:1] + _ONE)) if len(keys) else np.zeros(0, int)
     sizes = np.diff(np.append(starts, len(keys)))
     large = np.repeat(sizes > LARGE, sizes)
-    found = list(neighbours(keys[~large], fps[~large], probing[~large]))
+    forest = Forest()
+    for a, b in neighbours(keys[~large], fps[~large], probing[~large]):
+        forest.add(a, b)
     for q in range(RADIUS + 1) if large.any() else ():
         # Of the pair's at most RADIUS differing bits none lies in at least one of RADIUS + 1 quarters.
         quarter = (fps[large] >> np.uint64(16 * q)) & np.uint64(0xFFFF)
         order = np.lexsort((quarter, keys[large]))
         group = np.cumsum(np.concatenate(([0], (np.diff(keys[large][order]) != 0) | (np.diff(quarter[order]) != 0))))
-        found += neighbours(group, fps[large][order], probing[large][order])
-    root: dict[int, int] = {}
-
-    def top(x: int) -> int:
-        while root.get(x, x) != x:
-            root[x] = x = root.get(root[x], root[x])
-        return x
-
-    out = []
-    for a, b in found:
-        for x, y in zip(a.tolist(), b.tolist()):
-            p, q = top(x), top(y)
-            if p != q:
-                root[max(p, q)] = min(p, q)
-                out.append((signed(x), signed(y)))
-    return out
+        part, probes = fps[large][order], probing[large][order]
+        many = np.repeat(np.bincount(group) > LARGE, np.bincount(group))
+        for a, b in neighbours(group[~many], part[~many], probes[~many]):
+            forest.add(a, b)
+        for g in np.unique(group[many]):
+            for a, b in grown(part[group == g]):
+                forest.add(a, b)
+    return forest.edges
 
 
 def link_fingerprints(nodes: DataFrame) -> DataFrame:
@@ -199,22 +228,30 @@ def link_fingerprints(nodes: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"key": pa.array(k[s].view(np.int64)), "fp": pa.array(f[s].view(np.int64)), "probing": pa.array(p[s])})
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool)]
+        held: list[list[np.ndarray]] = []  # whole buckets and the begin of the last one, in parts
+        size = 0
 
-        def given(cols) -> pa.RecordBatch:
+        def given(cols: list[np.ndarray]) -> pa.RecordBatch:
             e = links(*cols)
             return pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in e], pa.int64()), "b": pa.array([y for _, y in e], pa.int64())})
 
         for b in batches:
+            if not b.num_rows:
+                continue
             new = [b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy().view(np.uint64), b.column(2).to_numpy(zero_copy_only=False)]
-            held = [np.concatenate(x) for x in zip(held, new)]
-            if len(held[0]):
-                last = int(np.flatnonzero(held[0] != held[0][-1])[-1]) + 1 if held[0][0] != held[0][-1] else 0
-                if last > 20_000:
-                    yield given([x[:last] for x in held])
-                    held = [x[last:] for x in held]
-        if len(held[0]):
-            yield given(held)
+            last = int(np.flatnonzero(new[0] != new[0][-1])[-1]) + 1 if new[0][0] != new[0][-1] else 0
+            closes = bool(held) and held[-1][0][-1] != new[0][-1]
+            if last or closes:  # the batch's last bucket begins in it
+                held.append([x[:last] for x in new])
+                size += last
+                if size > 20_000:
+                    yield given([np.concatenate(x) for x in zip(*held)])
+                    held, size = [], 0
+                new = [x[last:] for x in new]
+            held.append(new)
+            size += len(new[0])
+        if held:
+            yield given([np.concatenate(x) for x in zip(*held)])
 
     rows = nodes.select("fp").mapInArrow(lean(listed), "key long, fp long, probing boolean")
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(lean(verified), "a long, b long").distinct()
@@ -247,12 +284,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     empty table gives no rows; other columns, whatever their names, are ignored.
     """
     fps = cut(fingerprints(docs))
-    nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")))
     rooted = components(cut(link_fingerprints(nodes)))
-    known = nodes.join(rooted, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = known.join(known.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    known = nodes.join(rooted, "fp", "left").select("fp", "least", "copies", F.coalesce("root", "fp").alias("root"))
+    named = cut(known.join(known.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id", "copies"))
+    return hot_join(fps, named, ["fp"], "copies").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """near_duplicates of all documents; edge cases as there."""
     return near_duplicates(table(spark, sf_dir, "documents"))

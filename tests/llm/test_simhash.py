@@ -3,6 +3,7 @@ import random
 import numpy as np
 import xxhash
 
+from gneiss.llm import alike
 from gneiss.llm import simhash as sim
 
 
@@ -96,7 +97,26 @@ def test_large_buckets_and_every_plan():
 
 def test_one_row_of_each_group_stays(make, prose):
     docs = make([(3, prose(50, 1)), (1, prose(50, 1)), (1, prose(50, 1)), (2, prose(50, 2)), (7, None), (8, "")])
-    out = sim.drop_near_duplicates(docs)
+    out = alike.drop_near_duplicates(docs)
     assert sorted(out.columns) == sorted(docs.columns)
     assert sorted(r["doc_id"] for r in out.collect()) == [1, 2, 7]
     assert sim.near_duplicates(make([])).count() == 0
+
+
+def test_a_dense_group_in_one_bucket_and_a_hot_fingerprint(make, prose, monkeypatch):
+    """A third of the fingerprints within a few bits of one another, in one bucket; a third of the rows of one text."""
+    r = random.Random(5)
+    base = r.getrandbits(64)
+    fps = np.array(sorted({base ^ sum(1 << b for b in r.sample(range(64), 4)) ^ (1 << r.randrange(64)) for _ in range(6000)}), np.uint64)
+    found = list(sim.grown(fps))
+    forest, brute_force = sim.Forest(), sim.Forest()
+    for a, b in found:
+        assert (np.bitwise_count(a ^ b) <= sim.RADIUS).all()
+        forest.add(a, b)
+    for i in range(len(fps)):
+        near = fps[i + 1 :][np.bitwise_count(fps[i + 1 :] ^ fps[i]) <= sim.RADIUS]
+        brute_force.add(np.full(len(near), fps[i]), near)
+    assert len({forest.top(x) for x in fps.tolist()}) == len({brute_force.top(x) for x in fps.tolist()})
+    monkeypatch.setattr(sim, "LARGE", 8)
+    rows = [(i, prose(40, 0)) for i in range(50)] + [(100 + i, prose(40, i)) for i in range(60)]
+    assert sorted((tuple(x) for x in sim.near_duplicates(make(rows)).collect()), key=str) == brute(rows)
