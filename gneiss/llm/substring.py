@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import lean, map_batches, prepare, table, written
+from gneiss.llm.common import hot_join, lean, map_batches, prepare, table, written
 from gneiss.llm.winnow import gram_hashes
 
 WINDOW, ANCHOR = 35, 8
@@ -252,12 +252,13 @@ def _windows(texts: DataFrame) -> DataFrame:
 def repeated_spans(keyed: DataFrame) -> DataFrame:
     """(r1, r2, spans) for the rows of keyed that hold repeated windows; spans of words [start, end), not yet merged."""
     runs = written(_segments(keyed), "segments")
-    shared = runs.groupBy("key").agg(F.sum("weight").alias("all")).filter(F.col("all") > 1).select("key")
-    rest = runs.join(shared, "key")
+    shared = written(runs.groupBy("key").agg(F.sum("weight").alias("all"), F.count(F.lit(1)).alias("runs")).filter(F.col("all") > 1).select("key", "runs"), "shared")
+    rest = hot_join(runs, shared, ["key"], "runs")
     distinct = rest.groupBy("key", "seg").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("r1", "r2", "first", "last")).alias("one"))
     kinds = distinct.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).filter(F.col("kinds") > HOT).select("key", F.lit(True).alias("hot"))
     wanted = distinct.join(kinds, "key", "left").select("key", "seg", "n", F.coalesce("hot", F.lit(False)).alias("hot"), "one.*")
     texts = written(_cut_texts(keyed, wanted), "segment-texts")
+    times = texts.select("key", "seg", "n").dropDuplicates(["key", "seg"])
     found = _automata(texts.filter(~F.col("hot")))
     if not kinds.isEmpty():
         windows = _windows(texts.filter("hot").dropDuplicates(["key", "seg"]))
@@ -265,7 +266,8 @@ def repeated_spans(keyed: DataFrame) -> DataFrame:
         again = _automata(summed.select(F.col("window").alias("key"), F.col("check").alias("seg"), "n", "text")).select(F.col("key").alias("window"), F.col("seg").alias("check"))
         found = found.unionByName(windows.select("key", "seg", "at", "window", "check").join(again, ["window", "check"]).groupBy("key", "seg").agg(F.collect_list(F.array(F.col("at"), F.col("at") + WINDOW)).alias("spans")))
     moved = F.transform("spans", lambda s: F.array(s[0] + F.col("first"), s[1] + F.col("first")))
-    return rest.join(found, ["key", "seg"]).groupBy("r1", "r2").agg(F.flatten(F.collect_list(moved)).alias("spans"))
+    found = written(found.join(times, ["key", "seg"]), "found")
+    return hot_join(rest, found, ["key", "seg"], "n").groupBy("r1", "r2").agg(F.flatten(F.collect_list(moved)).alias("spans"))
 
 
 def _kept(text: bytes | None, spans: list | None) -> tuple[int, list[bytes]]:
@@ -309,8 +311,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
 
 def cut_repeats(docs: DataFrame) -> DataFrame:
-    """docs with repeated windows cut from text (the kept words joined by one space) and n_chars set anew; a text without
-    repeats stays as it is. Columns as before."""
+    """docs with repeated windows cut from text (the kept words joined by one space) and n_chars set anew.
+
+    A text without repeats, null, empty or short stays as it is; repeated rows are each other's copies and lose their
+    long passages; an empty table gives no rows. Columns stay as they are, whatever their names.
+    """
     prepare(docs.sparkSession)
     names = docs.columns
 
@@ -333,4 +338,5 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
 
 
 def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """remove_repeats of all documents; edge cases as there."""
     return remove_repeats(table(spark, sf_dir, "documents"))
