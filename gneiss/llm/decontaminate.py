@@ -11,17 +11,20 @@ from __future__ import annotations
 import hashlib
 import pickle
 from collections import defaultdict
+from collections.abc import Iterator
+from functools import reduce
+from itertools import chain
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import filter_batches, map_batches, once, prepare, table
+from gneiss.llm.common import filter_batches, map_batches, once, prepare, table, written
 
 WINDOW = 13
 #: A document is contaminated from one hit word in this many.
 ONE_IN = 20
-#: Benchmark bytes that one broadcast may hold; more items are searched in blocks of this size.
-BLOCK_BYTES = 32 << 20
+#: Benchmark bytes of one broadcast, about; more items are searched block by block. Tables take some hundred times as much.
+BLOCK_BYTES = 2 << 20
 
 #: Bytes that separate words (all ASCII but 0-9, A-Z, a-z) become spaces, A-Z become a-z; every byte of a non-ASCII character belongs to a word.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
@@ -101,96 +104,109 @@ def merged(spans: list) -> list[list[int]]:
     return out
 
 
-def _blocks(benchmark: DataFrame) -> list[str]:
-    """Pickled search input, in blocks of at most BLOCK_BYTES of item text, one after the other through the driver."""
-    out, now, held = [], [], 0
-    for r in benchmark.select("item_id", F.col("text").cast("binary").alias("text")).toLocalIterator():
-        words = words_of(bytes(r["text"]) if r["text"] is not None else None)
-        if not words:
-            continue
-        now.append((r["item_id"], words))
-        held += len(r["text"])
-        if held >= BLOCK_BYTES:
-            out, now, held = [*out, pickle.dumps(now)], [], 0
-    return [*out, pickle.dumps(now)] if now or not out else out
+def _blocks(benchmark: DataFrame) -> Iterator[bytes]:
+    """Pickled search input, one block of about BLOCK_BYTES of item text after the other; the driver holds one."""
+    items = benchmark.select("item_id", F.col("text").cast("binary").alias("text"))
+    n = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"] // BLOCK_BYTES + 1
+    for b in range(n):
+        some = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b) if n > 1 else items
+        found = [(r["item_id"], words_of(bytes(r["text"]))) for r in some.filter(F.col("text").isNotNull()).toLocalIterator()]
+        yield pickle.dumps([x for x in found if x[1]])
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """For each row of docs(doc_id, text): n_words, n_hit, n_items, items_sha256, contaminated.
+def _searched(texts: DataFrame, block: bytes, keys: str, hits_only: bool = False) -> DataFrame:
+    """texts(<keys>, text) with n_words, spans and items that the items of one block give."""
+    sent = texts.sparkSession.sparkContext.broadcast(block)
+    key = "wm-" + hashlib.sha256(block).hexdigest()
 
-    Null and empty texts have no words and no hits; null items match nothing; a null item_id counts as "None";
-    repeated doc_ids give a row each (with a block of items that fits one broadcast; else rows of one doc_id are
-    told apart by a row id); an empty benchmark hits nothing, an empty table gives no rows. Other columns, whatever
-    their names, are ignored.
+    def fn(cols: dict[str, list]) -> dict[str, list]:
+        search = once(key, lambda: WordSearch(pickle.loads(sent.value)))
+        n, spans, items = [], [], []
+        for t in cols["text"]:
+            words = words_of(t)
+            s, i = search.hits(words)
+            n.append(len(words))
+            spans.append(s)
+            items.append([str(x) for x in i])
+        return cols | {"n_words": n, "spans": spans, "items": items}
+
+    found = map_batches(texts, fn, f"{keys}, n_words long, spans array<array<int>>, items array<string>")
+    return found.filter(F.size("spans") > 0) if hits_only else found
+
+
+def _found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Every row of docs with gneiss_n (words), gneiss_spans (not merged over blocks) and gneiss_items.
+
+    One block is searched in one pass. More of them take a pass each, of which only the rows with hits are written, and
+    come together by the row's (doc_id, text): rows equal in both have equal hits.
     """
-    spark = docs.sparkSession
-    prepare(spark)
-    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
     blocks = _blocks(benchmark)
+    first, second = next(blocks), next(blocks, None)
+    text = F.col("text").cast("binary")
+    if second is None:
+        names = [f"c{i}" for i in range(len(docs.columns))]
+        plain = docs.toDF(*names).withColumn("text", F.col(names[docs.columns.index("text")]).cast("binary"))
+        out = _searched(plain, first, ", ".join(f"{n} {k}" for n, (_, k) in zip(names, docs.dtypes)))
+        return out.select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns)), F.col("n_words").alias("gneiss_n"), F.col("spans").alias("gneiss_spans"), F.col("items").alias("gneiss_items"))
+    keyed = docs.select(F.xxhash64("doc_id", "text").alias("r1"), F.xxhash64("text", "doc_id", F.lit(1)).alias("r2"), text.alias("text"))
+    each = [written(_searched(keyed, b, "r1 long, r2 long", True), "hits") for b in chain((first, second), blocks)]
+    hits = reduce(DataFrame.unionByName, each).groupBy("r1", "r2").agg(F.flatten(F.collect_set("spans")).alias("gneiss_spans"), F.flatten(F.collect_set("items")).alias("gneiss_items"))
+    rows = docs.withColumn("gneiss_r1", F.xxhash64("doc_id", "text")).withColumn("gneiss_r2", F.xxhash64("text", "doc_id", F.lit(1)))
+    joined = rows.join(hits, (F.col("gneiss_r1") == F.col("r1")) & (F.col("gneiss_r2") == F.col("r2")), "left")
+    count = map_batches(joined.select(*(F.col(c) for c in docs.columns), "gneiss_spans", "gneiss_items").withColumn("gneiss_text", text), lambda cols: {k: v for k, v in cols.items() if k != "gneiss_text"} | {"gneiss_n": [len(words_of(t)) for t in cols["gneiss_text"]]}, ", ".join(f"`{c}` {k}" for c, k in docs.dtypes) + ", gneiss_n long, gneiss_spans array<array<int>>, gneiss_items array<string>")
+    return count
+
+
+def _contaminated(n: int, spans: list | None) -> tuple[int, bool]:
+    hit = sum(b - a for a, b in merged(spans or []))
+    return hit, hit > 0 and ONE_IN * hit >= n
 
-    def searched(source: DataFrame, block: bytes, more: str) -> DataFrame:
-        sent = spark.sparkContext.broadcast(block)
-        key = "wm-" + hashlib.sha256(block).hexdigest()
 
-        def fn(cols: dict[str, list]) -> dict[str, list]:
-            search = once(key, lambda: WordSearch(pickle.loads(sent.value)))
-            n, spans, items = [], [], []
-            for t in cols["text"]:
-                words = words_of(t)
-                s, i = search.hits(words)
-                n.append(len(words))
-                spans.append(s)
-                items.append([str(x) for x in i])
-            return cols | {"n_words": n, "spans": spans, "items": items}
-
-        return map_batches(source, fn, f"{more}doc_id {kind}, n_words long, spans array<array<int>>, items array<string>")
-
-    kind = dict(docs.dtypes)["doc_id"]
-    if len(blocks) == 1:
-        found = searched(texts, blocks[0], "")
-    else:
-        texts = texts.withColumn("row", F.monotonically_increasing_id())
-        found = None
-        for b in blocks:
-            one = searched(texts, b, "row long, ")
-            found = one if found is None else found.unionByName(one)
-        found = found.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_set("items")).alias("items"))
+def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """For each row of docs(doc_id, text): n_words, n_hit, n_items, items_sha256, contaminated.
+
+    Null and empty texts have no words and no hits; null items match nothing; a null item_id counts as "None";
+    repeated rows give a row each; an empty benchmark hits nothing, an empty table gives no rows. Other columns,
+    whatever their names, are ignored.
+    """
+    prepare(docs.sparkSession)
 
     def digest(cols: dict[str, list]) -> dict[str, list]:
-        items = [sorted(set(x)) for x in cols["items"]]
-        hit = [sum(b - a for a, b in merged(s)) for s in cols["spans"]]
+        items = [sorted(set(x or ())) for x in cols["gneiss_items"]]
+        judged = [_contaminated(n, s) for n, s in zip(cols["gneiss_n"], cols["gneiss_spans"])]
         return {
-            "doc_id": cols["doc_id"], "n_words": cols["n_words"], "n_hit": hit, "n_items": [len(x) for x in items],
-            "items_sha256": [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items],
-            "contaminated": [h > 0 and ONE_IN * h >= n for h, n in zip(hit, cols["n_words"])],
+            "doc_id": cols["doc_id"], "n_words": cols["gneiss_n"], "n_hit": [h for h, _ in judged], "n_items": [len(x) for x in items],
+            "items_sha256": [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items], "contaminated": [c for _, c in judged],
         }
 
-    return map_batches(found.select("doc_id", "n_words", "spans", "items"), digest, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    found = _found(docs.select("doc_id", "text"), benchmark).drop("text")
+    return map_batches(found, digest, f"doc_id {dict(docs.dtypes)['doc_id']}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows of which a twentieth or more of the words lie in benchmark windows; columns unchanged.
 
-    One pass, one block of items after the other: a row leaves as soon as the blocks so far hit enough of its words.
+    Null and empty texts stay, as all rows do if the benchmark is empty; repeated rows are judged alike.
     """
     spark = docs.sparkSession
     prepare(spark)
-    sent = [spark.sparkContext.broadcast(b) for b in _blocks(benchmark)]
-    keys = ["wm-" + hashlib.sha256(b.value).hexdigest() for b in sent]
+    blocks = _blocks(benchmark)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        sent, key = spark.sparkContext.broadcast(first), "wm-" + hashlib.sha256(first).hexdigest()
 
-    def fn(cols: dict[str, list]) -> list[bool]:
-        keep = []
-        for t in cols["text"]:
-            words = words_of(t.encode() if t is not None else None)
-            spans: list = []
-            for key, b in zip(keys, sent):
-                spans += once(key, lambda b=b: WordSearch(pickle.loads(b.value))).hits(words)[0]
-            hit = sum(b - a for a, b in merged(spans))
-            keep.append(not (hit > 0 and ONE_IN * hit >= len(words)))
-        return keep
+        def keep(cols: dict[str, list]) -> list[bool]:
+            search = once(key, lambda: WordSearch(pickle.loads(sent.value)))
+            words = [words_of(t.encode() if t is not None else None) for t in cols["text"]]
+            return [not _contaminated(len(w), search.hits(w)[0])[1] for w in words]
 
-    return filter_batches(docs, fn)
+        return filter_batches(docs, keep)
+    found = _found(docs.select("doc_id", "text"), benchmark)
+    bad = map_batches(found.select(F.xxhash64("doc_id", "text").alias("gneiss_r1"), F.xxhash64("text", "doc_id", F.lit(1)).alias("gneiss_r2"), "gneiss_n", "gneiss_spans").filter("gneiss_spans is not null"), lambda cols: {"gneiss_r1": cols["gneiss_r1"], "gneiss_r2": cols["gneiss_r2"], "bad": [_contaminated(n, s)[1] for n, s in zip(cols["gneiss_n"], cols["gneiss_spans"])]}, "gneiss_r1 long, gneiss_r2 long, bad boolean").filter("bad")
+    rows = docs.withColumn("gneiss_r1", F.xxhash64("doc_id", "text")).withColumn("gneiss_r2", F.xxhash64("text", "doc_id", F.lit(1)))
+    return rows.join(bad.select("gneiss_r1", "gneiss_r2"), ["gneiss_r1", "gneiss_r2"], "left_anti").select(*docs.columns)
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """find_contamination of all documents by all items; edge cases as there."""
     return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
