@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualNullSafe, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, IsNull, LessThan, LessThanOrEqual, StringContains, StringEndsWith, StringStartsWith
 
-from gneiss.llm.common import map_batches, prepare, shared_dir, table
+from gneiss.llm.common import cut, hot_join, map_batches, prepare, table
+from gneiss.shared import scratch
 
 EOL = "\r\n"
 #: Columns of the source: the first is decoded from the block, the others come from the header alone.
@@ -61,9 +62,11 @@ def write_archives(pages: DataFrame, path: str) -> None:
     rows repeat the least page_id with its payload, all of them are responses. An empty table gives no records.
     """
     prepare(pages.sparkSession)
-    keyed = pages.select("page_id", "url", "html", F.sha2(F.coalesce("html", F.lit("")), 256).alias("digest"), F.octet_length(F.coalesce("html", F.lit(""))).alias("n"))
-    first = keyed.groupBy("digest").agg(F.min("page_id").alias("first"))
-    dealt = keyed.join(first, "digest").withColumn("refers", F.when((F.col("n") >= REVISIT_FROM) & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")))
+    keyed = pages.select("page_id", "url", "html", F.sha2(F.coalesce("html", F.lit("")), 256).alias("digest"))
+    # Digests and ids alone are grouped; payloads of one kind (an error page, none at all) do not meet in one task.
+    large = keyed.select("digest", "page_id", (F.octet_length(F.coalesce("html", F.lit(""))) >= REVISIT_FROM).alias("large"))
+    first = cut(large.groupBy("digest").agg(F.min("page_id").alias("first"), F.first("large").alias("large"), F.count(F.lit(1)).alias("copies")))
+    dealt = hot_join(keyed, first, ["digest"], "copies").withColumn("refers", F.when(F.col("large") & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")))
 
     def fn(cols: dict[str, list]) -> dict[str, list]:
         return {"value": [record_text(*r) for r in zip(cols["page_id"], cols["url"], cols["html"], cols["refers"])]}
@@ -225,7 +228,7 @@ def read_archives(spark: SparkSession, path: str, columns: list[str] | None = No
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes all pages as archives in the shared folder and reads them back: responses with their payload, of which
     length and digest are taken anew; revisits by their headers, without looking at blocks."""
-    path = f"{shared_dir(spark)}/gneiss/warc-{uuid.uuid4().hex}"
+    path = scratch(spark, "warc")
     write_archives(table(spark, sf_dir, "pages"), path)
     head = ["page_id", "record_type", "refers_to", "target_uri"]
     full = read_archives(spark, path, [*head, "payload"]).filter(F.col("record_type") == "response")
