@@ -136,8 +136,8 @@ def _with_next(docs: DataFrame) -> DataFrame:
     base = docs.select("doc_id", text_or_empty().alias("text")).withColumn("range", number)
     own = base.withColumn("head", F.lit(False))
     sent = base.withColumn("h", F.xxhash64("text")).join(F.broadcast(table_), F.col("doc_id").eqNullSafe(F.col("head_id")) & (F.col("h") == F.col("head_hash"))).select("doc_id", "text", F.col("goes_to").alias("range"), F.lit(True).alias("head"))
-    parts = max(ranges, 1)
-    return own.unionByName(sent).repartition(parts, "range").sortWithinPartitions("range", "head", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    # A range is a partition: hashed range numbers would put several of them into one task.
+    return own.unionByName(sent).repartitionById(ranges, "range").sortWithinPartitions("range", "head", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
 
 
 def compare_edits(docs: DataFrame) -> DataFrame:
@@ -178,4 +178,5 @@ def compare_edits(docs: DataFrame) -> DataFrame:
 
 
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """compare_edits of all documents; edge cases as there."""
     return compare_edits(table(spark, sf_dir, "documents"))
