@@ -52,7 +52,7 @@ def shard_by_size(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """Deals every row of docs(doc_id, text) into `shards` shards of near equal bytes.
 
     Result: doc_id, size, text_crc32, law, shard, slot, grown_shard. Order: xxhash64 of the text, then doc_id, so
-    copies lie together; a group of up to WHOLE_GROUP of a shard stays in one shard, a larger one is split. Null and
+    copies lie together; a group of up to WHOLE_GROUP of a shard is in one shard, a larger one may be split. Null and
     empty texts count as "", a null doc_id as a row like any other, repeated rows keep a slot each, an empty table
     gives no rows; other columns are ignored. Shards hold the same bytes up to a record and a small group at each end.
     """
@@ -64,9 +64,15 @@ def shard_by_size(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     ranges = max(RANGES_PER_SHARD * shards, -(-whole["n"] // ROWS_PER_RANGE))
     lookup, bits = _lookup(spark, _splitters(keyed, total, ranges))
     ranged = keyed.withColumn("bucket", F.shiftright("key", 64 - bits)).join(F.broadcast(lookup), "bucket").withColumn("range", F.col("below") + F.size(F.filter("inside", lambda x: x <= F.col("key"))))
+    # Groups of equal texts beyond WHOLE_GROUP of a shard, of which there are at most shards / WHOLE_GROUP, may be split.
+    limit = int(WHOLE_GROUP * total / shards)
+    wide = cut(keyed.groupBy("key").agg(F.sum("size").alias("group_size")).filter(F.col("group_size") > limit).select("key", F.lit(True).alias("wide")))
+    ranged = ranged.join(F.broadcast(wide), "key", "left").withColumn("wide", F.coalesce("wide", F.lit(False)))
     most = max(1.0, OVERFULL * whole["n"] / ranges)
     parts = ranged.groupBy("range").agg(F.ceil(F.count(F.lit(1)) / F.lit(most)).alias("parts"))
-    ranged = ranged.join(F.broadcast(parts), "range").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.col("parts"))).drop("bucket", "below", "inside", "parts")
+    # An overfull range is subdivided by key, so that equal texts stay together; a wide group's rows are dealt by doc_id.
+    dealt_by = F.when(F.col("wide"), F.xxhash64("doc_id", F.lit(11))).otherwise(F.xxhash64("key", F.lit(11)))
+    ranged = ranged.join(F.broadcast(parts), "range").withColumn("part", F.pmod(dealt_by, F.col("parts"))).drop("bucket", "below", "inside", "parts")
     before = Window.orderBy("range", "part").rowsBetween(Window.unboundedPreceding, -1)
     cells = ranged.groupBy("range", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("b")).select("range", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("rows_before"), F.coalesce(F.sum("b").over(before), F.lit(0)).alias("bytes_before"))
     cell = Window.partitionBy("range", "part")
@@ -78,8 +84,7 @@ def shard_by_size(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         .withColumn("group_end", F.col("bytes_before") + F.sum("size").over(cell.orderBy("key").rangeBetween(Window.unboundedPreceding, 0)))
         .withColumn("group_size", F.sum("size").over(Window.partitionBy("range", "part", "key")))
     )
-    small = F.col("group_size") <= F.lit(int(WHOLE_GROUP * total / shards))
-    twice_middle = F.when(small, 2 * F.col("group_end") - F.col("group_size")).otherwise(2 * F.col("end") - F.col("size"))
+    twice_middle = F.when(~F.col("wide"), 2 * F.col("group_end") - F.col("group_size")).otherwise(2 * F.col("end") - F.col("size"))
     placed = placed.withColumn("shard", F.least(F.lit(shards - 1), F.floor(twice_middle / F.lit(2.0 * total) * shards)).cast("int"))
     first = placed.groupBy("shard").agg(F.min("rank").alias("first"))
     return placed.join(F.broadcast(first), "shard").select(
@@ -88,4 +93,5 @@ def shard_by_size(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """shard_by_size of all documents; edge cases as there."""
     return shard_by_size(table(spark, sf_dir, "documents"))

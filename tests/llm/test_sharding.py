@@ -39,3 +39,15 @@ def test_overfull_ranges_are_subdivided(make, monkeypatch):
     monkeypatch.setattr(sh, "OVERFULL", 1)
     rows = [(i, "hot") for i in range(400)] + [(1000 + i, f"t{i}") for i in range(200)]
     laws(rows, sh.shard_by_size(make(rows), 6).collect(), 6)
+
+
+def test_groups_in_subdivided_ranges_stay_together(make, monkeypatch):
+    monkeypatch.setattr(sh, "OVERFULL", 0.05)
+    monkeypatch.setattr(sh, "WHOLE_GROUP", 0.1)
+    rows = [(i, f"group {i % 150}") for i in range(1200)]
+    docs = make(rows)
+    for shards in (2, 3, 5, 7):
+        got = sh.shard_by_size(docs, shards).collect()
+        laws(rows, got, shards)
+        for k in range(150):
+            assert len({r["shard"] for r in got if r["doc_id"] % 150 == k}) == 1
