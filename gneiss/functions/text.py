@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def collapse(c: Column) -> Column:
@@ -11,9 +15,18 @@ def collapse(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
 
+def nfkc(c: Column) -> Column:
+    """Unicode compatibility form and case folding, which no built-in function has; nulls stay."""
+
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: unicodedata.normalize("NFKC", x).casefold(), na_action="ignore")
+
+    return F.pandas_udf(run, StringType())(c)
+
+
 def fold(c: Column) -> Column:
-    """Key for comparing names: collapsed and lower-case."""
-    return F.lower(collapse(c))
+    """Key for comparing names: NFKC, case-folded, white space collapsed."""
+    return collapse(nfkc(c))
 
 
 def compact(c: Column) -> Column:
@@ -22,8 +35,8 @@ def compact(c: Column) -> Column:
 
 
 def match_key(c: Column) -> Column:
-    """For quote matching: lower-case, dashes and quotes made plain, no white space."""
-    plain = F.translate(F.lower(c), "‐‑‒–—‘’“”", "-----''\"\"")
+    """For quote matching: NFKC, case-folded, dashes and quotes made plain, no white space."""
+    plain = F.translate(nfkc(c), "‐‑‒–—‘’“”", "-----''\"\"")
     return F.regexp_replace(plain, r"\s+", "")
 
 
@@ -84,10 +97,23 @@ def token_count(c: Column) -> Column:
     return F.greatest(F.lit(1), F.size(F.filter(F.split(F.trim(c), r"\s+"), lambda w: w != "")))
 
 
-def matches_term(c: Column, term: str) -> Column:
-    """Whether an ASCII term stands in c with no letter or digit next to it; spaces in it match any white space."""
-    parts = [_quote(p) for p in term.lower().split()]
-    return F.lower(c).rlike(r"(^|[^a-z0-9])" + r"\s+".join(parts) + r"([^a-z0-9]|$)")
+def matches_term(c: Column, term: str, lowered: bool = False) -> Column:
+    """Whether an ASCII term stands in c with no letter or digit next to it; spaces in it match any white space.
+
+    The longest word of the term must be in c at all, which is looked for first: most texts are refused by that.
+    lowered says that c is lower-case already.
+    """
+    parts, low = term.lower().split(), c if lowered else F.lower(c)
+    found = low.rlike(r"(^|[^a-z0-9])" + r"\s+".join(map(_quote, parts)) + r"([^a-z0-9]|$)")
+    return low.contains(max(parts, key=len)) & found if parts else found
+
+
+def may_match(c: Column, terms: list[str]) -> Column:
+    """Necessary condition for any of the terms to match the lower-case text c."""
+    found = F.lit(False)
+    for w in dict.fromkeys(max(t.lower().split(), key=len) for t in terms if t.split()):
+        found = found | c.contains(w)
+    return found
 
 
 def _quote(s: str) -> str:

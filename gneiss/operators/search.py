@@ -7,15 +7,16 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gneiss.functions.text import matches_term, words
+from gneiss.functions.text import matches_term, may_match, words
 from gneiss.operators.aggregates import ratio
+from gneiss.shared import written
 
-# Fixed values of the scoring rule: field weights, boosts, and weights of query terms.
+# Fixed values of the scoring rule: field weights, boosts, weights of query terms, words that only vary a product's
+# name, and words that are no terms.
 FIELDS = [("title", 0.50), ("summary", 0.30), ("body", 0.20), ("tag", 0.10)]
 ENTITY_TITLE, ENTITY_TAG = 0.45, 0.35
 PHRASE, VARIANT, DIGITS, PLAIN = 3.0, 0.15, 0.05, 1.0
 KEYWORD_SHARE, BONUS, LEAST_VECTOR = 0.85, 0.1, 0.20
-#: Words that only vary a product's name.
 VARIANTS = {"pro", "max", "mini", "plus", "standard", "version"}
 STOP = {"a", "an", "and", "are", "for", "how", "in", "is", "of", "on", "or", "the", "to", "what", "which", "with"}
 
@@ -46,18 +47,38 @@ def pruned(weights: dict[str, float], has_entities: bool = False) -> list[str]:
 
 
 def keyword_score(fields: dict[str, Column], weights: dict[str, float], entities: list[str] = ()) -> Column:
-    """Each term scores its best field; the sum over half the terms' weight (at least 1); entity boosts if that is not 0; at most 1."""
+    """Each term scores its best field; the sum over half the terms' weight (at least 1); entity boosts if that is not 0; at most 1.
+
+    Fields are lower-case texts.
+    """
+    hit = lambda f, t: matches_term(fields[f], t, lowered=True) if f in fields else F.lit(False)
     total = F.lit(0.0)
     for term, w in weights.items():
-        best = reduce(lambda c, f: c.when(matches_term(fields[f[0]], term), f[1]), [f for f in FIELDS if f[0] in fields][1:], F.when(matches_term(fields[FIELDS[0][0]], term), FIELDS[0][1])).otherwise(0.0)
+        best = reduce(lambda c, f: c.when(hit(f[0], term), f[1]), FIELDS[1:], F.when(hit(FIELDS[0][0], term), FIELDS[0][1])).otherwise(0.0)
         total = total + w * best
     base = total / (0.5 * max(sum(weights.values()), 1.0))
     boost = F.lit(0.0)
     for e in entities:
-        boost = boost + F.when(matches_term(fields["title"], e), ENTITY_TITLE).when(matches_term(fields["tag"], e) if "tag" in fields else F.lit(False), ENTITY_TAG).otherwise(0.0)
+        boost = boost + F.when(hit("title", e), ENTITY_TITLE).when(hit("tag", e), ENTITY_TAG).otherwise(0.0)
     return F.when(base > 0, F.least(base + boost, F.lit(1.0))).otherwise(0.0)
 
 
+def keyword_hits(items: DataFrame, fields: dict[str, Column], weights: dict[str, float], entities: list[str] = ()) -> DataFrame:
+    """items with a score over 0, and the score. Texts are lower-cased once, rows that hold no term's longest word go
+    before any expression is matched, and the score is computed once: it passes through a generator, which filters
+    after it do not cross."""
+    low = items.withColumns({f"_{n}": F.lower(c) for n, c in fields.items()})
+    some = low.filter(reduce(lambda x, y: x | y, (may_match(F.col(f"_{n}"), list(weights)) for n in fields)))
+    scored = keyword_score({n: F.col(f"_{n}") for n in fields}, weights, entities)
+    return some.withColumn("score", F.explode(F.filter(F.array(scored), lambda x: x > 0))).drop(*(f"_{n}" for n in fields))
+
+
+def over_fetch(k: int) -> tuple[int, int, int]:
+    """For k results: vector hits and keyword hits to fetch, and rows that keyword search may score. The factors and bounds are fixed values."""
+    keyword = max(10 * k, 50)
+    return min(max(4 * k, 50), 600), keyword, min(max(20 * keyword, 500), 1000)
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two arrays in double; 0 if lengths differ or one has no length."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
@@ -83,9 +104,10 @@ def hybrid(vector: DataFrame, keyword: DataFrame, id_: str) -> DataFrame:
 
 
 def bm25(docs: DataFrame, key: str, text: str, terms: list[str], k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """(key, score) of the documents with a term; statistics over all documents, in one pass and one aggregate row."""
-    w = words(F.col(text))
-    counts = docs.select(key, F.size(w).alias("len"), *(F.size(F.filter(w, _is(t))).alias(f"tf{i}") for i, t in enumerate(terms)))
+    """(key, score) of the documents with a term; statistics over all documents. Texts are split once: lengths and term
+    counts are written and read again for the statistics and for the scores."""
+    split = docs.select(key, words(F.col(text)).alias("_w"))
+    counts = written(split.select(key, F.size("_w").alias("len"), *(F.size(F.filter("_w", _is(t))).alias(f"tf{i}") for i, t in enumerate(terms))), "counts")
     about = counts.agg(F.count("*").alias("n"), F.avg("len").alias("mean"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))))
     score = F.lit(0.0)
     for i in range(len(terms)):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gneiss.functions import text, urls
 from gneiss.operators import search
-from gneiss.plans.model import ITEMS, items
+from gneiss.plans.model import CHUNKS, ITEMS, chunks, items
 from gneiss.plans.registry import query
 
 R = lambda c, n=6: F.round(c, n)
@@ -30,14 +30,34 @@ def _score_sql(fields: list[tuple[str, float]]) -> str:
 SCORED = f"(SELECT doc_id, source, {_score_sql([('title', 0.5), ('text', 0.2), ('source', 0.1)])} AS score FROM {ITEMS} WHERE status <> 'obsolete')"
 
 
-def _keyword(t):
+def _keyword(t, ids=None, entities=()):
+    """Keyword hits among items, or among those of ids."""
     i = items(t).filter("status <> 'obsolete'")
-    return i.select("doc_id", "source", search.keyword_score({"title": F.col("title"), "body": F.col("text"), "tag": F.col("source")}, WEIGHTS).alias("score"))
+    i = i if ids is None else i.join(ids, "doc_id", "left_semi")
+    return search.keyword_hits(i.select("doc_id", "source", "title", "text"), {"title": F.col("title"), "body": F.col("text"), "tag": F.col("source")}, WEIGHTS, entities)
 
 
 @query("sc_3_keyword_score", f"SELECT doc_id, round(score, 6) AS score FROM {SCORED} WHERE score > 0")
 def _(t):
-    return _keyword(t).filter("score > 0").select("doc_id", R(F.col("score")).alias("score"))
+    return _keyword(t).select("doc_id", R(F.col("score")).alias("score"))
+
+
+def _boost_sql(e: str) -> str:
+    return f"CASE WHEN {HIT.format(f='title', t=e)} THEN 0.45 WHEN {HIT.format(f='source', t=e)} THEN 0.35 ELSE 0.0 END"
+
+
+@query("sc_4_entity_boosts", rf"SELECT doc_id, round(least(score + {_boost_sql('the')} + {_boost_sql('src1')}, 1.0), 6) AS score FROM (SELECT s.*, regexp_extract(d.text, '^([^\n.]*)', 1) AS title FROM {SCORED} s JOIN documents d USING (doc_id) WHERE score > 0)")
+def _(t):
+    """Entities of the question boost title and tag, but only of what scores at all."""
+    return _keyword(t, entities=["the", "src1"]).select("doc_id", R(F.col("score")).alias("score"))
+
+
+@query("sc_1_query_terms", "SELECT * FROM (VALUES (0, 'mit license', 3.0), (1, 'token', 1.0), (2, '42', 0.05), (3, 'mit', 1.0), (4, 'license', 1.0)) v(place, term, weight)")
+def _(t):
+    """Terms and weights of a question: phrases first, stop words gone, digits and variants nearly weightless (its order differs from ASKED)."""
+    asked = "What is the token 42 of the MIT License?"
+    terms = search.query_terms(asked, PHRASES)
+    return t.spark.createDataFrame([(i, x, search.term_weights(terms, PHRASES)[x]) for i, x in enumerate(terms)], "place long, term string, weight double")
 
 
 @query("sc_5_pruned_terms", f"SELECT doc_id FROM {ITEMS} WHERE " + " OR ".join(HIT.format(f="text", t=x.replace(" ", r"\s+")) for x in search.pruned(WEIGHTS)))
@@ -48,11 +68,11 @@ def _(t):
     return items(t).filter(cond).select("doc_id")
 
 
-@query("sc_6_two_branches", f"SELECT doc_id, round(score, 6) AS score FROM {SCORED} WHERE doc_id IN (SELECT doc_id FROM documents WHERE contains(lower(source), 'src1') UNION SELECT doc_id FROM documents WHERE contains(lower(text), 'license'))")
+@query("sc_6_two_branches", f"SELECT doc_id, round(score, 6) AS score FROM {SCORED} WHERE score > 0 AND doc_id IN (SELECT doc_id FROM documents WHERE contains(lower(source), 'src1') UNION SELECT doc_id FROM documents WHERE contains(lower(text), 'license'))")
 def _(t):
     d = t.documents
     ids = d.filter(F.lower("source").contains("src1")).select("doc_id").union(d.filter(F.lower("text").contains("license")).select("doc_id")).distinct()
-    return _keyword(t).join(ids, "doc_id", "left_semi").select("doc_id", R(F.col("score")).alias("score"))
+    return _keyword(t, ids).select("doc_id", R(F.col("score")).alias("score"))
 
 
 VEC = "(SELECT embedding AS q FROM embeddings WHERE vec_id = 0)"
@@ -82,7 +102,7 @@ HYBRID = f"""(SELECT coalesce(v.id, k.id) AS id, CASE WHEN k.s IS NULL THEN v.s
 def _hybrid(t):
     q = F.broadcast(t.embeddings.filter("vec_id = 0").select(F.col("embedding").alias("q")))
     v = t.embeddings.join(q).select(F.col("vec_id").alias("id"), search.cosine(F.col("embedding"), F.col("q")).alias("score")).filter("score >= 0.2")
-    return search.hybrid(v, _keyword(t).filter("score > 0").select(F.col("doc_id").alias("id"), "score"), "id")
+    return search.hybrid(v, _keyword(t).select(F.col("doc_id").alias("id"), "score"), "id")
 
 
 @query("sc_8_hybrid", f"SELECT id, round(score, 6) AS score, branch FROM {HYBRID}")
@@ -125,10 +145,13 @@ def _(t):
     return t.conversations.select("conv_id", "turn", (~((F.length("text") <= 40) & ~low.rlike("(it|that|this)") & ~low.rlike("(than|versus)"))).alias("optimise"))
 
 
-@query("sc_18_rule_terms", r"SELECT item_id, array_to_string(list_distinct(list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '')), ' ') IS NOT NULL AS ok, len(list_distinct(list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> ''))) AS n FROM benchmark")
+@query("sc_18_rule_terms", r"""SELECT item_id, count(*) AS n, string_agg(term, ' ' ORDER BY place) AS optimised FROM (
+ SELECT item_id, term, min(place) AS place FROM (SELECT item_id, unnest(w) AS term, generate_subscripts(w, 1) AS place FROM (SELECT item_id, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM benchmark))
+ WHERE term NOT IN ('a', 'an', 'and', 'are', 'for', 'how', 'in', 'is', 'of', 'on', 'or', 'the', 'to', 'what', 'which', 'with') GROUP BY item_id, term) GROUP BY item_id""")
 def _(t):
-    w = F.array_distinct(F.filter(F.split(F.lower("text"), r"\s+"), lambda x: x != ""))
-    return t.benchmark.select("item_id", F.lit(True).alias("ok"), F.size(w).alias("n"))
+    """The rule that rewrites a question without a model: its terms without stop words, once each, in order."""
+    w = F.array_distinct(F.filter(text.words(F.col("text")), lambda x: ~x.isin(*sorted(search.STOP))))
+    return t.benchmark.withColumn("w", w).filter(F.size("w") > 0).select("item_id", F.size("w").alias("n"), F.array_join("w", " ").alias("optimised"))
 
 
 @query("sc_19_intent", r"SELECT conv_id, turn, CASE WHEN regexp_full_match(lower(regexp_replace(text, '[[:punct:]\s]+', '', 'g')), '(hi|hello|thanks|thankyou)') THEN 'chat' ELSE 'question' END AS intent FROM conversations WHERE role = 'user'")
@@ -137,11 +160,17 @@ def _(t):
     return t.conversations.filter("role = 'user'").select("conv_id", "turn", F.when(bare.rlike("^(hi|hello|thanks|thankyou)$"), "chat").otherwise("question").alias("intent"))
 
 
-@query("sc_20_fallback_query", "SELECT conv_id, turn, concat_ws(' ', substring(lag(text, 2) OVER w, 1, 50), substring(lag(text, 1) OVER w, 1, 50), substring(text, 1, 50)) AS fallback FROM conversations WHERE role = 'user' WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
+@query("sc_20_fallback_query", r"""WITH u AS (SELECT conv_id, turn, text, lag(text, 1) OVER w AS one, lag(text, 2) OVER w AS two FROM conversations WHERE role = 'user' WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+ v AS (SELECT *, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: len(x) > 3) AS now, list_filter(string_split_regex(lower(coalesce(one, '')), '[^a-z0-9]+'), lambda x: len(x) > 3) AS was FROM u)
+ SELECT conv_id, turn, CASE WHEN one IS NULL THEN 'first' WHEN regexp_matches(lower(text), '\b(it|that|this|they|them)\b') OR len(list_intersect(now, was)) > 0 THEN 'follow_up' ELSE 'switch' END AS kind, md5(concat_ws(' ', two, one, text)) AS fallback FROM v""")
 def _(t):
+    """Follow-up (refers back, or shares a longer word with the last question), topic switch or first question; and the
+    fallback query: the last two questions and this one."""
     w = Window.partitionBy("conv_id").orderBy("turn")
-    part = lambda c: F.substring(c, 1, 50)
-    return t.conversations.filter("role = 'user'").select("conv_id", "turn", F.concat_ws(" ", part(F.lag("text", 2).over(w)), part(F.lag("text", 1).over(w)), part(F.col("text"))).alias("fallback"))
+    u = t.conversations.filter("role = 'user'").withColumns({"one": F.lag("text", 1).over(w), "two": F.lag("text", 2).over(w)})
+    longer = lambda c: F.filter(text.words(c), lambda x: F.length(x) > 3)
+    back = F.lower("text").rlike(r"\b(it|that|this|they|them)\b") | F.arrays_overlap(longer(F.col("text")), longer(F.coalesce("one", F.lit(""))))
+    return u.select("conv_id", "turn", F.when(F.col("one").isNull(), "first").when(back, "follow_up").otherwise("switch").alias("kind"), F.md5(F.concat_ws(" ", "two", "one", "text")).alias("fallback"))
 
 
 @query("sc_21_citations", r"""WITH a AS (SELECT event_id, 'as said [' || (event_id % 7) || '] and [2, ' || (event_id % 5) || ']' AS x FROM events), n AS (SELECT event_id, unnest(list_distinct([event_id % 7, 2, event_id % 5])) AS k FROM a)
@@ -170,9 +199,33 @@ def _(t):
     return t.documents.select("doc_id", F.forall(F.array(F.lit("[0-9]"), F.lit("[Ll]icense")), lambda p: F.regexp_like("text", p)).alias("complete"))
 
 
-@query("sc_28_proof", "SELECT doc_id, substring(text, 11, 20) = substring(text, 11, least(20, length(text) - 10)) AS holds FROM documents WHERE length(text) > 30")
+@query("sc_28_proof", f"""WITH c AS (SELECT doc_id, chunk_index, CASE WHEN doc_id % 6 = 0 THEN start_char + 3 ELSE start_char END AS start_char, CASE WHEN doc_id % 10 = 0 THEN substring(body, 1, 40) || '77x' ELSE substring(body, 1, 40) END AS excerpt FROM {CHUNKS})
+ SELECT c.doc_id, chunk_index, substring(d.text, start_char + 1, length(excerpt)) = excerpt AS holds, len(list_filter(regexp_extract_all(excerpt, '[0-9]+'), lambda x: NOT contains(d.text, x))) = 0 AS numbers FROM c JOIN documents d USING (doc_id)""")
+def _(t):
+    """An excerpt proves a claim if the text holds it where it says, and each of its numbers. Some offsets and excerpts are damaged."""
+    damaged = F.when(F.col("doc_id") % 10 == 0, F.concat(F.substring("body", 1, 40), F.lit("77x"))).otherwise(F.substring("body", 1, 40))
+    c = chunks(t).select("doc_id", "chunk_index", F.when(F.col("doc_id") % 6 == 0, F.col("start_char") + 3).otherwise(F.col("start_char")).alias("start_char"), damaged.alias("excerpt"))
+    held = F.substring(F.col("text"), F.col("start_char").cast("int") + 1, F.length("excerpt")) == F.col("excerpt")
+    numbers = F.forall(F.regexp_extract_all("excerpt", F.lit("[0-9]+"), F.lit(0)), lambda x: F.contains(F.col("text"), x))
+    return c.join(t.documents.select("doc_id", "text"), "doc_id").select("doc_id", "chunk_index", held.alias("holds"), numbers.alias("numbers"))
+
+
+@query("fn_2_fold", r"SELECT doc_id, md5(trim(regexp_replace(lower(text), '\s+', ' ', 'g'))) AS h FROM documents WHERE regexp_full_match(text, '[\x00-\x7F]*')")
+def _(t):
+    """Of the ASCII texts, where SQL knows the result; other texts are held against Python in tests."""
+    return t.documents.filter(F.col("text").rlike(r"^[\x00-\x7F]*$")).select("doc_id", F.md5(text.fold(F.col("text"))).alias("h"))
+
+
+@query("fn_4_match_key", r"SELECT doc_id, md5(regexp_replace(lower(text), '\s+', '', 'g')) AS h FROM documents WHERE regexp_full_match(text, '[\x00-\x7F]*')")
+def _(t):
+    return t.documents.filter(F.col("text").rlike(r"^[\x00-\x7F]*$")).select("doc_id", F.md5(text.match_key(F.col("text"))).alias("h"))
+
+
+@query("tk_4_over_fetch", "SELECT k, least(greatest(4 * k, 50), 600) AS vector, greatest(10 * k, 50) AS keyword, least(greatest(20 * greatest(10 * k, 50), 500), 1000) AS scored FROM (SELECT DISTINCT p_size * 5 AS k FROM part)")
 def _(t):
-    return t.documents.filter(F.length("text") > 30).select("doc_id", (F.substring("text", 11, 20) == F.substring("text", F.lit(11), F.least(F.lit(20), F.length("text") - 10))).alias("holds"))
+    """How many hits each branch fetches for k results."""
+    sizes = sorted({r["p_size"] * 5 for r in t.part.select("p_size").distinct().collect()})  # some fifty sizes
+    return t.spark.createDataFrame([(k, *search.over_fetch(k)) for k in sizes], "k long, vector long, keyword long, scored long")
 
 
 @query("fn_1_collapse", r"SELECT doc_id, md5(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS h FROM documents")
