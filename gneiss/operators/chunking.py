@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from gneiss.functions.text import token_count
 
@@ -61,3 +63,24 @@ def packed(parts: Column, limit: int, joiner: str = " ") -> Column:
 def sentences(c: Column) -> Column:
     """Breaks at line ends and after . ! or ? with a space."""
     return F.filter(F.split(F.regexp_replace(c, r"([.!?])\s+", "$1\n"), r"\n+"), lambda s: F.trim(s) != "")
+
+
+def newline_slices(df: DataFrame, key: list[str], text: str, size: int) -> DataFrame:
+    """(key, part, body): pieces of at most size characters, cut after the last line end of a piece's second half, else at size."""
+
+    def cut(s: pd.Series) -> pd.Series:
+        out = []
+        for body in s:
+            pieces, start = [], 0
+            while body and start < len(body):
+                end = start + size
+                if end < len(body):
+                    at = body.rfind("\n", start + size // 2, end)
+                    end = at + 1 if at >= 0 else end
+                pieces.append(body[start:end])
+                start = end
+            out.append(pieces)
+        return pd.Series(out)
+
+    pieces = F.pandas_udf(cut, ArrayType(StringType()))
+    return df.select(*key, F.posexplode(pieces(text)).alias("part", "body"))

@@ -92,3 +92,14 @@ def merged_edges(edges: DataFrame, a: str, b: str, same: DataFrame, weights: lis
     named = components(same, "x", "y")
     to = lambda df, c: df.join(named.select(F.col("node").alias(c), F.col("component").alias("_to")), c, "left").withColumn(c, F.coalesce("_to", c)).drop("_to")
     return to(to(edges, a), b).filter(F.col(a) != F.col(b)).groupBy(a, b).agg(*(F.sum(w).alias(w) for w in weights))
+
+
+def grown_by(base: DataFrame, more: DataFrame, a: str, b: str, budget: int) -> DataFrame:
+    """base and edges of more up to `budget` edges in all: first those that touch a node of base, then others, in order.
+    The budget is the feature; base is never cut."""
+    nodes = base.select(F.explode(F.array(a, b)).alias("node")).distinct()
+    new = more.select(a, b).distinct().join(base.select(a, b), [a, b], "left_anti")
+    one = lambda df, c: df.join(nodes.select(F.col("node").alias(c), F.lit(1).alias(f"_{c}")), c, "left")
+    near = one(one(new, a), b).withColumn("_near", F.coalesce(f"_{a}", f"_{b}").isNotNull())
+    left = max(budget - base.select(a, b).distinct().count(), 0)
+    return base.select(a, b).distinct().unionByName(near.orderBy(F.desc("_near"), a, b).limit(left).select(a, b))

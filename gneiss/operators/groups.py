@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from gneiss.operators.windows import first_per
 
 
 def matched(pairs: DataFrame, case: str, left: str, right: str) -> DataFrame:
@@ -103,9 +106,11 @@ def post_windows(posts: DataFrame, topic: str, number: str, text: str, size: int
     return posts.select(topic, number, text).groupBy(topic).applyInPandas(cut, f"{topic} {kinds[topic]}, {number} {kinds[number]}, window int, start int, end int")
 
 
-def display_selection(edges: DataFrame, graph: str, a: str, b: str, weight: str, nodes: int, links: int) -> DataFrame:
-    """A connected part of each (already small) graph for display: grown from the node of greatest core number by most
-    attachments, core number, degree and id; a spanning tree of it first, then its strongest other edges."""
+def display_selection(edges: DataFrame, graph: str, a: str, b: str, weight: str, nodes: int, links: int, strongest: int = 20_000) -> DataFrame:
+    """A connected part of each graph for display, chosen among its `strongest` edges (what a display can draw on is the
+    feature, and bounds a task): grown from the node of greatest core number by most attachments, core number, degree
+    and id; a spanning tree of it first, then its strongest other edges."""
+    edges = first_per(edges, [graph], [F.desc(weight), F.col(a), F.col(b)], strongest)
     kinds = dict(edges.dtypes)
 
     def select(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -65,3 +65,17 @@ def cascade_delete(parents: DataFrame, children: DataFrame, key: str, removed: D
 def retarget(rows: DataFrame, column: str, mapping: DataFrame) -> DataFrame:
     """A foreign key moved by mapping(old, new); keys without a mapping stay."""
     return rows.join(mapping.select(F.col("old").alias(column), F.col("new").alias("_new")), column, "left").withColumn(column, F.coalesce("_new", column)).drop("_new")
+
+
+def sync_chunks(state: DataFrame, now: DataFrame, key: str) -> DataFrame:
+    """Chunks by logical key against a state(key, chunk_id, hash, place, obsolete): key, chunk_id, action.
+
+    Ids are stable: a known key keeps its own, a new one gets the hash of its key. An obsolete chunk that is back is
+    revived, one that only changed its place is moved; what is no longer there becomes obsolete and is never deleted.
+    """
+    s = state.select(key, "chunk_id", F.struct("hash", "place", "obsolete").alias("_s"))
+    n = now.select(key, F.struct("hash", "place").alias("_n"))
+    both = s.join(n, key, "full_outer")
+    here = F.when(F.col("_s").isNull(), "new").when(F.col("_s.obsolete"), "revived").when(F.col("_s.hash") != F.col("_n.hash"), "stale").when(F.col("_s.place") != F.col("_n.place"), "moved").otherwise("same")
+    action = F.when(F.col("_n").isNotNull(), here).when(F.col("_s.obsolete"), "gone").otherwise("obsolete")
+    return both.select(key, F.coalesce("chunk_id", F.sha2(F.col(key), 256)).alias("chunk_id"), action.alias("action"))

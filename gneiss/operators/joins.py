@@ -36,21 +36,43 @@ def _inner_words(c: Column) -> Column:
     return F.xxhash64(F.array_join(F.slice(F.split(c, r"\s+"), 2, 4), " "))
 
 
+#: Quotes of under three words that are looked for in one pass over the texts.
+SHORT_BLOCK = 500
+
+
 def quoted_in(docs: DataFrame, text: str, quotes: DataFrame, quote: str) -> DataFrame:
     """Pairs of rows where the text holds the quote.
 
-    Quotes of six words and more meet texts by a hash of four inner words, so no text is held against every quote;
-    what meets is compared. Shorter quotes, few as a rule, are compared one by one.
+    A quote's inner words are whole words of a text that holds it. Quotes of six words and more meet texts by a hash of
+    four of them, those of three to five by one; texts list hashes only, without the text, and only what meets is
+    fetched and compared. Quotes of one or two words are a set that is looked for in blocks, a pass for each.
     """
-    long = F.size(F.split(quote, r"\s+")) >= 6
+    size = F.size(F.split(quote, r"\s+"))
     w, then = F.split(text, r"\s+"), lambda a, b: F.concat(a, F.lit(" "), b)
     four = w
     for i in (2, 3, 4):
         four = F.zip_with(four, F.slice(w, i, F.greatest(F.size(w), F.lit(1))), then)
-    keyed = docs.withColumn("_key", F.explode(F.array_distinct(F.transform(F.filter(four, lambda x: x.isNotNull()), lambda x: F.xxhash64(x)))))
-    found = keyed.join(quotes.filter(long).withColumn("_key", _inner_words(F.col(quote))), "_key").drop("_key")
+    row = docs.withColumns({"_r1": F.xxhash64(*docs.columns), "_r2": F.xxhash64(F.lit(1), *docs.columns)})
     held = F.col(text).contains(F.col(quote))
-    return found.filter(held).unionByName(docs.join(quotes.filter(~long), held))
+
+    def met(some: DataFrame, hashes: Column, key: Column) -> DataFrame:
+        named = some.withColumn("_key", key)
+        listed = row.select("_r1", "_r2", F.explode(F.array_distinct(F.transform(F.filter(hashes, lambda x: x.isNotNull()), lambda x: F.xxhash64(x)))).alias("_key"))
+        near = listed.join(named.select("_key").distinct(), "_key", "left_semi").distinct()
+        return row.join(near, ["_r1", "_r2"]).join(named, "_key").filter(held).drop("_key", "_r1", "_r2")
+
+    out = met(quotes.filter(size >= 6), four, _inner_words(F.col(quote))).unionByName(met(quotes.filter((size >= 3) & (size < 6)), w, F.xxhash64(F.element_at(F.split(quote, r"\s+"), 2))))
+    short, block = quotes.filter(size < 3), []
+    for x in [r[0] for r in short.select(quote).distinct().toLocalIterator()]:
+        block.append(x)
+        if len(block) == SHORT_BLOCK:
+            out, block = out.unionByName(_each_in(docs, text, short, quote, block)), []
+    return out.unionByName(_each_in(docs, text, short, quote, block)) if block else out
+
+
+def _each_in(docs: DataFrame, text: str, quotes: DataFrame, quote: str, block: list[str]) -> DataFrame:
+    found = docs.withColumn(quote, F.explode(F.filter(F.array(*map(F.lit, block)), lambda x: F.contains(F.col(text), x))))
+    return found.join(quotes, quote).select(*docs.columns, *quotes.columns)
 
 
 def carried(df: DataFrame, key: list[str], order: list[str], value: Column, name: str) -> DataFrame:

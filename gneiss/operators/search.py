@@ -154,3 +154,19 @@ def citations(df: DataFrame, key: str, answer: str, n_sources: int) -> DataFrame
 
 def retention(judged: DataFrame, column: str) -> DataFrame:
     return judged.agg(ratio(F.count_if(F.col(column)), F.count("*")).alias("rate"))
+
+
+def agreed(vector: DataFrame, keyword: DataFrame, stored: DataFrame, id_: str) -> DataFrame:
+    """(id, content) of hits of vector(id, v) and keyword(id, k): the keyword branch's content id wins, and must be the
+    one that stored(id, stored) has."""
+    both = vector.join(keyword, id_, "full_outer").withColumn("content", F.coalesce("k", "v"))
+    return both.join(stored, id_).filter("content = stored").select(id_, "content")
+
+
+def device_gate(items: DataFrame, device: str, guide: str, questions: DataFrame, id_: str, question: str) -> DataFrame:
+    """(question's id, item columns): for each of a stated set of questions all items, but of guides only those of the
+    devices that it names, if it names any. Devices are a short list of names, and so are those that questions name."""
+    names = [r[0] for r in items.select(device).distinct().toLocalIterator()]
+    named = F.filter(F.array(*(F.when(matches_term(F.col(question), n), F.lit(n)) for n in names)), lambda x: x.isNotNull())
+    asked = questions.select(id_, named.alias("_named"))
+    return items.join(F.broadcast(asked)).filter(~F.col(guide) | (F.size("_named") == 0) | F.array_contains("_named", F.col(device))).drop("_named")

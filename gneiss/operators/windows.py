@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gneiss.shared import written
+
 
 def first_per(df: DataFrame, key: list[str], order: list[Column], n: int = 1) -> DataFrame:
     """The first n rows of each key in order."""
@@ -30,13 +32,22 @@ def within_budget(df: DataFrame, key: list[str], order: list[Column], cost: Colu
     return df.withColumn("spent", F.sum(cost).over(w)).filter(F.col("spent") <= budget)
 
 
+def ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """df with the place of each row in the order of all rows, from 1, without one task that sorts them all: range
+    partitions are ranked each, and the numbers of rows before them (a row a partition) added."""
+    parts = written(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = parts.groupBy("_part").agg(F.count("*").alias("_rows")).select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+    local = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return parts.withColumn("_nth", local).join(F.broadcast(sizes), "_part").withColumn(name, F.col("_before") + F.col("_nth")).drop("_part", "_nth", "_before")
+
+
 def interleaved(a: DataFrame, b: DataFrame, id_: str, order: list[Column]) -> DataFrame:
     """Ids of two ranked lists in turn, first list first; an id that both hold keeps its first place."""
-    w = Window.orderBy(*order)
-    ranked = lambda df, side: df.select(id_, F.row_number().over(w).alias("_i"), F.lit(side).alias("_side"))
-    both = ranked(a, 0).unionByName(ranked(b, 1))
-    first = both.groupBy(id_).agg(F.min(F.struct("_i", "_side")).alias("_p"))
-    return first.select(id_, F.row_number().over(Window.orderBy("_p._i", "_p._side")).alias("place"))
+    listed = lambda df, side: ranked(df, order, "_i").select(id_, "_i", F.lit(side).alias("_side"))
+    both = listed(a, 0).unionByName(listed(b, 1))
+    first = both.groupBy(id_).agg(F.min(F.struct("_i", "_side")).alias("_p")).select(id_, "_p._i", "_p._side")
+    return ranked(first, [F.col("_i"), F.col("_side")], "place").select(id_, "place")
 
 
 def around(df: DataFrame, key: list[str], order: list[str], text: str, n: int = 500) -> DataFrame:

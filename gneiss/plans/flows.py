@@ -52,12 +52,12 @@ def _(t):
     return g.filter((F.col("g.id") == F.col("p_partkey")) & (F.col("g.title") != "")).select("p_partkey", "g.id", "g.title")
 
 
-@query("src_11_webvtt", "SELECT event_id, CAST(event_id % 3600 AS DOUBLE) AS start, event_id % 3600 + 1.5 AS \"end\", event_type AS body FROM events WHERE user_id < 40")
+@query("src_11_webvtt", "SELECT event_id, CAST(event_id % 3600 AS DOUBLE) AS start, event_id % 3600 + 1.5 AS \"end\", event_type AS body FROM events")
 def _(t):
     e = F.col("event_id") % 3600
     clock = lambda c, ms: F.format_string("%02d:%02d:%02d." + ms, F.floor(c / 3600), F.floor(c / 60) % 60, c % 60)
     vtt = F.concat(F.lit("WEBVTT\n\n"), clock(e, "000"), F.lit(" --> "), clock(e + 1, "500"), F.lit(" align:start\n<c>"), "event_type", F.lit("</c>\n\nNOTE nothing\n"))
-    c = t.events.filter("user_id < 40").select("event_id", F.explode(files.captions(vtt)).alias("s"))
+    c = t.events.select("event_id", F.explode(files.captions(vtt)).alias("s"))
     return c.select("event_id", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.text").alias("body"))
 
 
@@ -93,10 +93,10 @@ def _(t):
     return chunking.fixed_slices(items, "page_id", "title", 40).select("page_id", "chunk_index", "body")
 
 
-@query("pl_4_supplier_merge", """WITH r AS (SELECT l_suppkey, l_partkey, l_orderkey, l_shipdate FROM lineitem WHERE l_quantity >= 48), k AS (SELECT r.* FROM r JOIN part ON l_partkey = p_partkey WHERE p_size <= 25)
+@query("pl_4_supplier_merge", """WITH r AS (SELECT l_suppkey, l_partkey, l_orderkey, l_shipdate FROM lineitem), k AS (SELECT r.* FROM r JOIN part ON l_partkey = p_partkey WHERE p_size <= 25)
  SELECT l_suppkey, l_partkey, count(DISTINCT l_orderkey) AS seen, max(year(l_shipdate)) AS latest, row_number() OVER (PARTITION BY l_suppkey ORDER BY count(DISTINCT l_orderkey) DESC, l_partkey) AS place FROM k GROUP BY l_suppkey, l_partkey""")
 def _(t):
-    r = t.lineitem.filter("l_quantity >= 48").join(t.part.filter("p_size <= 25").select(F.col("p_partkey").alias("l_partkey")), "l_partkey", "left_semi")
+    r = t.lineitem.join(t.part.filter("p_size <= 25").select(F.col("p_partkey").alias("l_partkey")), "l_partkey", "left_semi")
     m = r.groupBy("l_suppkey", "l_partkey").agg(F.count_distinct("l_orderkey").alias("seen"), F.max(F.year("l_shipdate")).alias("latest"))
     return m.withColumn("place", F.row_number().over(Window.partitionBy("l_suppkey").orderBy(F.desc("seen"), "l_partkey")))
 

@@ -35,7 +35,7 @@ def _(t):
 
 @query("gr_4_k_core")
 def _(t):
-    return graph.k_core(facts(t).filter("quantity >= 48"), "subject", "object", 3)
+    return graph.k_core(facts(t), "subject", "object", 25)
 
 
 @query("gr_6_parallel", f"SELECT least(subject, object) AS a, greatest(subject, object) AS b, count(*) AS edges, CAST(sum(quantity) AS BIGINT) AS weight, CAST(max(quantity) AS BIGINT) AS strongest FROM {FACTS} GROUP BY 1, 2")
@@ -43,9 +43,9 @@ def _(t):
     return graph.parallel(facts(t), "subject", "object", "quantity").select("a", "b", "edges", F.col("weight").cast("long").alias("weight"), F.col("strongest").cast("long").alias("strongest"))
 
 
-@query("gr_7_mentions", f"SELECT source_id, subject, count(*) AS n FROM {FACTS} WHERE source_id < 2000 GROUP BY ALL")
+@query("gr_7_mentions", f"SELECT source_id, subject, count(*) AS n FROM {FACTS} GROUP BY ALL")
 def _(t):
-    return facts(t).filter("source_id < 2000").groupBy("source_id", "subject").agg(F.count("*").alias("n"))
+    return facts(t).groupBy("source_id", "subject").agg(F.count("*").alias("n"))
 
 
 @query("gr_8_entity_match", f"SELECT DISTINCT subject FROM {FACTS} WHERE contains(subject, '17') ORDER BY subject LIMIT 20")
@@ -65,9 +65,9 @@ def _(t):
     return f.join(F.broadcast(page), key).groupBy(key).agg(F.count("*").alias("evidence"), F.count_distinct("source_id").alias("sources"))
 
 
-@query("gr_12_projection_ids", f"SELECT sha256('[\"' || subject || '\",\"' || predicate || '\",\"' || object || '\"]') AS id, count(*) AS n FROM {FACTS} WHERE quantity = 1 GROUP BY 1")
+@query("gr_12_projection_ids", f"SELECT sha256('[\"' || subject || '\",\"' || predicate || '\",\"' || object || '\"]') AS id, count(*) AS n FROM {FACTS} GROUP BY 1")
 def _(t):
-    return facts(t).filter("quantity = 1").groupBy(F.sha2(F.to_json(F.array("subject", "predicate", "object")), 256).alias("id")).agg(F.count("*").alias("n"))
+    return facts(t).groupBy(F.sha2(F.to_json(F.array("subject", "predicate", "object")), 256).alias("id")).agg(F.count("*").alias("n"))
 
 
 @query("gr_13_invariants", "SELECT count(*) FILTER (NOT EXISTS (SELECT 1 FROM supplier s WHERE s_suppkey = l_suppkey)) AS no_subject, count(*) FILTER (NOT EXISTS (SELECT 1 FROM part p WHERE p_partkey = l_partkey)) AS no_object FROM lineitem")
@@ -76,22 +76,27 @@ def _(t):
     return j.agg(F.count_if(F.col("s").isNull()).alias("no_subject"), F.count_if(F.col("p").isNull()).alias("no_object"))
 
 
-@query("gr_15_orientation", "SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'A' AND p_size < s_nationkey THEN 'swap' WHEN l_returnflag = 'N' AND p_size > 40 THEN 'invalid' ELSE 'keep' END AS verdict FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity >= 48")
+@query("gr_15_orientation", "SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'A' AND p_size < s_nationkey THEN 'swap' WHEN l_returnflag = 'N' AND p_size > 40 THEN 'invalid' ELSE 'keep' END AS verdict FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey")
 def _(t):
-    j = t.lineitem.filter("l_quantity >= 48").join(t.part, F.col("l_partkey") == F.col("p_partkey")).join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+    j = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey"))
     v = F.when((F.col("l_returnflag") == "A") & (F.col("p_size") < F.col("s_nationkey")), "swap").when((F.col("l_returnflag") == "N") & (F.col("p_size") > 40), "invalid").otherwise("keep")
     return j.select("l_orderkey", "l_linenumber", v.alias("verdict"))
 
 
-@query("gr_18_span_gaps", f"SELECT doc_id, count(*) FILTER (start_char > reach) AS gaps FROM (SELECT doc_id, start_char, coalesce(max(end_char) OVER (PARTITION BY doc_id ORDER BY start_char ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS reach FROM {CHUNKS}) GROUP BY doc_id")
+@query("gr_18_span_gaps", f"SELECT doc_id, count(*) FILTER (start_char > reach) AS gaps, max(end_char) AS covered FROM (SELECT doc_id, start_char, end_char, coalesce(max(end_char) OVER (PARTITION BY doc_id ORDER BY start_char ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS reach FROM {CHUNKS} WHERE (doc_id + chunk_index) % 4 <> 2) GROUP BY doc_id")
 def _(t):
+    """Gaps between the chunks that a document's facts map to, where some chunks are missing."""
     w = Window.partitionBy("doc_id").orderBy("start_char").rowsBetween(Window.unboundedPreceding, -1)
-    return chunks(t).withColumn("reach", F.coalesce(F.max("end_char").over(w), F.lit(0))).groupBy("doc_id").agg(F.count_if(F.col("start_char") > F.col("reach")).alias("gaps"))
+    c = chunks(t).filter((F.col("doc_id") + F.col("chunk_index")) % 4 != 2)
+    return c.withColumn("reach", F.coalesce(F.max("end_char").over(w), F.lit(0))).groupBy("doc_id").agg(F.count_if(F.col("start_char") > F.col("reach")).alias("gaps"), F.max("end_char").alias("covered"))
 
 
-@query("gr_19_withdraw", "SELECT o_orderkey, o_orderstatus = 'F' AS withdrawn FROM orders WHERE o_orderstatus <> 'P'")
+@query("gr_19_withdraw", "SELECT user_id, coalesce(max_by(event_type, (ts, event_id)) FILTER (event_type IN ('error', 'signup')), 'none') AS last, coalesce(max_by(event_type, (ts, event_id)) FILTER (event_type IN ('error', 'signup')), '') <> 'error' AS visible FROM events GROUP BY user_id")
 def _(t):
-    return t.orders.filter("o_orderstatus <> 'P'").select("o_orderkey", (F.col("o_orderstatus") == "F").alias("withdrawn"))
+    """Withdrawals (error) and restorations (signup) of a publication: the last one says whether it is visible."""
+    acts = F.when(F.col("event_type").isin("error", "signup"), F.col("event_type"))
+    g = t.events.groupBy("user_id").agg(F.max(F.when(acts.isNotNull(), F.struct("ts", "event_id", "event_type")))["event_type"].alias("act"))
+    return g.select("user_id", F.coalesce("act", F.lit("none")).alias("last"), (F.coalesce("act", F.lit("")) != "error").alias("visible"))
 
 
 @query("gr_20_overview", f"SELECT count(DISTINCT source_id) AS sources, count(DISTINCT subject) AS subjects, count(DISTINCT object) AS objects, count(DISTINCT (subject, predicate, object)) AS relations, count(*) AS evidence FROM {FACTS}")
@@ -99,25 +104,26 @@ def _(t):
     return facts(t).agg(F.count_distinct("source_id").alias("sources"), F.count_distinct("subject").alias("subjects"), F.count_distinct("object").alias("objects"), F.count_distinct("subject", "predicate", "object").alias("relations"), F.count("*").alias("evidence"))
 
 
-@query("gr_26_cluster_merge", f"""WITH RECURSIVE m AS (SELECT 's' || x AS a, 's' || (x + 1) AS b FROM range(1, 21, 2) r(x)), e AS {EDGES}
- SELECT CASE WHEN c.a IS NOT NULL THEN c.a ELSE subject END AS subject, object, CAST(sum(n) AS BIGINT) AS n FROM e LEFT JOIN m c ON c.b = e.subject GROUP BY 1, 2""")
+@query("gr_26_cluster_merge", f"""WITH m AS (SELECT 's' || x AS old, min('s' || x) OVER (PARTITION BY x % 3) AS new FROM range(1, 43) r(x)), e AS {EDGES},
+ f AS (SELECT coalesce(a.new, subject) AS subject, coalesce(b.new, object) AS object, n FROM e LEFT JOIN m a ON a.old = subject LEFT JOIN m b ON b.old = object)
+ SELECT subject, object, CAST(sum(n) AS BIGINT) AS n FROM f WHERE subject <> object GROUP BY 1, 2""")
 def _(t):
-    same = t.spark.range(1, 21, 2).select(F.concat(F.lit("s"), "id").alias("x"), F.concat(F.lit("s"), F.col("id") + 1).alias("y"))
-    pairs = same.select(F.col("y").alias("old"), F.col("x").alias("new"))
-    return incremental.retarget(edges(t), "subject", pairs).groupBy("subject", "object").agg(F.sum("n").alias("n"))
+    """Suppliers that a chain of pairs says are the same become one node; its edges add up."""
+    same = t.spark.range(1, 40).select(F.concat(F.lit("s"), "id").alias("x"), F.concat(F.lit("s"), F.col("id") + 3).alias("y"))
+    return graph.merged_edges(edges(t), "subject", "object", same, ["n"])
 
 
-NEAR = f"(SELECT subject AS a, object AS b FROM {FACTS} WHERE quantity >= 47 UNION SELECT object, subject FROM {FACTS} WHERE quantity >= 47)"
+NEAR = f"(SELECT subject AS a, object AS b FROM {FACTS} UNION SELECT object, subject FROM {FACTS})"
 
 
 @query("gr_27_shortest_path", f"WITH RECURSIVE b AS {NEAR}, r(node, hop) AS (SELECT 's1', 0 UNION SELECT b.b, r.hop + 1 FROM r JOIN b ON b.a = r.node WHERE r.hop < 4) SELECT 's1' AS start, 's2' AS goal, min(hop) AS hops FROM r WHERE node = 's2' HAVING min(hop) IS NOT NULL")
 def _(t):
-    return graph.shortest(facts(t).filter("quantity >= 47"), "subject", "object", "s1", "s2")
+    return graph.shortest(facts(t), "subject", "object", "s1", "s2")
 
 
-@query("gr_28_lens", f"SELECT DISTINCT node FROM (SELECT unnest([subject, object]) AS node FROM {FACTS} WHERE predicate IN ('A') AND quantity = 50)")
+@query("gr_28_lens", f"SELECT DISTINCT node FROM (SELECT unnest([subject, object]) AS node FROM {FACTS} WHERE predicate IN ('A'))")
 def _(t):
-    return graph.lens(facts(t).filter("quantity = 50"), "subject", "object", "predicate", ["A"])[1]
+    return graph.lens(facts(t), "subject", "object", "predicate", ["A"])[1]
 
 
 @query("gr_29_degrees", f"SELECT node, count(*) AS degree FROM (SELECT unnest([subject, object]) AS node FROM {EDGES}) GROUP BY node")
@@ -125,10 +131,12 @@ def _(t):
     return graph.degrees(edges(t), "subject", "object")
 
 
-@query("gr_30_graph_union", f"SELECT DISTINCT subject, object FROM {FACTS} WHERE quantity = 50 AND predicate IN ('A', 'R')")
+@query("gr_30_graph_union", f"""WITH e AS {EDGES}, base AS (SELECT subject, object FROM e WHERE n >= 4), nodes AS (SELECT subject AS node FROM base UNION SELECT object FROM base), more AS (SELECT subject, object FROM e WHERE n < 4)
+ SELECT * FROM base UNION ALL (SELECT subject, object FROM more ORDER BY (subject IN (SELECT node FROM nodes) OR object IN (SELECT node FROM nodes)) DESC, subject, object LIMIT greatest(0, 800 - (SELECT count(*) FROM base)::INT))""")
 def _(t):
-    f = facts(t).filter("quantity = 50")
-    return f.filter("predicate = 'A'").select("subject", "object").union(f.filter("predicate = 'R'").select("subject", "object")).distinct()
+    """Two graphs merged under a budget of edges, neighbours of the first one first."""
+    e = edges(t)
+    return graph.grown_by(e.filter("n >= 4"), e.filter("n < 4"), "subject", "object", 800)
 
 
 @query("str_1_high_watermark", "SELECT event_id, user_id FROM events WHERE event_id > 9000 ORDER BY event_id DESC LIMIT 200")
@@ -185,9 +193,11 @@ def _(t):
     return t.orders.filter(F.col("o_orderdate") < F.lit("1995-03-01").cast("timestamp_ntz")).orderBy("o_orderdate", "o_orderkey").limit(50).select("o_orderkey")
 
 
-@query("str_17_rotation", "SELECT s_suppkey, (s_suppkey + 1) % 7 AS next FROM supplier")
+@query("str_17_rotation", "SELECT user_id, event_id, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) % 7 AS query, count(*) OVER (PARTITION BY user_id) % 7 AS cursor FROM events")
 def _(t):
-    return t.supplier.select("s_suppkey", ((F.col("s_suppkey") + 1) % 7).alias("next"))
+    """Each run of a source takes the query under its cursor and moves it on; the last position is what is stored."""
+    runs = Window.partitionBy("user_id")
+    return t.events.select("user_id", "event_id", ((F.row_number().over(runs.orderBy("ts", "event_id")) - 1) % 7).alias("query"), (F.count("*").over(runs) % 7).alias("cursor"))
 
 
 @query("str_18_absent", "SELECT page_id FROM pages WHERE page_id NOT IN (SELECT doc_id FROM labels) ORDER BY page_id LIMIT 60")
@@ -238,12 +248,28 @@ def _(t):
     return incremental.cascade_delete(o.select("o_orderkey"), o, "o_orderkey", removed, "o_custkey")[1].select("o_custkey").distinct()
 
 
-@query("snk_9_copy_verified", "SELECT 0 AS differences, count(*) AS n FROM customer")
+@query("snk_9_copy_verified", """WITH c AS (SELECT c_custkey, md5(CASE WHEN c_custkey % 50 = 0 THEN c_name || '?' ELSE c_name END) AS h FROM customer WHERE c_custkey % 77 <> 0 UNION ALL SELECT c_custkey, md5(CASE WHEN c_custkey % 50 = 0 THEN c_name || '?' ELSE c_name END) FROM customer WHERE c_custkey % 99 = 0), s AS (SELECT c_custkey, md5(c_name) AS h FROM customer)
+ SELECT coalesce(a.c_custkey, b.c_custkey) AS c_custkey, coalesce(a.h, b.h) AS h, coalesce(a.n, 0) - coalesce(b.n, 0) AS surplus FROM (SELECT c_custkey, h, count(*) AS n FROM s GROUP BY ALL) a FULL JOIN (SELECT c_custkey, h, count(*) AS n FROM c GROUP BY ALL) b ON a.c_custkey = b.c_custkey AND a.h = b.h WHERE coalesce(a.n, 0) <> coalesce(b.n, 0)""")
 def _(t):
+    """A copy, written and read again, against its source: rows that were lost, changed or doubled on the way show up with their surplus."""
     from gneiss.operators.aggregates import multiset_difference
+    from gneiss.shared import written
 
-    c = t.customer
-    return multiset_difference(c, t.customer).agg(F.count("*").alias("differences")).join(c.agg(F.count("*").alias("n")))
+    broken = F.when(F.col("c_custkey") % 50 == 0, F.concat("c_name", F.lit("?"))).otherwise(F.col("c_name"))
+    copy = t.customer.select("c_custkey", broken.alias("c_name"))
+    copied = written(copy.filter("c_custkey % 77 <> 0").unionByName(copy.filter("c_custkey % 99 = 0")), "copy")
+    digest = lambda df: df.select("c_custkey", F.md5("c_name").alias("h"))
+    return multiset_difference(digest(t.customer), digest(copied))
+
+
+@query("snk_3_supplier_relation", """WITH r AS (SELECT l_suppkey, o_custkey, max(l_shipdate) AS at, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL)
+ SELECT l_suppkey, o_custkey, CAST(CASE WHEN l_suppkey % 3 = 0 THEN 1 ELSE n END AS BIGINT) AS n, l_suppkey % 3 <> 0 AS refreshed FROM r WHERE l_suppkey % 2 = 0 OR l_suppkey % 3 <> 0""")
+def _(t):
+    """Relations by (supplier, buyer): known ones that come again are refreshed, others stay or are put in."""
+    r = t.lineitem.join(t.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey").groupBy("l_suppkey", "o_custkey").agg(F.count("*").alias("n"))
+    old = r.filter("l_suppkey % 2 = 0").select("l_suppkey", "o_custkey", F.lit(1).cast("long").alias("n"), F.lit(False).alias("refreshed"))
+    new = r.filter("l_suppkey % 3 <> 0").withColumn("refreshed", F.lit(True))
+    return incremental.upsert(old, new, ["l_suppkey", "o_custkey"])
 
 
 @query("snk_10_retarget", "SELECT o_orderkey, CASE WHEN o_custkey <= 100 THEN o_custkey + 1000000 ELSE o_custkey END AS o_custkey FROM orders")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gneiss.functions.text import first_sentence
@@ -45,8 +45,11 @@ FACTS = """(SELECT 's' || l_suppkey AS subject, l_returnflag AS predicate, 'p' |
 
 
 def edges(t: Tables) -> DataFrame:
-    """A sparse graph: facts of the largest quantity that were returned."""
-    return facts(t).filter((F.col("quantity") == 50) & (F.col("predicate") == "R")).groupBy("subject", "object").agg(F.count("*").alias("n"))
+    """A sparse graph from all facts: of each object the subject with most evidence, of each subject the object."""
+    g = facts(t).groupBy("subject", "object").agg(F.count("*").alias("n"))
+    best = lambda k, other: F.row_number().over(Window.partitionBy(k).orderBy(F.desc("n"), other)) == 1
+    return g.withColumn("i", best("object", "subject")).withColumn("j", best("subject", "object")).filter("i OR j").select("subject", "object", "n")
 
 
-EDGES = f"(SELECT subject, object, count(*) AS n FROM {FACTS} WHERE quantity = 50 AND predicate = 'R' GROUP BY ALL)"
+EDGES = f"""(SELECT subject, object, n FROM (SELECT *, row_number() OVER (PARTITION BY object ORDER BY n DESC, subject) AS i, row_number() OVER (PARTITION BY subject ORDER BY n DESC, object) AS j
+ FROM (SELECT subject, object, count(*) AS n FROM {FACTS} GROUP BY ALL)) WHERE i = 1 OR j = 1)"""

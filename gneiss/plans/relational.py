@@ -112,9 +112,9 @@ def _(t):
     return joins.without_covered(s, "user_id", "a", "b")
 
 
-@query("jn_17_differences", "WITH x AS (SELECT l_partkey, l_tax AS v, min(l_suppkey) AS id FROM lineitem WHERE l_quantity >= 45 GROUP BY ALL) SELECT a.l_partkey, a.id AS a, b.id AS b, a.v AS value_a, b.v AS value_b FROM x a JOIN x b ON a.l_partkey = b.l_partkey AND a.id < b.id")
+@query("jn_17_differences", "WITH x AS (SELECT l_partkey, l_tax AS v, min(l_suppkey) AS id FROM lineitem GROUP BY ALL) SELECT a.l_partkey, a.id AS a, b.id AS b, a.v AS value_a, b.v AS value_b FROM x a JOIN x b ON a.l_partkey = b.l_partkey AND a.id < b.id")
 def _(t):
-    return joins.differing_pairs(t.lineitem.filter("l_quantity >= 45"), ["l_partkey"], "l_suppkey", "l_tax")
+    return joins.differing_pairs(t.lineitem, ["l_partkey"], "l_suppkey", "l_tax")
 
 
 @query("jn_18_candidate_pairs", """SELECT a, b FROM (SELECT a.s_suppkey AS a, b.s_suppkey AS b, row_number() OVER (PARTITION BY a.s_suppkey ORDER BY abs(a.s_acctbal - b.s_acctbal), b.s_suppkey) AS n
@@ -153,11 +153,11 @@ def _(t):
     return joins.carried(t.events, ["user_id"], ["ts", "event_id"], F.when(F.col("event_type") == "signup", F.col("event_id")), "heading").select("event_id", "heading")
 
 
-@query("jn_25_box_overlap", """WITH b AS (SELECT p_partkey, p_size AS x0, p_size + 10 AS x1, p_retailprice AS y0, p_retailprice + 50 AS y1 FROM part WHERE p_partkey <= 300)
+@query("jn_25_box_overlap", """WITH b AS (SELECT p_partkey, p_size AS x0, p_size + 10 AS x1, p_retailprice AS y0, p_retailprice + 50 AS y1, p_partkey // 40 AS page FROM part)
  SELECT * FROM (SELECT a.p_partkey AS a, b.p_partkey AS b, round(greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) / (1000 - greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0))), 6) AS iou
- FROM b a JOIN b ON a.p_partkey < b.p_partkey) WHERE iou >= 0.5""")
+ FROM b a JOIN b ON a.page = b.page AND a.p_partkey < b.p_partkey) WHERE iou >= 0.5""")
 def _(t):
-    b = t.part.filter("p_partkey <= 300").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("x0"), (F.col("p_size") + 10.0).alias("x1"), F.col("p_retailprice").alias("y0"), (F.col("p_retailprice") + 50).alias("y1"), F.lit(1).alias("page"))
+    b = t.part.select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("x0"), (F.col("p_size") + 10.0).alias("x1"), F.col("p_retailprice").alias("y0"), (F.col("p_retailprice") + 50).alias("y1"), F.floor(F.col("p_partkey") / 40).alias("page"))
     a = b.select("page", *(F.col(c).alias(f"{c}_a") for c in ("id", "x0", "x1", "y0", "y1")))
     near = joins.overlapping(a, b, "page", ("x0_a", "x1_a"), ("x0", "x1"), 10.0).filter("id_a < id")
     box = lambda s: tuple(F.col(f"{c}{s}") for c in ("x0", "y0", "x1", "y1"))
@@ -280,9 +280,9 @@ def _(t):
     return aggregates.voted(t.part, F.lower("p_name"), "p_name", "p_type")
 
 
-@query("ag_20_edge_merge", f"SELECT subject, object, count(*) AS n, round(sum(confidence), 4) AS strength, string_agg(DISTINCT predicate, '|' ORDER BY predicate) AS predicates FROM {FACTS} WHERE quantity >= 49 GROUP BY ALL")
+@query("ag_20_edge_merge", f"SELECT subject, object, count(*) AS n, round(sum(confidence), 4) AS strength, string_agg(DISTINCT predicate, '|' ORDER BY predicate) AS predicates FROM {FACTS} GROUP BY ALL")
 def _(t):
-    return facts(t).filter("quantity >= 49").groupBy("subject", "object").agg(F.count("*").alias("n"), R(F.sum("confidence"), 4).alias("strength"), F.array_join(F.sort_array(F.collect_set("predicate")), "|").alias("predicates"))
+    return facts(t).groupBy("subject", "object").agg(F.count("*").alias("n"), R(F.sum("confidence"), 4).alias("strength"), F.array_join(F.sort_array(F.collect_set("predicate")), "|").alias("predicates"))
 
 
 @query("ag_22_decision", "SELECT user_id, CASE WHEN bool_or(event_type = 'purchase') THEN 'extract' WHEN bool_or(event_type = 'error') THEN 'defer' ELSE 'skip' END AS decision FROM events GROUP BY user_id")
@@ -360,13 +360,14 @@ def _(t):
 def _(t):
     """Events of a user as timed segments, grouped while text stays under 200 characters and two hours."""
     at = F.unix_seconds(F.col("ts").cast("timestamp")).cast("double")
-    seg = t.events.filter("user_id < 50").select("user_id", at.alias("start"), (at + F.col("value")).alias("end"), F.concat_ws(" ", "event_type", "event_id").alias("body"))
+    seg = t.events.select("user_id", at.alias("start"), (at + F.col("value")).alias("end"), F.concat_ws(" ", "event_type", "event_id").alias("body"))
     return windows.bounded_groups(seg, ["user_id"], "start", "end", "body", 200, 7200.0)
 
 
 @query("wn_9_rank_shift", "SELECT p_partkey, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS original_rank, row_number() OVER (PARTITION BY p_brand ORDER BY p_size, p_partkey) AS rank FROM part")
 def _(t):
-    return t.part.select("p_partkey", F.row_number().over(Window.orderBy(F.desc("p_retailprice"), "p_partkey")).alias("original_rank"), F.row_number().over(Window.partitionBy("p_brand").orderBy("p_size", "p_partkey")).alias("rank"))
+    shown = windows.ranked(t.part, [F.desc("p_retailprice"), F.col("p_partkey")], "original_rank")
+    return shown.select("p_partkey", "original_rank", F.row_number().over(Window.partitionBy("p_brand").orderBy("p_size", "p_partkey")).alias("rank"))
 
 
 @query("wn_10_interleave", """WITH a AS (SELECT p_partkey, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS i, 0 AS s FROM part WHERE p_size > 40), b AS (SELECT p_partkey, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS i, 1 AS s FROM part WHERE p_brand = 'Brand#1')

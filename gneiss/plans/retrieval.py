@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gneiss.functions import text, urls
 from gneiss.operators import search
+from gneiss.operators.windows import within_budget
 from gneiss.plans.model import CHUNKS, ITEMS, chunks, items
 from gneiss.plans.registry import query
 
@@ -118,6 +119,25 @@ def _(t):
     return ranked.orderBy("pass", F.desc(R(F.col("score"), 9)), "id").limit(20).select("id", "source", R(F.col("score")).alias("score"), "pass")
 
 
+@query("pl_3_answer", f"""WITH h AS (SELECT h.*, d.source, d.text, row_number() OVER (PARTITION BY d.source ORDER BY round(score, 9) DESC, h.vector DESC, id) AS pass FROM {HYBRID} h JOIN documents d ON h.id = d.doc_id),
+ k AS (SELECT * FROM h ORDER BY pass, round(score, 9) DESC, id LIMIT 20), r AS (SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC, id) AS place FROM k),
+ s AS (SELECT *, sum(least(length(text), 600)) OVER (ORDER BY place ROWS UNBOUNDED PRECEDING) AS spent FROM r)
+ SELECT place, id, CAST(spent AS BIGINT) AS spent, md5('[' || place || '] ' || substring(text, 1, 60)) AS line, place BETWEEN 1 AND (SELECT count(*) FROM s WHERE spent <= 4000) AS cited FROM s WHERE spent <= 4000""")
+def _(t):
+    """An answer's evidence: hybrid hits one source after the other, reranked by score, as context lines within a budget of
+    characters; each line's number is checked as a citation. Twenty rows at most after retrieval."""
+    h = _hybrid(t).join(t.documents.select(F.col("doc_id").alias("id"), "source", "text"), "id")
+    high = F.desc(R(F.col("score"), 9))
+    passed = h.withColumn("pass", F.row_number().over(Window.partitionBy("source").orderBy(high, F.desc("vector"), "id")))
+    kept = passed.orderBy("pass", high, "id").limit(20).withColumn("one", F.lit(1))
+    placed = kept.withColumn("place", F.row_number().over(Window.partitionBy("one").orderBy(high, "id")))
+    context = within_budget(placed, ["one"], [F.col("place")], F.least(F.length("text"), F.lit(600)), 4000)
+    line = F.concat(F.lit("["), "place", F.lit("] "), F.substring("text", 1, 60))
+    said = context.select("place", "id", "spent", line.alias("said"), F.count("*").over(Window.partitionBy("one")).alias("n"))
+    cited = F.regexp_extract("said", r"^\[([0-9]+)\]", 1).cast("int")
+    return said.select("place", "id", "spent", F.md5("said").alias("line"), cited.between(1, F.col("n")).alias("cited"))
+
+
 BM = ["license", "the", "token"]
 
 
