@@ -3,7 +3,8 @@
 A paragraph (line) with a licence cue is classed by multinomial logistic regression over sparse word n-grams. Training
 rows are licence templates whole, thinned and among prose of the corpus, and paragraphs that name no family. Scores are
 calibrated by a temperature on rows held out; what falls below CONFIDENT, or is likeliest of no family, is unknown. A
-family counts as confirmed if a template of it and the paragraph hold each other's word triples to a large part.
+family counts as confirmed if a template of it and the paragraph hold each other's word triples to a large part, the
+paragraph has all numbers of the template (its version), and no qualifier that the template has not.
 """
 
 from __future__ import annotations
@@ -19,14 +20,23 @@ from gneiss.llm.common import cut, table, text_or_empty, written
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0'),
+    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("BSD-2-Clause", "Released under the BSD 2-Clause License."),
     ("BSD-3-Clause", "Released under the BSD 3-Clause License."),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
@@ -38,6 +48,8 @@ NAMELESS = [
     "Released under license of the publisher.", "Licensed under terms to be agreed.", "This work is protected by copyright.", "Version 2.0 of the license plate register.",
 ]
 CUES = ["licen", "copyright", "redistribut", "permission", "public license", "creative commons"]
+# Neighbouring words that make another licence of the one they stand in.
+QUALIFIERS = ["by nc", "by nd", "by sa", "nc nd", "nc sa", "attribution noncommercial", "attribution noderivatives", "attribution sharealike", "noncommercial sharealike", "gnu affero", "gnu lesser", "gnu library"]
 UNKNOWN = "unknown"
 FAMILIES = sorted({f for f, _ in TEMPLATES})
 CLASSES = [*FAMILIES, UNKNOWN]
@@ -103,6 +115,11 @@ def _features(paragraph: Column) -> Column:
     return F.array_distinct(F.flatten(F.array(grams(t, 1), grams(t, 2), grams(t, 3))))
 
 
+def _qualifiers(w: Column) -> Column:
+    """The QUALIFIERS among the neighbouring words of w."""
+    return F.array_intersect(grams(w, 2), F.array(*map(F.lit, QUALIFIERS)))
+
+
 def fit(docs: DataFrame) -> Model:
     rows = cut(training_rows(docs).select(F.array_position(F.array(*map(F.lit, CLASSES)), F.col("family")).cast("double").alias("at"), _features(F.col("paragraph")).alias("grams"), F.pmod(F.xxhash64("paragraph"), F.lit(4)).alias("fold")).withColumn("label", F.col("at") - 1).coalesce(2))
     counter = CountVectorizer(inputCol="grams", outputCol="features", vocabSize=NGRAMS, minDF=2, binary=True).fit(rows.filter("fold > 0"))
@@ -145,15 +162,19 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
     base = docs.select("doc_id", text_or_empty().alias("text"))
     cued = has_cue(F.col("text"))
     numbered = base.filter(cued).withColumn("row", F.monotonically_increasing_id())
-    lines = numbered.select("row", "doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line")).filter(has_cue(F.col("line"))).withColumn("triples", F.array_distinct(grams(words(F.col("line")), 3)))
-    z = margins(lines.withColumn("grams", _features(F.col("line"))), model, ["row", "doc_id", "at", "triples"])
+    lines = numbered.select("row", "doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line")).filter(has_cue(F.col("line")))
+    scored = margins(lines.withColumn("grams", _features(F.col("line"))), model, ["row", "doc_id", "at", "line"])
+    z = scored.withColumn("w", words(F.col("line"))).select("row", "doc_id", "at", "z", F.array_distinct(grams(F.col("w"), 3)).alias("triples"), F.filter(grams(F.col("w"), 1), lambda x: x.rlike(r"^[0-9.]+$")).alias("numbers"), _qualifiers(F.col("w")).alias("qualifiers"))
     scaled = F.transform("z", lambda x: F.exp((x - F.array_max("z")) / F.lit(model.temperature)))
     classed = z.withColumn("p", 1 / F.aggregate(scaled, F.lit(0.0), lambda s, x: s + x)).withColumn("likeliest", F.element_at(F.array(*map(F.lit, CLASSES)), F.array_position("z", F.array_max("z")).cast("int")))
     known = F.when(F.col("p") >= CONFIDENT, F.col("likeliest")).otherwise(F.lit(UNKNOWN))
-    templates = _literal_rows(spark, TEMPLATES, ["family", "template"]).select("family", F.array_distinct(grams(words(F.col("template")), 3)).alias("t")).groupBy("family").agg(F.collect_list("t").alias("templates"))
+    rows = _literal_rows(spark, TEMPLATES, ["family", "template"]).withColumn("w", words(F.col("template")))
+    templates = rows.select("family", F.struct(F.array_distinct(grams(F.col("w"), 3)).alias("t"), F.filter(grams(F.col("w"), 1), lambda x: x.rlike(r"^[0-9.]+$")).alias("numbers"), _qualifiers(F.col("w")).alias("qualifiers")).alias("s")).groupBy("family").agg(F.collect_list("s").alias("templates"))
     compared = classed.withColumn("known", known).join(F.broadcast(templates), F.col("known") == F.col("family"), "left")
     shared = lambda t: F.size(F.array_intersect(t, F.col("triples")))
-    alike = F.coalesce(F.exists("templates", lambda t: (shared(t) >= ALIKE * F.size(t)) | ((F.size("triples") >= 8) & (shared(t) >= ALIKE * F.size("triples")))), F.lit(False))
+    same = lambda s: (F.size(F.array_except(s["numbers"], F.col("numbers"))) == 0) & (F.size(F.array_except(F.col("qualifiers"), s["qualifiers"])) == 0)
+    near = lambda t: (shared(t) >= ALIKE * F.size(t)) | ((F.size("triples") >= 8) & (shared(t) >= ALIKE * F.size("triples")))
+    alike = F.coalesce(F.exists("templates", lambda s: near(s["t"]) & same(s)), F.lit(False))
     judged = compared.withColumn("confirmed", (F.col("known") != UNKNOWN) & alike)
     sure = F.when(F.col("confirmed"), F.col("known"))
     found = judged.groupBy("row", "doc_id").agg(F.count(F.lit(1)).alias("n_candidates"), F.array_join(F.sort_array(F.collect_set(sure)), ",").alias("families"), F.count(sure).alias("n_confirmed"), F.count_if(~F.col("confirmed")).alias("n_unknown"), F.max(F.when(F.col("confirmed"), F.col("p"))).alias("probability")).drop("row")
@@ -162,5 +183,6 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """scan of all documents by a model fitted on templates and prose of them; edge cases as there."""
     docs = table(spark, sf_dir, "documents")
     return scan(docs, fit(docs))

@@ -36,6 +36,21 @@ def test_held_out_variants(make, model):
     assert got == {0: "MIT", 1: "Apache-2.0", 2: "GPL-3.0", 3: "CC-BY-NC-4.0"}
 
 
+def test_neighbouring_licences_are_not_confused(make, model):
+    gpl = "This program is free software{} you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation{} either version {} of the License, or (at your option) any later version."
+    rows = [
+        (1, gpl.format(";", ";", 2)), (2, gpl.format(":", ",", 3)), (3, gpl.format(";", ";", 9)),
+        (4, "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+        (5, "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+        (6, "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+        (7, "This work is licensed under the GNU Lesser General Public License, version 3."), (8, "Licensed under CC BY-SA 4.0."),
+    ]
+    got = {r["doc_id"]: r["families"] for r in lic.scan(make(rows), model).collect()}
+    wrong = {1: "GPL-3.0", 3: "GPL-3.0", 4: "CC-BY-4.0", 6: "CC-BY-4.0", 7: "GPL-3.0", 8: "CC-BY-4.0"}
+    assert not any(f in got[i].split(",") for i, f in wrong.items())
+    assert got[2] == "GPL-3.0" and got[5] == "CC-BY-4.0" and got[1] in ("GPL-2.0", "")
+
+
 def test_empty_table(make, model):
     assert lic.scan(make([]), model).count() == 0
     lic.fit(make([]))
