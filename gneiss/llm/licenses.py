@@ -1,75 +1,92 @@
 """Operator 10, licence scans by a trained paragraph classifier, with DataFrame functions and Spark ML only.
 
-A paragraph (line) with a licence cue is classed by multinomial logistic regression over sparse word n-grams. Training
-rows are licence templates whole, thinned and among prose of the corpus, and paragraphs that name no family. Scores are
-calibrated by a temperature on rows held out; what falls below CONFIDENT, or is likeliest of no family, is unknown. A
-family counts as confirmed if a template of it and the paragraph hold each other's word triples to a large part, the
-paragraph has all numbers of the template (its version), and no qualifier that the template has not.
+Every paragraph (line) is classed by multinomial logistic regression over sparse word n-grams, those of the training
+wordings. Classes are the licence families, "unknown" (licence wording of no family) and "none" (no licence wording).
+Training rows are the wordings whole, thinned and beside prose of the corpus, and that prose. Scores are calibrated by
+a temperature, chosen on wordings and prose that the fit has not seen; what falls below CONFIDENT is unknown. A family
+counts as confirmed if a template of it and the paragraph hold each other's word triples to a large part, the paragraph
+has all numbers of the template (its version), and no qualifier that the template has not.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizer
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import cut, table, text_or_empty, written
+from gneiss.llm.common import cut, table, text_or_empty
 
-# Public licence notices by family, wording that names no family, and the stems that make a paragraph a candidate.
-TEMPLATES = [
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
+# Public licence notices by family, the names that short notices give, and sentences around such a name.
+NOTICES = [
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0'),
-    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
-    ("BSD-2-Clause", "Released under the BSD 2-Clause License."),
-    ("BSD-3-Clause", "Released under the BSD 3-Clause License."),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
     ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
-    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
-    ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("MPL-2.0", "Licensed under the Mozilla Public License 2.0."),
 ]
+NAMES = [
+    ("AGPL-3.0", "the GNU Affero General Public License, version 3"), ("AGPL-3.0", "AGPL-3.0"),
+    ("Apache-2.0", "the Apache License, Version 2.0"), ("Apache-2.0", "Apache-2.0"),
+    ("BSD-2-Clause", "the BSD 2-Clause License"), ("BSD-3-Clause", "the BSD 3-Clause License"),
+    ("CC-BY-4.0", "CC BY 4.0"), ("CC-BY-4.0", "a Creative Commons Attribution 4.0 International License"),
+    ("CC-BY-NC-4.0", "CC BY-NC 4.0"), ("CC-BY-NC-4.0", "a Creative Commons Attribution-NonCommercial 4.0 International License"),
+    ("CC-BY-SA-4.0", "CC BY-SA 4.0"), ("CC-BY-SA-4.0", "a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("CC0-1.0", "CC0 1.0"), ("CC0-1.0", "the CC0 1.0 Universal Public Domain Dedication"),
+    ("GPL-2.0", "the GNU General Public License, version 2"), ("GPL-2.0", "GPL-2.0"),
+    ("GPL-3.0", "the GNU General Public License, version 3"), ("GPL-3.0", "GPL-3.0"),
+    ("ISC", "the ISC License"),
+    ("LGPL-3.0", "the GNU Lesser General Public License, version 3"), ("LGPL-3.0", "LGPL-3.0"),
+    ("MIT", "the MIT License"),
+    ("MPL-2.0", "the Mozilla Public License 2.0"), ("MPL-2.0", "MPL-2.0"),
+]
+SENTENCES = ["Licensed under {}.", "Released under {}.", "This work is licensed under {}.", "Distributed under the terms of {}.", "You may use this file under {}.", "The source code is available under {}."]
+#: The calibration's rows: short notices of the last HELD_SENTENCES sentences, one in HELD_OF nameless wordings and pieces of prose.
+HELD_SENTENCES, HELD_OF = 2, 4
+TEMPLATES = [*NOTICES, *((f, s.format(n)) for f, n in NAMES for s in SENTENCES)]
+HELD = {s.format(n) for _, n in NAMES for s in SENTENCES[-HELD_SENTENCES:]}
+# Wording that names no family, sentences without licence wording, and stems that keep a line out of the prose.
 NAMELESS = [
     "All rights reserved. Copyright by the author.", "See the license file for details.", "The license terms are stated elsewhere.", "Used with permission of the owner.",
     "A licence is needed to drive.", "This is a proprietary license; redistribution is not allowed.", "Copyright holders keep all rights.", "Licensed to the buyer under a separate agreement.",
     "Released under license of the publisher.", "Licensed under terms to be agreed.", "This work is protected by copyright.", "Version 2.0 of the license plate register.",
 ]
+PLAIN = ["The weather was fine, so we walked along the river.", "This is the last part of the work that we began in spring.", "All of them came to the meeting and left early.", "You may find the files of the second version in the other room."]
 CUES = ["licen", "copyright", "redistribut", "permission", "public license", "creative commons"]
 # Neighbouring words that make another licence of the one they stand in.
 QUALIFIERS = ["by nc", "by nd", "by sa", "nc nd", "nc sa", "attribution noncommercial", "attribution noderivatives", "attribution sharealike", "noncommercial sharealike", "gnu affero", "gnu lesser", "gnu library"]
-UNKNOWN = "unknown"
+UNKNOWN, NONE = "unknown", "none"
 FAMILIES = sorted({f for f, _ in TEMPLATES})
-CLASSES = [*FAMILIES, UNKNOWN]
-#: Documents and paragraphs of the corpus that training takes at most, n-grams that the model keeps, and its ridge.
-TRAIN_DOCS, TRAIN_LINES, NGRAMS, RIDGE = 500, 600, 4096, 1e-3
+CLASSES = [*FAMILIES, UNKNOWN, NONE]
+#: Documents of the corpus that training takes at most, pieces of them, words of a piece, and the model's ridge.
+TRAIN_DOCS, TRAIN_PIECES, PIECE, RIDGE = 500, 600, 40, 1e-3
+#: Thinned copies of a template, of a nameless wording and of a plain sentence, and groups of prose to put beside them.
+COPIES, NAMELESS_COPIES, SLOTS = 3, 12, 64
 CONFIDENT, ALIKE = 0.6, 0.8
 TEMPERATURES = [0.5, 0.7, 0.85, 1.0, 1.2, 1.5, 2.0, 3.0]
 
 
 def words(paragraph: Column) -> Column:
-    return F.filter(F.split(F.lower(paragraph), r"[^\p{L}\p{N}.]+"), lambda w: F.length(F.trim(w, F.lit("."))) > 0)
+    """Lower-cased words of letters, digits and dots, without dots at their ends."""
+    return F.array_remove(F.transform(F.split(F.lower(paragraph), r"[^\p{L}\p{N}.]+"), lambda w: F.trim(w, F.lit("."))), "")
+
+
+def extended(grams: Column, w: Column, n: int) -> Column:
+    """The n-grams of the words w from their (n - 1)-grams: each with the word behind it. Neighbours are zipped, no array is searched."""
+    fewer = F.greatest(F.size(grams) - 1, F.lit(0))
+    return F.zip_with(F.slice(grams, 1, fewer), F.slice(w, n, fewer), lambda x, y: F.concat(x, F.lit(" "), y))
+
+
+def pairs(w: Column) -> Column:
+    return extended(w, w, 2)
 
 
-def grams(tokens: Column, n: int) -> Column:
-    """The n-grams of an array of words, each word without dots at its ends. Neighbours are zipped, no array is searched."""
-    bare = F.transform(tokens, lambda w: F.trim(w, F.lit(".")))
-    out = bare
-    for i in range(1, n):
-        out = F.zip_with(out, F.slice(bare, i + 1, F.greatest(F.size(bare), F.lit(1))), lambda x, y: F.concat(x, F.lit(" "), y))
-    return F.filter(out, lambda x: x.isNotNull())
+def triples(w: Column) -> Column:
+    return extended(pairs(w), w, 3)
 
 
 def has_cue(c: Column) -> Column:
@@ -81,61 +98,62 @@ def _literal_rows(spark: SparkSession, rows: list[tuple], names: list[str]) -> D
 
 
 def training_rows(docs: DataFrame) -> DataFrame:
-    """family and paragraph: templates and nameless wording, each alone, thinned, and before or after prose."""
+    """family, paragraph and held: wordings alone, thinned, and before or after prose; prose alone and with a licence word.
+
+    Prose is at most TRAIN_PIECES pieces, from all over the lines without a cue of at most TRAIN_DOCS documents.
+    """
     spark = docs.sparkSession
     some = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(TRAIN_DOCS).select("doc_id")
-    lines = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(some.distinct()), "doc_id").select(F.explode(F.split("text", "\n")).alias("line")).filter((F.length("line") > 20) & ~has_cue(F.col("line")))
-    prose = lines.distinct().orderBy(F.xxhash64("line"), "line").limit(TRAIN_LINES).select(F.array_join(F.slice(F.split("line", " "), 1, 40), " ").alias("line"))
-    base = _literal_rows(spark, [*TEMPLATES, *((UNKNOWN, x) for x in NAMELESS)], ["family", "paragraph"])
-    copies = base.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(11))))
-    thin = copies.withColumn("paragraph", F.when(F.col("copy") == 0, F.col("paragraph")).otherwise(F.array_join(F.filter(F.split("paragraph", " "), lambda w, i: F.pmod(F.xxhash64(i, F.col("copy"), w), F.lit(12)) > 0), " ")))
-    numbered = prose.withColumn("slot", F.pmod(F.xxhash64("line"), F.lit(12)).cast("int")).groupBy("slot").agg(F.slice(F.sort_array(F.collect_list("line")), 1, 3).alias("some"))
-    mixed = thin.join(F.broadcast(numbered), thin["copy"] == numbered["slot"]).select("family", "paragraph", F.explode("some").alias("line"))
-    around = mixed.select("family", F.concat_ws(" ", "paragraph", "line").alias("paragraph")).union(mixed.select("family", F.concat_ws(" ", "line", "paragraph").alias("paragraph")))
-    return thin.select("family", "paragraph").union(around).union(prose.select(F.lit(UNKNOWN), F.concat_ws(" ", "line", F.lit("license"))))
+    lines = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(some.distinct()), "doc_id").select(F.explode(F.split("text", "\n")).alias("line")).filter(~has_cue(F.col("line")))
+    w = lines.select(F.split("line", " ").alias("w"))
+    pieces = w.select(F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - 1, F.lit(PIECE)), lambda i: F.array_join(F.slice("w", i + 1, PIECE), " "))).alias("piece"))
+    prose = cut(pieces.filter(F.trim("piece") != "").distinct().orderBy(F.xxhash64("piece"), "piece").limit(TRAIN_PIECES))
+    wordings = [(f, x, COPIES, x in HELD) for f, x in TEMPLATES]
+    wordings += [(UNKNOWN, x, NAMELESS_COPIES, i % HELD_OF == 0) for i, x in enumerate(NAMELESS)] + [(NONE, x, NAMELESS_COPIES, False) for x in PLAIN]
+    copies = _literal_rows(spark, wordings, ["family", "paragraph", "n", "held"]).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n")))).withColumn("copy", F.col("copy") - 1)
+    slot = lambda *c: F.pmod(F.xxhash64(*c), F.lit(SLOTS)).alias("slot")
+    thin = copies.select("family", "held", slot("paragraph", "copy"), F.when(F.col("copy") == 0, F.col("paragraph")).otherwise(F.array_join(F.filter(F.split("paragraph", " "), lambda w, i: F.pmod(F.xxhash64(i, F.col("copy"), w), F.lit(12)) > 0), " ")).alias("paragraph"))
+    mixed = thin.join(F.broadcast(prose.select(slot("piece"), "piece").groupBy("slot").agg(F.min("piece").alias("piece"))), "slot")
+    beside = mixed.select("family", F.explode(F.array(F.concat_ws(" ", "paragraph", "piece"), F.concat_ws(" ", "piece", "paragraph"))).alias("paragraph"), "held")
+    held = F.pmod(F.xxhash64("piece", F.lit("held")), F.lit(HELD_OF)) == 0
+    plain = prose.select(F.lit(NONE), "piece", held).union(prose.select(F.lit(UNKNOWN), F.concat_ws(" ", "piece", F.lit("license")), held))
+    return thin.select("family", "paragraph", "held").union(beside).union(plain)
 
 
 class Model:
-    """Weights by n-gram and class (at most NGRAMS rows), intercepts, and the calibration's temperature."""
+    """The n-grams that count, the regression over them, and the calibration's temperature."""
 
-    def __init__(self, weights: list[tuple[str, list[float]]], bias: list[float], temperature: float):
-        self.weights, self.bias, self.temperature = weights, bias, temperature
-        self._frame: DataFrame | None = None
+    def __init__(self, grams: CountVectorizerModel, regression: LogisticRegressionModel, temperature: float):
+        self.grams, self.regression, self.temperature = grams, regression, temperature
 
-    def frame(self, spark: SparkSession) -> DataFrame:
-        """The weights as a written table, so that plans do not carry them."""
-        if self._frame is None:
-            rows = [(g, [round(x, 6) for x in w]) for g, w in self.weights]
-            self._frame = written(spark.createDataFrame(rows, "gram string, w array<double>"), "weights")
-        return self._frame
+    def margins(self, rows: DataFrame) -> DataFrame:
+        """rows with an array of grams, which goes, and z, the margins by class."""
+        scored = self.regression.transform(self.grams.transform(rows))
+        return scored.withColumn("z", vector_to_array("margins")).drop("grams", "features", "margins")
 
 
-def _features(paragraph: Column) -> Column:
-    t = words(paragraph)
-    return F.array_distinct(F.flatten(F.array(grams(t, 1), grams(t, 2), grams(t, 3))))
+def featured(rows: DataFrame, paragraph: str) -> DataFrame:
+    """rows with grams, the paragraph's words, pairs and triples. Step by step, or each gram would split the text anew."""
+    steps = rows.withColumn("w", words(F.col(paragraph))).withColumn("two", pairs(F.col("w")))
+    return steps.withColumn("grams", F.flatten(F.array(F.col("w"), F.col("two"), extended(F.col("two"), F.col("w"), 3)))).drop("w", "two")
 
 
 def _qualifiers(w: Column) -> Column:
     """The QUALIFIERS among the neighbouring words of w."""
-    return F.array_intersect(grams(w, 2), F.array(*map(F.lit, QUALIFIERS)))
+    return F.array_intersect(pairs(w), F.array(*map(F.lit, QUALIFIERS)))
 
 
 def fit(docs: DataFrame) -> Model:
-    rows = cut(training_rows(docs).select(F.array_position(F.array(*map(F.lit, CLASSES)), F.col("family")).cast("double").alias("at"), _features(F.col("paragraph")).alias("grams"), F.pmod(F.xxhash64("paragraph"), F.lit(4)).alias("fold")).withColumn("label", F.col("at") - 1).coalesce(2))
-    counter = CountVectorizer(inputCol="grams", outputCol="features", vocabSize=NGRAMS, minDF=2, binary=True).fit(rows.filter("fold > 0"))
-    logistic = LogisticRegression(family="multinomial", regParam=RIDGE, maxIter=60, featuresCol="features", labelCol="label").fit(counter.transform(rows.filter("fold > 0")))
-    matrix = logistic.coefficientMatrix.toArray()
-    bias = [float(b) for b in logistic.interceptVector.toArray()]
-    weights = [(g, [float(x) for x in matrix[:, i]]) for i, g in enumerate(counter.vocabulary) if abs(matrix[:, i]).max() > 1e-6]
-    if len(bias) < len(CLASSES):
-        bias += [-50.0] * (len(CLASSES) - len(bias))
-        weights = [(g, w + [0.0] * (len(CLASSES) - len(w))) for g, w in weights]
-    model = Model(weights, bias, 1.0)
-    held = rows.filter("fold = 0").withColumn("row", F.monotonically_increasing_id())
-    z = margins(held.select("row", "label", "grams"), model, ["row", "label"])
-    found = z.agg(*(F.sum(_loss(t)).alias(f"t{i}") for i, t in enumerate(TEMPERATURES))).first()
-    if found["t0"] is not None:
-        model.temperature = min((found[f"t{i}"], t) for i, t in enumerate(TEMPERATURES))[1]
+    """A model of the wordings beside prose of docs(doc_id, text); without documents, of the wordings alone."""
+    spark = docs.sparkSession
+    label = F.array_position(F.array(*map(F.lit, CLASSES)), F.col("family")).cast("double") - 1
+    rows = cut(featured(training_rows(docs), "paragraph").select(label.alias("label"), "grams", "held").coalesce(2))
+    worded = _literal_rows(spark, [(x,) for x in [*(x for _, x in TEMPLATES), *NAMELESS, *PLAIN]], ["paragraph"])
+    counter = CountVectorizer(inputCol="grams", outputCol="features", binary=True).fit(featured(worded, "paragraph").select("grams"))
+    logistic = LogisticRegression(family="multinomial", regParam=RIDGE, maxIter=60, featuresCol="features", labelCol="label", rawPredictionCol="margins", probabilityCol="", predictionCol="")
+    model = Model(counter, logistic.fit(counter.transform(rows.filter("NOT held"))), 1.0)
+    found = model.margins(rows.filter("held")).agg(*(F.sum(_loss(t)).alias(f"t{i}") for i, t in enumerate(TEMPERATURES))).first()
+    model.temperature = min((found[f"t{i}"], t) for i, t in enumerate(TEMPERATURES))[1]
     return model
 
 
@@ -144,42 +162,45 @@ def _loss(t: float) -> Column:
     return F.log(F.aggregate("z", F.lit(0.0), lambda s, x: s + F.exp(x / t))) - F.element_at("z", F.col("label").cast("int") + 1) / t
 
 
-def margins(rows: DataFrame, model: Model, keys: list[str]) -> DataFrame:
-    """keys and z, the margins by class, of rows with an array of grams."""
-    each = rows.select(*keys, F.explode_outer("grams").alias("gram")).join(F.broadcast(model.frame(rows.sparkSession)), "gram", "left")
-    sums = each.groupBy(*keys).agg(*(F.coalesce(F.sum(F.element_at("w", i + 1)), F.lit(0.0)).alias(f"z{i}") for i in range(len(CLASSES))))
-    return sums.select(*keys, F.array(*(F.col(f"z{i}") + F.lit(b) for i, b in enumerate(model.bias))).alias("z"))
-
-
 def scan(docs: DataFrame, model: Model) -> DataFrame:
-    """For each row of docs(doc_id, text): n_candidates (paragraphs with a cue), families (confirmed ones, sorted,
-    comma-joined), n_confirmed, n_unknown, and probability (the greatest of a confirmed paragraph, else null).
+    """For each row of docs(doc_id, text): n_candidates (paragraphs of licence wording: the likeliest class is not none),
+    families (confirmed ones, sorted, comma-joined), n_confirmed, n_unknown (candidates that are not confirmed), and
+    probability (the greatest of a confirmed paragraph, else null). Of classes equally likely, the first in CLASSES counts.
 
     Null and empty texts have no candidates; repeated rows give a row each; an empty table gives none; other columns,
     whatever their names, are ignored.
     """
     spark = docs.sparkSession
-    base = docs.select("doc_id", text_or_empty().alias("text"))
-    cued = has_cue(F.col("text"))
-    numbered = base.filter(cued).withColumn("row", F.monotonically_increasing_id())
-    lines = numbered.select("row", "doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line")).filter(has_cue(F.col("line")))
-    scored = margins(lines.withColumn("grams", _features(F.col("line"))), model, ["row", "doc_id", "at", "line"])
-    z = scored.withColumn("w", words(F.col("line"))).select("row", "doc_id", "at", "z", F.array_distinct(grams(F.col("w"), 3)).alias("triples"), F.filter(grams(F.col("w"), 1), lambda x: x.rlike(r"^[0-9.]+$")).alias("numbers"), _qualifiers(F.col("w")).alias("qualifiers"))
+    numbered = docs.select("doc_id", text_or_empty().alias("text")).withColumn("row", F.monotonically_increasing_id())
+    lines = numbered.select("row", "doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    z = model.margins(featured(lines, "line"))
     scaled = F.transform("z", lambda x: F.exp((x - F.array_max("z")) / F.lit(model.temperature)))
     classed = z.withColumn("p", 1 / F.aggregate(scaled, F.lit(0.0), lambda s, x: s + x)).withColumn("likeliest", F.element_at(F.array(*map(F.lit, CLASSES)), F.array_position("z", F.array_max("z")).cast("int")))
-    known = F.when(F.col("p") >= CONFIDENT, F.col("likeliest")).otherwise(F.lit(UNKNOWN))
-    rows = _literal_rows(spark, TEMPLATES, ["family", "template"]).withColumn("w", words(F.col("template")))
-    templates = rows.select("family", F.struct(F.array_distinct(grams(F.col("w"), 3)).alias("t"), F.filter(grams(F.col("w"), 1), lambda x: x.rlike(r"^[0-9.]+$")).alias("numbers"), _qualifiers(F.col("w")).alias("qualifiers")).alias("s")).groupBy("family").agg(F.collect_list("s").alias("templates"))
-    compared = classed.withColumn("known", known).join(F.broadcast(templates), F.col("known") == F.col("family"), "left")
-    shared = lambda t: F.size(F.array_intersect(t, F.col("triples")))
-    same = lambda s: (F.size(F.array_except(s["numbers"], F.col("numbers"))) == 0) & (F.size(F.array_except(F.col("qualifiers"), s["qualifiers"])) == 0)
-    near = lambda t: (shared(t) >= ALIKE * F.size(t)) | ((F.size("triples") >= 8) & (shared(t) >= ALIKE * F.size("triples")))
-    alike = F.coalesce(F.exists("templates", lambda s: near(s["t"]) & same(s)), F.lit(False))
-    judged = compared.withColumn("confirmed", (F.col("known") != UNKNOWN) & alike)
-    sure = F.when(F.col("confirmed"), F.col("known"))
-    found = judged.groupBy("row", "doc_id").agg(F.count(F.lit(1)).alias("n_candidates"), F.array_join(F.sort_array(F.collect_set(sure)), ",").alias("families"), F.count(sure).alias("n_confirmed"), F.count_if(~F.col("confirmed")).alias("n_unknown"), F.max(F.when(F.col("confirmed"), F.col("p"))).alias("probability")).drop("row")
-    none = base.filter(~cued).select("doc_id", F.lit(0).cast("long").alias("n_candidates"), F.lit("").alias("families"), F.lit(0).cast("long").alias("n_confirmed"), F.lit(0).cast("long").alias("n_unknown"), F.lit(None).cast("double").alias("probability"))
-    return found.unionByName(none)
+    blank = ~F.col("line").rlike(r"[\p{L}\p{N}]")
+    known = F.when(blank | (F.col("likeliest") == NONE), F.lit(NONE)).when(F.col("p") >= CONFIDENT, F.col("likeliest")).otherwise(F.lit(UNKNOWN))
+    named = classed.select("row", "doc_id", "p", known.alias("known"), "line").withColumn("w", F.when(~F.col("known").isin(UNKNOWN, NONE), words(F.col("line"))))
+    compared = named.select("row", "doc_id", "p", "known", _parts(F.col("w")).alias("of")).join(F.broadcast(_templates(spark)), F.col("known") == F.col("family"), "left")
+    own = F.col("of")
+    shared = lambda s: F.size(F.array_intersect(s["triples"], own["triples"]))
+    same = lambda s: (F.size(F.array_except(s["numbers"], own["numbers"])) == 0) & (F.size(F.array_except(own["qualifiers"], s["qualifiers"])) == 0)
+    near = lambda s: (shared(s) >= ALIKE * F.size(s["triples"])) | ((F.size(own["triples"]) >= 8) & (shared(s) >= ALIKE * F.size(own["triples"])))
+    alike = F.coalesce(F.exists("templates", lambda s: near(s) & same(s)), F.lit(False))
+    judged = compared.select("row", "doc_id", "p", "known", F.when(alike, F.col("known")).alias("sure"))
+    candidate = F.col("known") != NONE
+    return judged.groupBy("row", "doc_id").agg(
+        F.count_if(candidate).alias("n_candidates"), F.array_join(F.sort_array(F.collect_set("sure")), ",").alias("families"), F.count("sure").alias("n_confirmed"),
+        F.count_if(candidate & F.col("sure").isNull()).alias("n_unknown"), F.max(F.when(F.col("sure").isNotNull(), F.col("p"))).alias("probability"),
+    ).drop("row")
+
+
+def _parts(w: Column) -> Column:
+    """What the comparison takes of words: triples, numbers and qualifiers; null words have none."""
+    return F.when(w.isNotNull(), F.struct(F.array_distinct(triples(w)).alias("triples"), F.filter(w, lambda x: x.rlike(r"^[0-9.]+$")).alias("numbers"), _qualifiers(w).alias("qualifiers")))
+
+
+def _templates(spark: SparkSession) -> DataFrame:
+    rows = _literal_rows(spark, TEMPLATES, ["family", "template"]).select("family", words(F.col("template")).alias("w"))
+    return rows.groupBy("family").agg(F.collect_list(_parts(F.col("w"))).alias("templates"))
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

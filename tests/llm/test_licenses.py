@@ -54,3 +54,34 @@ def test_neighbouring_licences_are_not_confused(make, model):
 def test_empty_table(make, model):
     assert lic.scan(make([]), model).count() == 0
     lic.fit(make([]))
+
+
+def test_paragraphs_without_stems_are_classed(make, prose, model):
+    """No stem of the training's prose filter decides what is classed; paragraphs count each time they stand in a row."""
+    part = "hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"
+    assert not any(c in part.lower() for c in lic.CUES)
+    rows = [(1, part), (2, f"{part}\n{prose(30, 9)}\n{part}\nReleased under the MIT License.\n \n"), (3, "\n\n"), (4, f"{prose(15, 1)}\n{prose(80, 2)}\n...")]
+    got = {r["doc_id"]: (r["n_candidates"], r["families"], r["n_confirmed"], r["n_unknown"]) for r in lic.scan(make(rows), model).collect()}
+    assert got == {1: (1, "MIT", 1, 0), 2: (3, "MIT", 3, 0), 3: (0, "", 0, 0), 4: (0, "", 0, 0)}
+
+
+def test_margins_equal_a_plain_sum(make, model):
+    """Scores against weights of the paragraph's distinct n-grams, summed in Python."""
+    import re
+
+    text = "This work is licensed under the MIT License, the MIT License. Over the sea. 2.0"
+    w = [x.strip(".") for x in re.split(r"[^\w.]+", text.lower()) if x.strip(".")]
+    grams = {" ".join(w[i : i + n]) for n in (1, 2, 3) for i in range(len(w) - n + 1)}
+    at = {g: i for i, g in enumerate(model.grams.vocabulary)}
+    weights, bias = model.regression.coefficientMatrix.toArray(), model.regression.interceptVector.toArray()
+    want = bias + sum(weights[:, at[g]] for g in grams if g in at)
+    got = model.margins(lic.featured(make([(1, text)]), "text")).first()["z"]
+    assert got == pytest.approx(list(want), abs=1e-9)
+    assert lic.CLASSES[max(range(len(want)), key=lambda i: want[i])] == "MIT"
+
+
+def test_calibration_rows_are_unseen_wordings(make):
+    rows = lic.training_rows(make([])).filter("family NOT IN ('unknown', 'none')").collect()
+    seen = {r["paragraph"] for r in rows if not r["held"]}
+    assert {r["family"] for r in rows if r["held"]} <= {r["family"] for r in rows if not r["held"]}
+    assert not any(r["paragraph"] in seen for r in rows if r["held"])
