@@ -70,9 +70,13 @@ CONFIDENT, ALIKE = 0.6, 0.8
 TEMPERATURES = [0.5, 0.7, 0.85, 1.0, 1.2, 1.5, 2.0, 3.0]
 
 
+#: What parts words: a character of none, those after it, and dots on either side. A dot after a dot starts no gap, so runs of dots are read once.
+GAP = r"(?:[^a-z0-9.\p{L}\p{N}]|\.(?<!\.\.)\.*+[^a-z0-9.\p{L}\p{N}])[^a-z0-9.\p{L}\p{N}]*+\.*+"
+
+
 def words(paragraph: Column) -> Column:
-    """Lower-cased words of letters, digits and dots, without dots at their ends."""
-    return F.array_remove(F.transform(F.split(F.lower(paragraph), r"[^\p{L}\p{N}.]+"), lambda w: F.trim(w, F.lit("."))), "")
+    """Lower-cased words of letters, digits and dots, without dots at their ends, which go with the gaps."""
+    return F.array_remove(F.split(F.trim(F.lower(paragraph), F.lit(".")), GAP), "")
 
 
 def extended(grams: Column, w: Column, n: int) -> Column:
@@ -126,16 +130,25 @@ class Model:
     def __init__(self, grams: CountVectorizerModel, regression: LogisticRegressionModel, temperature: float):
         self.grams, self.regression, self.temperature = grams, regression, temperature
 
-    def margins(self, rows: DataFrame) -> DataFrame:
-        """rows with an array of grams, which goes, and z, the margins by class."""
-        scored = self.regression.transform(self.grams.transform(rows))
+    def margins(self, rows: DataFrame, paragraph: str) -> DataFrame:
+        """rows with z, the margins by class."""
+        scored = self.regression.transform(self.grams.transform(featured(rows, paragraph, self.grams)))
         return scored.withColumn("z", vector_to_array("margins")).drop("grams", "features", "margins")
 
 
-def featured(rows: DataFrame, paragraph: str) -> DataFrame:
-    """rows with grams, the paragraph's words, pairs and triples. Step by step, or each gram would split the text anew."""
-    steps = rows.withColumn("w", words(F.col(paragraph))).withColumn("two", pairs(F.col("w")))
-    return steps.withColumn("grams", F.flatten(F.array(F.col("w"), F.col("two"), extended(F.col("two"), F.col("w"), 3)))).drop("w", "two")
+def featured(rows: DataFrame, paragraph: str, counted: CountVectorizerModel | None = None) -> DataFrame:
+    """rows with grams, the paragraph's words, pairs and triples. Step by step, or each gram would split the text anew.
+
+    With counted, only grams of words that it counts: other words that follow each other are one null, and pairs and
+    triples with it are null.
+    """
+    steps = rows.withColumn("w", words(F.col(paragraph)))
+    if counted is not None:
+        single = [g for g in counted.vocabulary if " " not in g]
+        steps = steps.withColumn("w", F.transform("w", lambda x: F.when(x.isin(single), x)))
+        steps = steps.withColumn("w", F.filter("w", lambda x, i: x.isNotNull() | F.get(F.col("w"), i - 1).isNotNull()))
+    steps = steps.withColumn("two", pairs(F.col("w")))
+    return steps.withColumn("grams", F.array_compact(F.flatten(F.array(F.col("w"), F.col("two"), extended(F.col("two"), F.col("w"), 3))))).drop("w", "two")
 
 
 def _qualifiers(w: Column) -> Column:
@@ -147,12 +160,13 @@ def fit(docs: DataFrame) -> Model:
     """A model of the wordings beside prose of docs(doc_id, text); without documents, of the wordings alone."""
     spark = docs.sparkSession
     label = F.array_position(F.array(*map(F.lit, CLASSES)), F.col("family")).cast("double") - 1
-    rows = cut(featured(training_rows(docs), "paragraph").select(label.alias("label"), "grams", "held").coalesce(2))
     worded = _literal_rows(spark, [(x,) for x in [*(x for _, x in TEMPLATES), *NAMELESS, *PLAIN]], ["paragraph"])
     counter = CountVectorizer(inputCol="grams", outputCol="features", binary=True).fit(featured(worded, "paragraph").select("grams"))
+    rows = cut(training_rows(docs).select(label.alias("label"), "paragraph", "held").coalesce(2))
     logistic = LogisticRegression(family="multinomial", regParam=RIDGE, maxIter=60, featuresCol="features", labelCol="label", rawPredictionCol="margins", probabilityCol="", predictionCol="")
-    model = Model(counter, logistic.fit(counter.transform(rows.filter("NOT held"))), 1.0)
-    found = model.margins(rows.filter("held")).agg(*(F.sum(_loss(t)).alias(f"t{i}") for i, t in enumerate(TEMPERATURES))).first()
+    fitted = counter.transform(featured(rows.filter("NOT held"), "paragraph", counter))
+    model = Model(counter, logistic.fit(fitted), 1.0)
+    found = model.margins(rows.filter("held"), "paragraph").agg(*(F.sum(_loss(t)).alias(f"t{i}") for i, t in enumerate(TEMPERATURES))).first()
     model.temperature = min((found[f"t{i}"], t) for i, t in enumerate(TEMPERATURES))[1]
     return model
 
@@ -173,9 +187,9 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
     spark = docs.sparkSession
     numbered = docs.select("doc_id", text_or_empty().alias("text")).withColumn("row", F.monotonically_increasing_id())
     lines = numbered.select("row", "doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    z = model.margins(featured(lines, "line"))
-    scaled = F.transform("z", lambda x: F.exp((x - F.array_max("z")) / F.lit(model.temperature)))
-    classed = z.withColumn("p", 1 / F.aggregate(scaled, F.lit(0.0), lambda s, x: s + x)).withColumn("likeliest", F.element_at(F.array(*map(F.lit, CLASSES)), F.array_position("z", F.array_max("z")).cast("int")))
+    z = model.margins(lines, "line").withColumn("top", F.array_max("z"))
+    scaled = F.transform("z", lambda x: F.exp((x - F.col("top")) / F.lit(model.temperature)))
+    classed = z.withColumn("p", 1 / F.aggregate(scaled, F.lit(0.0), lambda s, x: s + x)).withColumn("likeliest", F.element_at(F.array(*map(F.lit, CLASSES)), F.array_position("z", F.col("top")).cast("int")))
     blank = ~F.col("line").rlike(r"[\p{L}\p{N}]")
     known = F.when(blank | (F.col("likeliest") == NONE), F.lit(NONE)).when(F.col("p") >= CONFIDENT, F.col("likeliest")).otherwise(F.lit(UNKNOWN))
     named = classed.select("row", "doc_id", "p", known.alias("known"), "line").withColumn("w", F.when(~F.col("known").isin(UNKNOWN, NONE), words(F.col("line"))))

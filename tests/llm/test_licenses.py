@@ -75,7 +75,7 @@ def test_margins_equal_a_plain_sum(make, model):
     at = {g: i for i, g in enumerate(model.grams.vocabulary)}
     weights, bias = model.regression.coefficientMatrix.toArray(), model.regression.interceptVector.toArray()
     want = bias + sum(weights[:, at[g]] for g in grams if g in at)
-    got = model.margins(lic.featured(make([(1, text)]), "text")).first()["z"]
+    got = model.margins(make([(1, text)]), "text").first()["z"]
     assert got == pytest.approx(list(want), abs=1e-9)
     assert lic.CLASSES[max(range(len(want)), key=lambda i: want[i])] == "MIT"
 
@@ -85,3 +85,22 @@ def test_calibration_rows_are_unseen_wordings(make):
     seen = {r["paragraph"] for r in rows if not r["held"]}
     assert {r["family"] for r in rows if r["held"]} <= {r["family"] for r in rows if not r["held"]}
     assert not any(r["paragraph"] in seen for r in rows if r["held"])
+
+
+@pytest.mark.parametrize(
+    ("line", "want"),
+    [
+        ("Version 2.0. See .gitignore ... or v.3", ["version", "2.0", "see", "gitignore", "or", "v.3"]),
+        ("...", []), ("", []), (" . . a", ["a"]), ("..é. .漢2..", ["é", "漢2"]), ("a" + "." * 100_000 + "b", ["a" + "." * 100_000 + "b"]), (" ." * 100_000, []),
+    ],
+)
+def test_words_have_no_dots_at_their_ends(make, line, want):
+    assert make([(1, line)]).select(lic.words(F.col("text")).alias("w")).first()["w"] == want
+
+
+def test_grams_of_counted_words_are_all_that_count(make, model):
+    counted = set(model.grams.vocabulary)
+    rows = make([(1, lic.NOTICES[0][1]), (2, "We saw zebras; licensed under zebras the MIT License zebras zebras, said the author."), (3, "zebras"), (4, "")])
+    some = {r["doc_id"]: r["grams"] for r in lic.featured(rows, "text", model.grams).collect()}
+    for r in lic.featured(rows, "text").collect():
+        assert [g for g in some[r["doc_id"]] if g in counted] == [g for g in r["grams"] if g in counted]
