@@ -16,6 +16,9 @@ from gneiss.llm.bpe import op7_byte_bpe
 from gneiss.llm.decontaminate import op8_decontamination
 from gneiss.llm.licenses import op10_licenses
 from gneiss.llm.sharding import op9_sharding
+from gneiss.llm.lines import op11_line_dedup
+from gneiss.llm.middle import op12_fill_in_middle
+from gneiss.llm.audit import op13_filter_audit
 from gneiss.llm.sql import ORACLE_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -29,6 +32,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_sharding": op9_sharding,
     "op10_licenses": op10_licenses,
+    "op11_line_dedup": op11_line_dedup,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -72,4 +72,66 @@ SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_it
 FROM d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN items ON d.doc_id = items.doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_substring": OP2, "op4_warc": OP4, "op8_decontamination": OP8}
+#: Lines by their keys; a key of ten documents takes its lines out, the rest is put together by position.
+OP11 = rf"""
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
+k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{_UPPER}', '{_LOWER}') AS key FROM l),
+common AS (SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10),
+m AS (SELECT k.*, common.key IS NOT NULL AS gone FROM k LEFT JOIN common ON k.key = common.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id
+"""
+
+#: Pieces by substring; the restored text must be the text.
+OP12 = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || doc_id) AS h FROM documents),
+x AS (SELECT *, CAST('0x' || h[1:8] AS BIGINT) % (n + 1) AS u, CAST('0x' || h[9:16] AS BIGINT) % (n + 1) AS v, CAST('0x' || h[17:24] AS BIGINT) % 100 AS r, CAST('0x' || h[25:32] AS BIGINT) % 100 AS s FROM d),
+y AS (SELECT doc_id, t, n, least(u, v) AS a, greatest(u, v) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR r >= 90 THEN 'plain' WHEN s < 20 THEN 'spm' ELSE 'psm' END AS form FROM x),
+z AS (SELECT *, substring(t, 1, a) AS p, substring(t, a + 1, b - a) AS m, substring(t, b + 1) AS e FROM y)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || e || '<M>' || m ELSE '<S>' || e || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM z
+"""
+
+#: Every document is put through every order: the first filter of the order that it fails removes it.
+OP13 = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w,
+    coalesce(doc_id > min(doc_id) OVER (PARTITION BY coalesce(text, '')), false) AS e FROM documents
+),
+marked AS (
+  SELECT part, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t), regexp_matches(t, '[#$%&*|]'), e] AS fails,
+    CAST(coalesce(quality = 1, false) AS BIGINT) AS good, CAST(coalesce(toxic = 1, false) AS BIGINT) AS bad
+  FROM d LEFT JOIN labels USING (doc_id)
+),
+kinds AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(bad) AS bad FROM marked GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+),
+tried AS (
+  SELECT k.*, filter_order, list_transform(string_split(filter_order, ''), lambda x: fails[ascii(x) - 64]) AS inorder FROM kinds k, orders
+),
+removed_at AS (SELECT *, coalesce(list_position(inorder, true), 6) AS gone FROM tried),
+counted AS (
+  SELECT part, filter_order, CAST(step AS INTEGER) AS step, filter_order[step] AS x,
+    CAST(coalesce(sum(n) FILTER (WHERE gone > step), 0) AS BIGINT) AS kept, CAST(coalesce(sum(n) FILTER (WHERE gone = step), 0) AS BIGINT) AS removed,
+    CAST(coalesce(sum(n) FILTER (WHERE gone < step AND inorder[step]), 0) AS BIGINT) AS redundant,
+    CAST(coalesce(sum(n) FILTER (WHERE inorder[step] AND len(list_filter(inorder, lambda f: f)) = 1), 0) AS BIGINT) AS unique_fails,
+    CAST(coalesce(sum(good) FILTER (WHERE gone = step), 0) AS BIGINT) AS good_lost, CAST(coalesce(sum(bad) FILTER (WHERE gone = step), 0) AS BIGINT) AS toxic_lost
+  FROM removed_at, (SELECT unnest(range(1, 6)) AS step) GROUP BY ALL
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, x) AS BIGINT) AS shapley FROM counted
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_substring": OP2,
+    "op4_warc": OP4,
+    "op8_decontamination": OP8,
+    "op11_line_dedup": OP11,
+    "op12_fill_in_middle": OP12,
+    "op13_filter_audit": OP13,
+}
