@@ -71,6 +71,11 @@ def text_or_empty(c: str = "text") -> Column:
     return F.coalesce(F.col(c).cast("string"), F.lit(""))
 
 
+def positional(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
+    """docs with every column but those of keep named by its place, so that no name meets one that an operator uses."""
+    return docs.toDF(*(c if c in keep else f"gneiss_column_{i}" for i, c in enumerate(docs.columns)))
+
+
 def map_batches(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], schema: str) -> DataFrame:
     """mapInArrow with columns as Python lists: fn gets one batch's columns and returns those of its result."""
     from pyspark.sql.types import StructType
@@ -128,4 +133,4 @@ def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     return task
 
 
-__all__ = ["cut", "filter_batches", "hot_join", "lean", "map_batches", "once", "prepare", "shared_dir", "table", "text_or_empty", "written"]
+__all__ = ["cut", "filter_batches", "hot_join", "lean", "map_batches", "once", "positional", "prepare", "shared_dir", "table", "text_or_empty", "written"]
