@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import hot_join, lean, map_batches, prepare, table, written
+from gneiss.llm.common import hot_join, lean, map_batches, positional, prepare, table, written
 from gneiss.llm.winnow import gram_hashes
 
 WINDOW, ANCHOR = 35, 8
@@ -284,7 +284,7 @@ def _kept(text: bytes | None, spans: list | None) -> tuple[int, list[bytes]]:
 
 def _with_spans(docs: DataFrame) -> DataFrame:
     keyed = _keyed(docs)
-    spans = repeated_spans(keyed)
+    spans = repeated_spans(keyed.select("text", "gneiss_r1", "gneiss_r2"))
     return keyed.join(spans.select(F.col("r1").alias("gneiss_r1"), F.col("r2").alias("gneiss_r2"), F.col("spans").alias("gneiss_spans")), ["gneiss_r1", "gneiss_r2"], "left")
 
 
@@ -317,6 +317,7 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     long passages; an empty table gives no rows. Columns stay as they are, whatever their names.
     """
     prepare(docs.sparkSession)
+    given, docs = docs, positional(docs, ("doc_id", "text", "n_chars"))
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -334,7 +335,7 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
                 cols["n_chars"] = pa.array([len(t) if s else n for t, s, n in zip(texts, spans, was)], b.schema.field("n_chars").type)
             yield pa.RecordBatch.from_arrays([cols[n] for n in names], names=names)
 
-    return _with_spans(docs).select(*names, "gneiss_spans").mapInArrow(lean(run), docs.schema)
+    return _with_spans(docs).select(*names, "gneiss_spans").mapInArrow(lean(run), docs.schema).toDF(*given.columns)
 
 
 def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
