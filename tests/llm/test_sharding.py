@@ -51,3 +51,40 @@ def test_groups_in_subdivided_ranges_stay_together(make, monkeypatch):
         laws(rows, got, shards)
         for k in range(150):
             assert len({r["shard"] for r in got if r["doc_id"] % 150 == k}) == 1
+
+
+def test_groups_of_any_part_of_a_shard_are_whole(make, prose):
+    """Copies of 2 to 90 % of a shard, each held by one shard; one of more than a shard says that it is split."""
+    for shards in (3, 7, 20):
+        part = 100_000 // shards
+        shares = [0.02, 0.03, 0.1, 0.25, 0.5, 0.9, 1.7]
+        rows, groups = [], {}
+        for g, share in enumerate(shares):
+            text = f"group {g} " + "x" * 84
+            n = max(int(share * part / (len(text) + sh.OVERHEAD)), 2)
+            groups[g] = range(1000 * g, 1000 * g + n)
+            rows += [(i, text) for i in groups[g]]
+        rest = 100_000 - sum(len(t) + sh.OVERHEAD for _, t in rows)
+        rows += [(50_000 + i, f"{i} {prose(20, i)}"[:84]) for i in range(rest // 100)]
+        got = sh.shard_by_size(make(rows), shards).collect()
+        laws(rows, got, shards)
+        for g, ids in groups.items():
+            mine = [r for r in got if r["doc_id"] in ids]
+            assert len(mine) == len(ids)
+            if shares[g] < 1:
+                assert len({r["shard"] for r in mine}) == 1 and not any(r["group_split"] for r in mine)
+            else:
+                assert all(r["group_split"] for r in mine)
+        assert not any(r["group_split"] for r in got if r["doc_id"] >= 50_000)
+
+
+def test_more_large_groups_than_room(make):
+    """Nine groups of 0.6 of a shard and five shards: five have homes, the others are split; bytes stay near equal."""
+    rows = [(100 * g + i, f"group {g}") for g in range(9) for i in range(20)]
+    rows += [(10_000 + i, f"few {i:03}") for i in range(-(-9 * 20 * 5 // 9) // 5 * 3)]
+    got = sh.shard_by_size(make(rows), 5).collect()
+    laws(rows, got, 5)
+    whole = [g for g in range(9) if not any(r["group_split"] for r in got if r["doc_id"] // 100 == g)]
+    assert len(whole) >= 5
+    for g in whole:
+        assert len({r["shard"] for r in got if r["doc_id"] // 100 == g}) == 1
