@@ -96,9 +96,9 @@ def audit(flagged: DataFrame, filters: str = FILTERS, weights: dict[str, str] |
     counts = counts if total else counts.filter("part IS NOT NULL")
     # Orders of a few filters: at most 720 * 6 rows, whatever the input.
     found = F.broadcast(steps(flagged.sparkSession, filters)).withColumn("none", F.lit(0))
-    for name in ("none", "before", "after", "own", "others", "whole"):
+    for name in ("before", "none", "after", "own", "others", "whole"):
         side = counts.select(F.col("part").alias("p"), F.col("subset").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in ("n", *columns)))
-        if name == "none":
+        if name == "before":
             found = found.join(side, name).withColumnRenamed("p", "part")
         else:
             found = found.join(side, [found[name] == side[name], found["part"].eqNullSafe(side["p"])]).drop(side[name]).drop("p")
