@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gneiss.operators.packing import timed_groups
 from gneiss.shared import written
 
 
@@ -58,19 +59,5 @@ def around(df: DataFrame, key: list[str], order: list[str], text: str, n: int =
 
 
 def bounded_groups(df: DataFrame, key: list[str], start: str, end: str, text: str, most_chars: int, most_span: float) -> DataFrame:
-    """Consecutive timed segments of a key in groups: a new one begins where text or time would grow too long.
-
-    The segments of a key are folded in order, one key at a time; a key's segments are those of one recording.
-    """
-    segment = F.struct(F.col(start).alias("s"), F.col(end).alias("e"), F.col(text).alias("t"))
-    listed = df.groupBy(*key).agg(F.sort_array(F.collect_list(segment)).alias("_all"))
-    zero = F.lit(None).cast("array<struct<s:double,e:double,t:string>>")
-
-    def add(done: Column, x: Column) -> Column:
-        last = F.element_at(done, -1)
-        x = F.struct(x["s"].cast("double").alias("s"), x["e"].cast("double").alias("e"), x["t"].alias("t"))
-        grown = F.struct(last["s"].alias("s"), F.greatest(last["e"], x["e"]).alias("e"), F.concat(last["t"], F.lit(" "), x["t"]).alias("t"))
-        fits = (F.length(last["t"]) + 1 + F.length(x["t"]) <= most_chars) & (x["e"] - last["s"] <= most_span)
-        return F.when(done.isNull(), F.array(x)).when(fits, F.array_append(F.slice(done, 1, F.size(done) - 1), grown)).otherwise(F.array_append(done, x))
-
-    return listed.select(*key, F.posexplode(F.aggregate("_all", zero, add)).alias("part", "_g")).select(*key, "part", F.col("_g.s").alias(start), F.col("_g.e").alias(end), F.col("_g.t").alias(text))
+    """Consecutive timed segments of a key in groups: a new one begins where text or time would grow too long."""
+    return timed_groups(df, key, start, end, text, most_chars, most_span)

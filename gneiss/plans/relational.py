@@ -356,7 +356,16 @@ def _(t):
     return windows.first_per(chunks(t), ["doc_id"], [F.desc(hits), F.col("chunk_index")]).select("doc_id", "chunk_index")
 
 
-@query("wn_7_timed_groups")
+WN_7 = """WITH RECURSIVE s AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY "start", "end", body) AS i FROM (
+  SELECT user_id, CAST(floor(epoch(ts)) AS DOUBLE) AS "start", CAST(floor(epoch(ts)) AS DOUBLE) + value AS "end", event_type || ' ' || event_id AS body FROM events)),
+ g AS (SELECT user_id, i, 0 AS part, "start", "end", body FROM s WHERE i = 1 UNION ALL
+  SELECT user_id, i, CASE WHEN fits THEN part ELSE part + 1 END, CASE WHEN fits THEN a ELSE b END, CASE WHEN fits THEN greatest(e, f) ELSE f END, CASE WHEN fits THEN said || ' ' || body ELSE body END
+  FROM (SELECT s.user_id, s.i, g.part, g."start" AS a, s."start" AS b, g."end" AS e, s."end" AS f, g.body AS said, s.body, length(g.body) + 1 + length(s.body) <= 200 AND s."end" - g."start" <= 7200 AS fits
+   FROM g JOIN s ON s.user_id = g.user_id AND s.i = g.i + 1))
+ SELECT user_id, part, max_by("start", i) AS "start", max_by("end", i) AS "end", max_by(body, i) AS body FROM g GROUP BY user_id, part"""
+
+
+@query("wn_7_timed_groups", WN_7)
 def _(t):
     """Events of a user as timed segments, grouped while text stays under 200 characters and two hours."""
     at = F.unix_seconds(F.col("ts").cast("timestamp")).cast("double")

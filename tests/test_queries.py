@@ -7,7 +7,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from gneiss.plans import cases, flows, graphs, relational, retrieval, scans  # noqa: F401
+from gneiss.plans import batches, cases, flows, graphs, relational, retrieval, scans  # noqa: F401
 from gneiss.plans.registry import ORACLES, QUERIES
 
 
