@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gneiss.shared import written
+from gneiss.shared import ship, written
 
 #: Places in a block, and rows that a task's group of blocks has on average.
 BLOCK = 65_536
@@ -104,6 +104,7 @@ def _walked(nodes: DataFrame, entries: DataFrame, width: int, total: int) -> Dat
 def path(jumps: DataFrame, key: list[str], block: int = BLOCK) -> DataFrame:
     """(key, place) of the rows that the path of jumps(key, place, jump) meets from each key's place 0. Places are 0, 1, 2
     and so on; a jump is never under its own place + 1."""
+    ship(jumps.sparkSession)
     base = written(jumps.select(F.to_json(F.struct(*key)).alias("_key"), *key, F.col("place").cast("long"), F.greatest(F.col("jump").cast("long"), F.col("place") + 1).alias("jump")), "jumps")
     about = base.agg(F.count("*").alias("n"), F.max("place").alias("last")).first()
     total, last = about["n"], about["last"] or 0
