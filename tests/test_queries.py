@@ -7,7 +7,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from gneiss.plans import batches, cases, crawl, flows, graphs, relational, retrieval, scans, vectors  # noqa: F401
+from gneiss.plans import batches, cases, crawl, flows, graphs, knowledge, relational, retrieval, scans, vectors  # noqa: F401
 from gneiss.plans.registry import ORACLES, QUERIES
 
 
