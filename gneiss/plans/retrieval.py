@@ -95,15 +95,28 @@ def _(t):
     return search.vector_top_k(t.embeddings, "embedding", _probe(t), 20, "vec_id", 0.2).select("vec_id", R(F.col("score")).alias("score"))
 
 
-HYBRID = f"""(SELECT coalesce(v.id, k.id) AS id, CASE WHEN k.s IS NULL THEN v.s WHEN v.s IS NULL THEN 0.85 * k.s ELSE least(greatest(v.s, 0.85 * k.s) + 0.1 * least(v.s, k.s), 1.0) END AS score,
+def _hybrid_sql(vector: str = "", keyword: str = "") -> str:
+    """The merged hits, of either branch those that its limit (ORDER BY .. LIMIT ..) leaves."""
+    return f"""(SELECT coalesce(v.id, k.id) AS id, CASE WHEN k.s IS NULL THEN v.s WHEN v.s IS NULL THEN 0.85 * k.s ELSE least(greatest(v.s, 0.85 * k.s) + 0.1 * least(v.s, k.s), 1.0) END AS score,
  CASE WHEN k.s IS NULL THEN 'vector' WHEN v.s IS NULL THEN 'keyword' ELSE 'hybrid' END AS branch, coalesce(v.s, 0.0) AS vector
- FROM (SELECT vec_id AS id, greatest(0.0, least(1.0, {COS})) AS s FROM embeddings, {VEC} WHERE {COS} >= 0.2) v FULL JOIN (SELECT doc_id AS id, score AS s FROM {SCORED} WHERE score > 0) k ON v.id = k.id)"""
+ FROM (SELECT vec_id AS id, greatest(0.0, least(1.0, {COS})) AS s FROM embeddings, {VEC} WHERE {COS} >= 0.2 {vector}) v FULL JOIN (SELECT doc_id AS id, score AS s FROM {SCORED} WHERE score > 0 {keyword}) k ON v.id = k.id)"""
 
 
-def _hybrid(t):
+HYBRID = _hybrid_sql()
+#: Results of a search, and the hits that each branch fetches for them.
+RESULTS = 20
+VECTOR_HITS, KEYWORD_HITS, _ = search.over_fetch(RESULTS)
+FETCHED = _hybrid_sql(f"ORDER BY round({COS}, 9) DESC, vec_id LIMIT {VECTOR_HITS}", f"ORDER BY round(score, 9) DESC, doc_id LIMIT {KEYWORD_HITS}")
+
+
+def _hybrid(t, results=None):
+    """The merged hits of both branches; for a number of results only as many of each as these need."""
     q = F.broadcast(t.embeddings.filter("vec_id = 0").select(F.col("embedding").alias("q")))
     v = t.embeddings.join(q).select(F.col("vec_id").alias("id"), search.cosine(F.col("embedding"), F.col("q")).alias("score")).filter("score >= 0.2")
-    return search.hybrid(v, _keyword(t).select(F.col("doc_id").alias("id"), "score"), "id")
+    k = _keyword(t).select(F.col("doc_id").alias("id"), "score")
+    if results:
+        v, k = (x.orderBy(F.desc(R(F.col("score"), 9)), "id").limit(n) for x, n in zip((v, k), search.over_fetch(results)))
+    return search.hybrid(v, k, "id")
 
 
 @query("sc_8_hybrid", f"SELECT id, round(score, 6) AS score, branch FROM {HYBRID}")
@@ -111,12 +124,12 @@ def _(t):
     return _hybrid(t).select("id", R(F.col("score")).alias("score"), "branch")
 
 
-@query("pl_2_hybrid_search", f"""SELECT id, source, round(score, 6) AS score, pass FROM (SELECT h.*, d.source, row_number() OVER (PARTITION BY d.source ORDER BY round(score, 9) DESC, h.vector DESC, id) AS pass FROM {HYBRID} h JOIN documents d ON h.id = d.doc_id) ORDER BY pass, round(score, 9) DESC, id LIMIT 20""")
+@query("pl_2_hybrid_search", f"""SELECT id, source, round(score, 6) AS score, pass FROM (SELECT h.*, d.source, row_number() OVER (PARTITION BY d.source ORDER BY round(score, 9) DESC, h.vector DESC, id) AS pass FROM {FETCHED} h JOIN documents d ON h.id = d.doc_id) ORDER BY pass, round(score, 9) DESC, id LIMIT {RESULTS}""")
 def _(t):
-    """Fused hits, hydrated, one source after the other, twenty in all."""
-    h = _hybrid(t).join(t.documents.select(F.col("doc_id").alias("id"), "source"), "id")
+    """Fused hits of what each branch fetches, hydrated, one source after the other."""
+    h = _hybrid(t, RESULTS).join(t.documents.select(F.col("doc_id").alias("id"), "source"), "id")
     ranked = h.withColumn("pass", F.row_number().over(Window.partitionBy("source").orderBy(F.desc(R(F.col("score"), 9)), F.desc("vector"), "id")))
-    return ranked.orderBy("pass", F.desc(R(F.col("score"), 9)), "id").limit(20).select("id", "source", R(F.col("score")).alias("score"), "pass")
+    return ranked.orderBy("pass", F.desc(R(F.col("score"), 9)), "id").limit(RESULTS).select("id", "source", R(F.col("score")).alias("score"), "pass")
 
 
 @query("pl_3_answer", f"""WITH h AS (SELECT h.*, d.source, d.text, row_number() OVER (PARTITION BY d.source ORDER BY round(score, 9) DESC, h.vector DESC, id) AS pass FROM {HYBRID} h JOIN documents d ON h.id = d.doc_id),
