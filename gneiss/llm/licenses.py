@@ -1,6 +1,7 @@
 """Operator 10, licence scans by a trained paragraph classifier, with DataFrame functions and Spark ML only.
 
-Every paragraph (line) is classed by multinomial logistic regression over sparse word n-grams, those of the training
+A paragraph is a line, or the lines that a hard-wrapped paragraph was broken into, without the marks of comments (see
+paragraphs). Every one is classed by multinomial logistic regression over sparse word n-grams, those of the training
 wordings. Classes are the licence families, "unknown" (licence wording of no family) and "none" (no licence wording).
 Training rows are the wordings whole, thinned and beside prose of the corpus, and that prose. Scores are calibrated by
 a temperature, chosen on wordings and prose that the fit has not seen; what falls below CONFIDENT is unknown. A family
@@ -55,6 +56,12 @@ NAMELESS = [
     "A licence is needed to drive.", "This is a proprietary license; redistribution is not allowed.", "Copyright holders keep all rights.", "Licensed to the buyer under a separate agreement.",
     "Released under license of the publisher.", "Licensed under terms to be agreed.", "This work is protected by copyright.", "Version 2.0 of the license plate register.",
 ]
+# Names of licences without a template here, which are licence wording of no family.
+OTHERS = [
+    "the Academic Free License 3.0", "the Artistic License 2.0", "the Boost Software License 1.0", "the Common Development and Distribution License", "the Eclipse Public License 2.0", "EPL-2.0",
+    "the European Union Public Licence, version 1.2", "the EUPL, version 1.2", "EUPL-1.2", "the Open Software License 3.0", "the SIL Open Font License, Version 1.1", "OFL-1.1", "the Unlicense", "the zlib License",
+]
+OTHER_SENTENCES = [*SENTENCES, "{} applies to this program."]
 PLAIN = ["The weather was fine, so we walked along the river.", "This is the last part of the work that we began in spring.", "All of them came to the meeting and left early.", "You may find the files of the second version in the other room."]
 CUES = ["licen", "copyright", "redistribut", "permission", "public license", "creative commons"]
 # Neighbouring words that make another licence of the one they stand in.
@@ -93,6 +100,32 @@ def triples(w: Column) -> Column:
     return extended(pairs(w), w, 3)
 
 
+def _others() -> list[str]:
+    """Short notices of licences without a template."""
+    return [x.format(n)[0].upper() + x.format(n)[1:] for n in OTHERS for x in OTHER_SENTENCES]
+
+
+#: Characters of a line that may be wrapped: from the first on if no sentence ends with it, from the second on if one does, up to the third.
+WRAPPED = (40, 60, 90)
+#: Lines of a wrapped paragraph that are classed together, and how many further on the next ones begin.
+MOST_LINES, NEXT_LINES = 24, 16
+_MARKS = r"(?m)^[ \t]*(?:/{2,}|/\*+|\*+/|\*+|#+|;+|-{2,}|%+|<!--)[ \t]*|[ \t]*(?:\*+/|-->)?[ \t\r]*$"
+_JOINED = "\x0b"
+
+
+def paragraphs(text: Column) -> Column:
+    """The paragraphs of a text, each as an array of its lines.
+
+    Marks of comments at the ends of lines go. A line end is inside a paragraph if the line before it is as long as
+    wrapped ones are (WRAPPED: shorter ones and ones that end a sentence early end a paragraph, longer ones are not
+    wrapped) and the line after it is neither blank nor longer.
+    """
+    low, full, most = WRAPPED
+    end = rf"\n(?=[^\n]{{0,{most - 1}}}[\p{{L}}\p{{N}}][^\n]{{0,{most - 1}}}(?:\n|\z))(?=[^\n]{{1,{most}}}(?:\n|\z))(?<=(?:\A|\n)(?:[^\n]{{{low - 1},{most - 1}}}[^\n.!?]|[^\n]{{{full},{most}}})\n)"
+    bare = F.regexp_replace(F.replace(text, F.lit(_JOINED), F.lit(" ")), _MARKS, "")
+    return F.transform(F.split(F.regexp_replace(bare, end, _JOINED), "\n"), lambda x: F.split(x, _JOINED))
+
+
 def has_cue(c: Column) -> Column:
     return F.lower(c).rlike("|".join(CUES))
 
@@ -113,6 +146,7 @@ def training_rows(docs: DataFrame) -> DataFrame:
     pieces = w.select(F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - 1, F.lit(PIECE)), lambda i: F.array_join(F.slice("w", i + 1, PIECE), " "))).alias("piece"))
     prose = cut(pieces.filter(F.trim("piece") != "").distinct().orderBy(F.xxhash64("piece"), "piece").limit(TRAIN_PIECES))
     wordings = [(f, x, COPIES, x in HELD) for f, x in TEMPLATES]
+    wordings += [(UNKNOWN, x, 1, i % HELD_OF == 0) for i, x in enumerate(_others())]
     wordings += [(UNKNOWN, x, NAMELESS_COPIES, i % HELD_OF == 0) for i, x in enumerate(NAMELESS)] + [(NONE, x, NAMELESS_COPIES, False) for x in PLAIN]
     copies = _literal_rows(spark, wordings, ["family", "paragraph", "n", "held"]).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n")))).withColumn("copy", F.col("copy") - 1)
     slot = lambda *c: F.pmod(F.xxhash64(*c), F.lit(SLOTS)).alias("slot")
@@ -160,7 +194,7 @@ def fit(docs: DataFrame) -> Model:
     """A model of the wordings beside prose of docs(doc_id, text); without documents, of the wordings alone."""
     spark = docs.sparkSession
     label = F.array_position(F.array(*map(F.lit, CLASSES)), F.col("family")).cast("double") - 1
-    worded = _literal_rows(spark, [(x,) for x in [*(x for _, x in TEMPLATES), *NAMELESS, *PLAIN]], ["paragraph"])
+    worded = _literal_rows(spark, [(x,) for x in [*(x for _, x in TEMPLATES), *_others(), *NAMELESS, *PLAIN]], ["paragraph"])
     counter = CountVectorizer(inputCol="grams", outputCol="features", binary=True).fit(featured(worded, "paragraph").select("grams"))
     rows = cut(training_rows(docs).select(label.alias("label"), "paragraph", "held").coalesce(2))
     logistic = LogisticRegression(family="multinomial", regParam=RIDGE, maxIter=60, featuresCol="features", labelCol="label", rawPredictionCol="margins", probabilityCol="", predictionCol="")
@@ -178,33 +212,38 @@ def _loss(t: float) -> Column:
 
 def scan(docs: DataFrame, model: Model) -> DataFrame:
     """For each row of docs(doc_id, text): n_candidates (paragraphs of licence wording: the likeliest class is not none),
-    families (confirmed ones, sorted, comma-joined), n_confirmed, n_unknown (candidates that are not confirmed), and
-    probability (the greatest of a confirmed paragraph, else null). Of classes equally likely, the first in CLASSES counts.
+    families (confirmed ones, sorted, comma-joined), n_confirmed (families of paragraphs), n_unknown (candidates without
+    one), and probability (the greatest of a confirmed paragraph, else null). Of classes equally likely, the first in
+    CLASSES counts. Long wrapped paragraphs are classed in overlapping parts, and have what any part has.
 
     Null and empty texts have no candidates; repeated rows give a row each; an empty table gives none; other columns,
     whatever their names, are ignored.
     """
     spark = docs.sparkSession
     numbered = docs.select("doc_id", text_or_empty().alias("text")).withColumn("row", F.monotonically_increasing_id())
-    lines = numbered.select("row", "doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    blocks = numbered.select("row", "doc_id", F.posexplode(paragraphs(F.col("text"))).alias("block", "lines"))
+    pieces = F.transform(F.sequence(F.lit(0), F.greatest(F.size("lines") - MOST_LINES + NEXT_LINES - 1, F.lit(0)), F.lit(NEXT_LINES)), lambda i: F.array_join(F.slice("lines", i + 1, MOST_LINES), " "))
+    lines = blocks.select("row", "doc_id", "block", F.explode(pieces).alias("line"))
     z = model.margins(lines, "line").withColumn("top", F.array_max("z"))
     scaled = F.transform("z", lambda x: F.exp((x - F.col("top")) / F.lit(model.temperature)))
     classed = z.withColumn("p", 1 / F.aggregate(scaled, F.lit(0.0), lambda s, x: s + x)).withColumn("likeliest", F.element_at(F.array(*map(F.lit, CLASSES)), F.array_position("z", F.col("top")).cast("int")))
     blank = ~F.col("line").rlike(r"[\p{L}\p{N}]")
     known = F.when(blank | (F.col("likeliest") == NONE), F.lit(NONE)).when(F.col("p") >= CONFIDENT, F.col("likeliest")).otherwise(F.lit(UNKNOWN))
-    named = classed.select("row", "doc_id", "p", known.alias("known"), "line").withColumn("w", F.when(~F.col("known").isin(UNKNOWN, NONE), words(F.col("line"))))
-    compared = named.select("row", "doc_id", "p", "known", _parts(F.col("w")).alias("of")).join(F.broadcast(_templates(spark)), F.col("known") == F.col("family"), "left")
+    named = classed.select("row", "doc_id", "block", "p", known.alias("known"), "line").withColumn("w", F.when(~F.col("known").isin(UNKNOWN, NONE), words(F.col("line"))))
+    compared = named.select("row", "doc_id", "block", "p", "known", _parts(F.col("w")).alias("of")).join(F.broadcast(_templates(spark)), F.col("known") == F.col("family"), "left")
     own = F.col("of")
     shared = lambda s: F.size(F.array_intersect(s["triples"], own["triples"]))
     same = lambda s: (F.size(F.array_except(s["numbers"], own["numbers"])) == 0) & (F.size(F.array_except(own["qualifiers"], s["qualifiers"])) == 0)
     near = lambda s: (shared(s) >= ALIKE * F.size(s["triples"])) | ((F.size(own["triples"]) >= 8) & (shared(s) >= ALIKE * F.size(own["triples"])))
     alike = F.coalesce(F.exists("templates", lambda s: near(s) & same(s)), F.lit(False))
-    judged = compared.select("row", "doc_id", "p", "known", F.when(alike, F.col("known")).alias("sure"))
-    candidate = F.col("known") != NONE
-    return judged.groupBy("row", "doc_id").agg(
-        F.count_if(candidate).alias("n_candidates"), F.array_join(F.sort_array(F.collect_set("sure")), ",").alias("families"), F.count("sure").alias("n_confirmed"),
-        F.count_if(candidate & F.col("sure").isNull()).alias("n_unknown"), F.max(F.when(F.col("sure").isNotNull(), F.col("p"))).alias("probability"),
-    ).drop("row")
+    judged = compared.select("row", "doc_id", "block", "p", "known", F.when(alike, F.col("known")).alias("sure"))
+    sets = judged.groupBy("row", "doc_id").agg(
+        F.collect_set(F.when(F.col("known") != NONE, F.col("block"))).alias("candidates"), F.collect_set(F.when(F.col("sure").isNotNull(), F.struct("block", "sure"))).alias("found"), F.max(F.when(F.col("sure").isNotNull(), F.col("p"))).alias("probability"),
+    )
+    return sets.select(
+        "doc_id", F.size("candidates").cast("long").alias("n_candidates"), F.array_join(F.array_sort(F.array_distinct(F.transform("found", lambda s: s["sure"]))), ",").alias("families"), F.size("found").cast("long").alias("n_confirmed"),
+        F.size(F.array_except("candidates", F.transform("found", lambda s: s["block"]))).cast("long").alias("n_unknown"), "probability",
+    )
 
 
 def _parts(w: Column) -> Column:

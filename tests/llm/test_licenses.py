@@ -105,3 +105,52 @@ def test_grams_of_counted_words_are_all_that_count(make, model):
     some = {r["doc_id"]: r["grams"] for r in lic.featured(rows, "text", model.grams).collect()}
     for r in lic.featured(rows, "text").collect():
         assert [g for g in some[r["doc_id"]] if g in counted] == [g for g in r["grams"] if g in counted]
+
+
+def wrapped(text, columns, mark=""):
+    import textwrap
+
+    return "\n".join(mark + x for x in textwrap.wrap(text, columns))
+
+
+@pytest.mark.parametrize("mark", ["", " * ", "# ", "// "])
+@pytest.mark.parametrize("columns", [60, 72, 80])
+def test_wrapped_notices_are_one_paragraph(make, prose, model, columns, mark):
+    rows = [(i, f"{prose(50, i)}.\n\n{wrapped(t, columns, mark)}\n\n{prose(50, 50 + i)}.") for i, (_, t) in enumerate(lic.NOTICES)]
+    got = {r["doc_id"]: (r["n_candidates"], r["families"], r["n_confirmed"], r["n_unknown"]) for r in lic.scan(make(rows), model).collect()}
+    assert got == {i: (1, f, 1, 0) for i, (f, _) in enumerate(lic.NOTICES)}
+
+
+def test_licences_without_a_template_are_unknown(make, prose, model):
+    said = ["The EUPL, version 1.2, applies to this program.", "This program is licensed under the Eclipse Public License 2.0.", "This Font Software is licensed under the SIL Open Font License, Version 1.1.", "Released under the terms of the EUPL."]
+    rows = [(i, f"{prose(60, i)}.\n{t}\n{prose(60, 70 + i)}.") for i, t in enumerate(said)]
+    for r in lic.scan(make(rows), model).collect():
+        assert (r["n_candidates"], r["families"], r["n_unknown"]) == (1, "", 1), said[r["doc_id"]]
+
+
+def test_where_paragraphs_end(make):
+    full = "a line that is as long as wrapped lines usually are, or longer"
+    cases = {
+        "one\ntwo": [["one"], ["two"]], f"{full}\nand more\nlast": [[full, "and more"], ["last"]], f"{full}\n\nnew": [[full], [""], ["new"]], f"// {full}\n// end. */\nnew": [[full, "end."], ["new"]],
+        f"{full}.\nGoes on": [[f"{full}.", "Goes on"]], f"{full[:45]}.\nNew": [[f"{full[:45]}."], ["New"]], f"{full * 2}\nnext": [[full * 2], ["next"]], f"{full}\n{full * 2}": [[full], [full * 2]], f"{full}\n---\nx": [[full], [""], ["x"]], "": [[""]],
+    }
+    got = {r["text"]: r["p"] for r in make(list(enumerate(cases))).withColumn("p", lic.paragraphs(F.col("text"))).collect()}
+    assert got == cases
+
+
+def test_long_wrapped_paragraphs_are_classed_in_parts(make, prose, model):
+    long = [prose(12, i)[:55].ljust(50, "x") for i in range(100)]
+    at = wrapped(lic.NOTICES[6][1], 72).split("\n")
+    got = lic.scan(make([(1, "\n".join([*long[:37], *at, *long[37:]]))]), model).first()
+    assert (got["n_candidates"], got["families"], got["n_confirmed"], got["n_unknown"]) == (1, "MIT", 1, 0)
+
+
+def test_ties_take_the_first_class(make):
+    """Equal margins: the first class is the likeliest, and not likely enough to be named."""
+
+    class Even(lic.Model):
+        def margins(self, rows, paragraph):
+            return rows.withColumn("z", F.array(*(F.lit(0.5) for _ in lic.CLASSES)))
+
+    got = lic.scan(make([(1, "some words\nmore\n\n"), (2, "")]), Even(None, None, 1.0)).collect()
+    assert {r["doc_id"]: (r["n_candidates"], r["n_unknown"], r["families"]) for r in got} == {1: (2, 2, ""), 2: (0, 0, "")}
