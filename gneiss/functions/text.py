@@ -92,6 +92,16 @@ def words(c: Column) -> Column:
     return F.filter(F.split(F.lower(c), r"[^a-z0-9]+"), lambda w: w != "")
 
 
+def bilingual_tokens(text: Column) -> Column:
+    """Words of letters and digits, and of Han and kana runs each character and each two neighbours."""
+    low = F.lower(text)
+    runs = F.regexp_extract_all(low, F.lit(r"([぀-ヿ㐀-鿿]+)"), F.lit(1))
+    pairs = F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.greatest(F.length(r) - 1, F.lit(1))), lambda i: F.substring(r, i, F.lit(2)))))
+    single = F.flatten(F.transform(runs, lambda r: F.filter(F.split(r, ""), lambda x: x != "")))
+    more = F.when(low.rlike("[぀-ヿ㐀-鿿]"), F.concat(single, F.filter(pairs, lambda g: F.length(g) > 1))).otherwise(F.array().cast("array<string>"))
+    return F.concat(words(text), more)
+
+
 def token_count(c: Column) -> Column:
     """White-space tokens, at least 1."""
     return F.greatest(F.lit(1), F.size(F.filter(F.split(F.trim(c), r"\s+"), lambda w: w != "")))

@@ -31,6 +31,42 @@ def expand(edges: DataFrame, a: str, b: str, roots: DataFrame, hops: int) -> Dat
     return seen
 
 
+def expand_within(edges: DataFrame, a: str, b: str, id_: str, weight: str, roots: DataFrame, hops: int, most_nodes: int, most_edges: int) -> tuple[DataFrame, DataFrame, bool]:
+    """(node, hop) and (id, a, b, hop) of an expansion in either direction under budgets, and whether they cut it short.
+
+    In each hop the edges that touch the last hop's new nodes come in order of weight, greatest first, then id. One that
+    would bring a node too many is left out, and the next one is looked at; once there are most_edges, nothing follows.
+    What reaches the driver is bounded by the budgets; candidates are sorted out by partial minima and top rows.
+    """
+    spark, kind = edges.sparkSession, dict(edges.dtypes)
+    schema = f"node {kind[a]}, hop int"
+    nodes = [(r["node"], 0) for r in roots.select("node").distinct().orderBy("node").limit(most_nodes).collect()]
+    cut = roots.select("node").distinct().count() > most_nodes
+    chosen, front = [], [n for n, _ in nodes]
+    for hop in range(1, hops + 1):
+        if not front:
+            break
+        seen = F.broadcast(spark.createDataFrame(nodes, schema))
+        at = lambda c: seen.select(F.col("node").alias(c), F.col("hop").alias(f"_{c}"))  # noqa: B023, E731
+        touched = edges.select(id_, a, b, weight).join(at(a), a, "left").join(at(b), b, "left").filter((F.col(f"_{a}") == hop - 1) | (F.col(f"_{b}") == hop - 1))
+        fresh = touched.filter((F.coalesce(f"_{a}", F.lit(hop - 1)) >= hop - 1) & (F.coalesce(f"_{b}", F.lit(hop - 1)) >= hop - 1))
+        new = F.when(F.col(f"_{a}").isNull(), F.col(a)).when(F.col(f"_{b}").isNull(), F.col(b))
+        fresh = written(fresh.withColumn("_new", new).withColumn("_order", F.struct((-F.col(weight)).alias("w"), F.col(id_).alias("i"))), "touched")
+        first = fresh.filter("_new IS NOT NULL").groupBy("_new").agg(F.min("_order").alias("_first"))
+        room = most_nodes - len(nodes)
+        welcome = [r["_new"] for r in first.orderBy("_first").limit(room).collect()] if room > 0 else []
+        ok = fresh.filter(F.col("_new").isNull()).unionByName(fresh.join(F.broadcast(spark.createDataFrame([(w,) for w in welcome], f"_new {kind[a]}")), "_new", "left_semi").select(fresh.columns))
+        taken = ok.orderBy("_order").limit(most_edges - len(chosen)).collect()
+        cut = cut or fresh.count() > len(taken)
+        chosen += [(r[id_], r[a], r[b], hop) for r in taken]
+        have = {n for n, _ in nodes}
+        front = [n for n in dict.fromkeys(r["_new"] for r in taken if r["_new"] is not None) if n not in have]
+        nodes += [(n, hop) for n in front]
+        if len(chosen) == most_edges:
+            break
+    return spark.createDataFrame(nodes, schema), spark.createDataFrame(chosen, f"`{id_}` {kind[id_]}, `{a}` {kind[a]}, `{b}` {kind[b]}, hop int"), cut
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component): the least node that each node is connected with; every round also takes the label's label."""
     both = written(undirected(edges, a, b), "links")

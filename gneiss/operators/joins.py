@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gneiss.shared import written
+
 
 def top_one(left: DataFrame, right: DataFrame, on: str, order: list[Column], columns: list[str]) -> DataFrame:
     """left with columns of the first row of right in order, null where there is none (a lateral join with limit 1)."""
@@ -107,6 +109,50 @@ def differing_pairs(df: DataFrame, key: list[str], id_: str, value: str) -> Data
     return a.join(b, key).filter("a < b")
 
 
+def named_in(texts: DataFrame, id_: str, text: str, names: DataFrame, name: str) -> DataFrame:
+    """Pairs (id, name) where the text names the name: its words stand there one after the other, whatever case and marks.
+
+    A name meets the texts that hold its longest word, which is an equality; only what meets is compared. A name
+    without letters or digits is never named.
+    """
+    word = lambda c: F.filter(F.split(F.lower(c), r"[^a-z0-9]+"), lambda w: w != "")
+    asked = texts.select(id_, word(F.col(text)).alias("_t"))
+    known = names.select(name).distinct().withColumn("_n", word(F.col(name))).filter(F.size("_n") > 0)
+    longest = F.array_sort(F.transform("_n", lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))[0]["w"]
+    held = asked.select(id_, F.explode(F.array_distinct("_t")).alias("_w"), F.concat(F.lit(" "), F.array_join("_t", " "), F.lit(" ")).alias("_text"))
+    met = held.join(known.withColumn("_w", longest), "_w")
+    return met.filter(F.contains("_text", F.concat(F.lit(" "), F.array_join("_n", " "), F.lit(" ")))).select(id_, name).distinct()
+
+
+def nearest_later(rows: DataFrame, key: str, id_: str, value: str, n: int) -> DataFrame:
+    """(a, b, apart, place): for each row a the n rows b of its key with a greater id whose values are nearest, ties by id.
+
+    Rows of a key lie in order of value; each looks at so many places to either side, and those that cannot be sure of
+    their n nearest yet at twice as many, up to the whole key. So pairs are listed near each other only.
+    """
+    order = Window.partitionBy(key).orderBy(value, id_)
+    placed = written(rows.select(key, id_, F.col(value).cast("double").alias("_v"), F.row_number().over(order).alias("_p"), F.count("*").over(Window.partitionBy(key)).alias("_n")), "placed")
+    other = placed.select(key, F.col(id_).alias("b"), F.col("_v").alias("_w"), F.col("_p").alias("_q"))
+    open_, done, reach = placed, None, 2 * n
+    while True:
+        near = open_.withColumn("_q", F.explode(F.sequence(F.greatest(F.col("_p") - reach, F.lit(1)), F.least(F.col("_p") + reach, F.col("_n")))))
+        met = near.join(other, [key, "_q"]).withColumn("apart", F.abs(F.col("_v") - F.col("_w")))
+        # Beyond the places that were looked at nothing is nearer than the farther end of either side that has one.
+        edge = F.least(F.when(F.col("_p") - reach > 1, F.max(F.when(F.col("_q") == F.col("_p") - reach, F.col("apart"))).over(Window.partitionBy(key, id_))), F.when(F.col("_p") + reach < F.col("_n"), F.max(F.when(F.col("_q") == F.col("_p") + reach, F.col("apart"))).over(Window.partitionBy(key, id_))))
+        later = met.withColumn("_edge", edge).withColumn("_later", F.col("b") > F.col(id_))
+        place = F.row_number().over(Window.partitionBy(key, id_).orderBy(F.desc("_later"), "apart", "b"))
+        best = written(later.withColumn("place", place).filter(F.col("place") <= n), "near")
+        # A tie with the edge could still be beaten by a lesser id beyond it.
+        sure = best.groupBy(key, F.col(id_).alias("_a")).agg(F.max("_edge").alias("_edge"), F.count_if("_later").alias("_found"), F.max(F.when(F.col("_later"), F.col("apart"))).alias("_far"))
+        ended = sure.filter(F.col("_edge").isNull() | ((F.col("_found") == n) & (F.col("_far") < F.col("_edge")))).select(key, F.col("_a").alias(id_))
+        found = best.filter("_later").join(ended, [key, id_], "left_semi").select(F.col(id_).alias("a"), "b", "apart", "place")
+        done = found if done is None else done.unionByName(found)
+        open_ = written(open_.join(ended, [key, id_], "left_anti"), "open")
+        if open_.isEmpty():
+            return done
+        reach *= 2
+
+
 def iou(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
     """Intersection over union of boxes (x0, y0, x1, y1); 0 if neither has an area."""
     w = F.greatest(F.lit(0.0), F.least(a[2], b[2]) - F.greatest(a[0], b[0]))

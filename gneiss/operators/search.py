@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gneiss.functions.text import matches_term, may_match, words
+from gneiss.functions.text import bilingual_tokens, matches_term, may_match
 from gneiss.operators.aggregates import ratio
+from gneiss.operators.joins import named_in
 from gneiss.shared import written
 
 # Fixed values of the scoring rule: field weights, boosts, weights of query terms, words that only vary a product's
@@ -106,7 +107,7 @@ def hybrid(vector: DataFrame, keyword: DataFrame, id_: str) -> DataFrame:
 def bm25(docs: DataFrame, key: str, text: str, terms: list[str], k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(key, score) of the documents with a term; statistics over all documents. Texts are split once: lengths and term
     counts are written and read again for the statistics and for the scores."""
-    split = docs.select(key, words(F.col(text)).alias("_w"))
+    split = docs.select(key, bilingual_tokens(F.col(text)).alias("_w"))
     counts = written(split.select(key, F.size("_w").alias("len"), *(F.size(F.filter("_w", _is(t))).alias(f"tf{i}") for i, t in enumerate(terms))), "counts")
     about = counts.agg(F.count("*").alias("n"), F.avg("len").alias("mean"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))))
     score = F.lit(0.0)
@@ -170,3 +171,14 @@ def device_gate(items: DataFrame, device: str, guide: str, questions: DataFrame,
     named = F.filter(F.array(*(F.when(matches_term(F.col(question), n), F.lit(n)) for n in names)), lambda x: x.isNotNull())
     asked = questions.select(id_, named.alias("_named"))
     return items.join(F.broadcast(asked)).filter(~F.col(guide) | (F.size("_named") == 0) | F.array_contains("_named", F.col(device))).drop("_named")
+
+
+def gated(items: DataFrame, item: str, device: str, guide: str, questions: DataFrame, id_: str, question: str) -> DataFrame:
+    """(question, item): what each question may see, without a row for every pair. A row without a question is an item
+    that all questions see (no guide, or one of no device); a row without an item is a question that names no device
+    and sees all; the rest are the guides of the devices that a question names."""
+    open_ = items.filter(~F.coalesce(F.col(guide), F.lit(False)) | F.col(device).isNull()).select(F.lit(None).cast(dict(questions.dtypes)[id_]).alias("question"), F.col(item).alias("item"))
+    guides = items.filter(F.col(guide) & F.col(device).isNotNull()).select(F.col(device).alias("_device"), F.col(item).alias("item"))
+    named = written(named_in(questions, id_, question, items.filter(F.col(device).isNotNull()).select(F.col(device).alias("_device")), "_device"), "named")
+    free = questions.select(id_).join(named.select(id_), id_, "left_anti").select(F.col(id_).alias("question"), F.lit(None).cast(dict(items.dtypes)[item]).alias("item"))
+    return open_.unionByName(free).unionByName(named.join(guides, "_device").select(F.col(id_).alias("question"), "item"))

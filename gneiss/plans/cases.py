@@ -279,3 +279,33 @@ def _(t):
     """Guides (parts of a size over 25) of devices that a question does not name go, if it names any."""
     q = t.spark.createDataFrame(ASKED_ABOUT, "q long, question string")
     return search.device_gate(t.part.select("p_partkey", "p_brand", (F.col("p_size") > 25).alias("guide")), "p_brand", "guide", q, "q", "question").select("q", "p_partkey")
+
+
+@query("sc_10b_gate", """WITH q AS (SELECT conv_id * 1000 + turn AS question, CASE WHEN turn % 2 = 0 THEN 'About ' || 'Brand#' || (conv_id % 30) || ' and brand 7?' ELSE 'About all' END AS said FROM conversations WHERE conv_id % 20 = 0),
+ n AS (SELECT DISTINCT question, p_brand FROM q JOIN (SELECT DISTINCT p_brand FROM part) ON regexp_matches(lower(said), '(^|[^a-z0-9])' || replace(lower(p_brand), '#', '[^a-z0-9]+') || '([^a-z0-9]|$)'))
+ SELECT NULL AS question, p_partkey AS item FROM part WHERE p_size <= 25 UNION ALL SELECT question, NULL FROM q WHERE question NOT IN (SELECT question FROM n) UNION ALL SELECT question, p_partkey FROM n JOIN part USING (p_brand) WHERE p_size > 25""")
+def _(t):
+    """What every twentieth conversation's questions may see of the parts' guides, as rules and rows, not as pairs."""
+    said = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("About Brand#"), F.col("conv_id") % 30, F.lit(" and brand 7?"))).otherwise("About all")
+    q = t.conversations.filter("conv_id % 20 = 0").select((F.col("conv_id") * 1000 + F.col("turn")).alias("question"), said.alias("said"))
+    return search.gated(t.part.select("p_partkey", "p_brand", (F.col("p_size") > 25).alias("guide")), "p_partkey", "p_brand", "guide", q, "question", "said")
+
+
+_SEEDS = ["small", "ring", "valve"]
+_TF = ", ".join(f"len(list_filter(w, lambda x: x = '{x}')) AS t{i}" for i, x in enumerate(_SEEDS))
+_DF = ", ".join(f"count(*) FILTER (t{i} > 0) AS d{i}" for i in range(3))
+_BM = " + ".join(f"ln((nn - d{i} + 0.5) / (d{i} + 0.5) + 1) * t{i} * 2.5 / (t{i} + 1.5 * (0.25 + 0.75 * n / m))" for i in range(3))
+
+
+@query("sc_15b_bm25_subgraph", f"""WITH d AS (SELECT 'p' || p_partkey AS node, string_split(p_name, ' ') AS w FROM part), c AS (SELECT node, len(w) AS n, {_TF} FROM d), st AS (SELECT count(*) AS nn, avg(n) AS m, {_DF} FROM c),
+ s AS (SELECT node FROM (SELECT node, {_BM} AS score FROM c, st) WHERE score > 0 ORDER BY round(score, 9) DESC, node LIMIT 10), e AS (SELECT subject, object FROM {EDGES}),
+ h AS (SELECT node AS n FROM s UNION SELECT object FROM e WHERE subject IN (SELECT node FROM s) UNION SELECT subject FROM e WHERE object IN (SELECT node FROM s))
+ SELECT subject, object FROM e WHERE subject IN (SELECT n FROM h) OR object IN (SELECT n FROM h)""")
+def _(t):
+    """Edges that touch the nodes within one hop of the ten parts whose names fit a query best."""
+    names = t.part.select(F.concat(F.lit("p"), "p_partkey").alias("node"), "p_name")
+    seeds = search.bm25(names, "node", "p_name", _SEEDS).orderBy(F.desc(F.round("score", 9)), "node").limit(10).select("node")
+    e = edges(t).select("subject", "object")
+    near = graph.expand(e, "subject", "object", seeds, 1).select("node")
+    touched = lambda end: e.join(near.withColumnRenamed("node", end), end, "left_semi").select("subject", "object")
+    return touched("subject").union(touched("object")).distinct()

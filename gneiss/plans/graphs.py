@@ -23,6 +23,23 @@ def _(t):
     return graph.expand(edges(t), "subject", "object", t.spark.range(1).select(F.lit("s1").alias("node")), 2)
 
 
+def _hop(n: int, nodes: str, used: str) -> str:
+    """CTEs of one hop: t (edges at the last hop's nodes), c (those whose new node is welcome), k (those taken)."""
+    return f"""t{n} AS (SELECT e.*, subject || '-' || object AS id, CASE WHEN subject NOT IN (SELECT node FROM {nodes}) THEN subject WHEN object NOT IN (SELECT node FROM {nodes}) THEN object END AS new FROM {EDGES} e
+  WHERE (subject IN (SELECT node FROM {nodes} WHERE hop = {n - 1}) OR object IN (SELECT node FROM {nodes} WHERE hop = {n - 1})) AND subject NOT IN (SELECT node FROM {nodes} WHERE hop < {n - 1}) AND object NOT IN (SELECT node FROM {nodes} WHERE hop < {n - 1})),
+ w{n} AS (SELECT new FROM (SELECT new, min(-n * 1000000.0) AS o, arg_min(id, (-n, id)) AS i FROM t{n} WHERE new IS NOT NULL GROUP BY new) ORDER BY o, i LIMIT (SELECT 12 - count(*) FROM {nodes})),
+ k{n} AS (SELECT * FROM t{n} WHERE new IS NULL OR new IN (SELECT new FROM w{n}) ORDER BY n DESC, id LIMIT (SELECT 15 - count(*) FROM {used})),
+ n{n} AS (SELECT * FROM {nodes} UNION ALL SELECT DISTINCT new, {n} FROM k{n} WHERE new IS NOT NULL), u{n} AS (SELECT * FROM {used} UNION ALL SELECT id, {n} FROM k{n})"""
+
+
+@query("gr_1b_budgets", f"WITH n0 AS (SELECT 's1' AS node, 0 AS hop), u0 AS (SELECT 'x' AS id, 0 AS hop WHERE false), {_hop(1, 'n0', 'u0')}, {_hop(2, 'n1', 'u1')}, {_hop(3, 'n2', 'u2')} SELECT id, hop FROM u3")
+def _(t):
+    """Three hops from a supplier under budgets of twelve nodes and fifteen edges."""
+    e = edges(t).withColumn("id", F.concat_ws("-", "subject", "object"))
+    _, chosen, _ = graph.expand_within(e, "subject", "object", "id", "n", t.spark.range(1).select(F.lit("s1").alias("node")), 3, 12, 15)
+    return chosen.select("id", "hop")
+
+
 @query("gr_3_components", f"WITH RECURSIVE b AS {BOTH}, r(node, root) AS (SELECT a, a FROM b UNION SELECT b.b, r.root FROM r JOIN b ON b.a = r.node) SELECT node, min(root) AS component FROM r GROUP BY node")
 def _(t):
     return graph.components(edges(t), "subject", "object")

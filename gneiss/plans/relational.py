@@ -120,8 +120,7 @@ def _(t):
 @query("jn_18_candidate_pairs", """SELECT a, b FROM (SELECT a.s_suppkey AS a, b.s_suppkey AS b, row_number() OVER (PARTITION BY a.s_suppkey ORDER BY abs(a.s_acctbal - b.s_acctbal), b.s_suppkey) AS n
  FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey) WHERE n <= 2""")
 def _(t):
-    a, b = t.supplier.select("s_nationkey", F.col("s_suppkey").alias("a"), F.col("s_acctbal").alias("x")), t.supplier.select("s_nationkey", F.col("s_suppkey").alias("b"), F.col("s_acctbal").alias("y"))
-    return windows.first_per(a.join(b, "s_nationkey").filter("a < b"), ["a"], [F.abs(F.col("x") - F.col("y")), F.col("b")], 2).select("a", "b")
+    return joins.nearest_later(t.supplier, "s_nationkey", "s_suppkey", "s_acctbal", 2).select("a", "b")
 
 
 @query("jn_19_optional_object", "SELECT c_custkey, c_nationkey, n_name, o_orderkey FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN (SELECT * FROM orders WHERE o_totalprice > 450000) ON o_custkey = c_custkey WHERE c_acctbal > 9000")

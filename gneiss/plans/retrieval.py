@@ -254,6 +254,17 @@ def _(t):
     return t.documents.filter(F.col("text").rlike(r"^[\x00-\x7F]*$")).select("doc_id", F.md5(text.match_key(F.col("text"))).alias("h"))
 
 
+@query("fn_2b_fold_all", r"SELECT doc_id, md5(trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '\s+', ' ', 'g'))) AS h FROM documents")
+def _(t):
+    """Every text; of what folding changes beyond case the texts hold the sharp s only."""
+    return t.documents.select("doc_id", F.md5(text.fold(F.col("text"))).alias("h"))
+
+
+@query("fn_4b_match_all", r"""SELECT doc_id, md5(regexp_replace(translate(replace(lower(text), 'ß', 'ss'), '‐‑‒–—‘’“”', '-----''''""'), '\s+', '', 'g')) AS h FROM documents""")
+def _(t):
+    return t.documents.select("doc_id", F.md5(text.match_key(F.col("text"))).alias("h"))
+
+
 @query("tk_4_over_fetch", "SELECT k, least(greatest(4 * k, 50), 600) AS vector, greatest(10 * k, 50) AS keyword, least(greatest(20 * greatest(10 * k, 50), 500), 1000) AS scored FROM (SELECT DISTINCT p_size * 5 AS k FROM part)")
 def _(t):
     """How many hits each branch fetches for k results."""
