@@ -26,7 +26,8 @@ MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 PLACES, PIECE = np.uint64((1 << 20) - 1), 1 << 19
 #: Rows of a range of doc_ids, about.
 RANGE_ROWS = 100_000
-LEAST_RANGES = 48
+#: Ranges at least, and at most.
+LEAST_RANGES, MOST_RANGES = 48, 10_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -120,12 +121,13 @@ def _place(c: Column, bounds: list[int]) -> Column:
 def _with_next(docs: DataFrame) -> DataFrame:
     """docs in ranges of doc_id, each range with the first row of the next one (head); the last range's next is the first.
 
-    One shuffle of the texts. Splitters and range heads are a few bytes a range.
+    One shuffle of the texts. Splitters and range heads are a few bytes a range, and ranges are MOST_RANGES at most: beyond
+    that they hold more rows, which a task sorts with spilling and streams through.
     """
     spark = docs.sparkSession
     ids = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("h"))
     n = docs.count()
-    ranges = max(LEAST_RANGES, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // RANGE_ROWS))
+    ranges = max(LEAST_RANGES, int(spark.conf.get("spark.sql.shuffle.partitions")), min(-(-n // RANGE_ROWS), MOST_RANGES))
     at = [i / ranges for i in range(1, ranges)]
     bounds = sorted(set(docs.agg(F.percentile_approx("doc_id", F.array(*map(F.lit, at)), F.lit(max(10_000, 20 * ranges))).alias("b")).first()["b"] or []))
     number = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(_place(F.col("doc_id"), bounds)).cast("int")
