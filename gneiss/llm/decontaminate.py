@@ -15,6 +15,7 @@ from collections.abc import Iterator
 from functools import reduce
 from itertools import chain
 
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -114,9 +115,8 @@ def _blocks(benchmark: DataFrame) -> Iterator[bytes]:
         yield pickle.dumps([x for x in found if x[1]])
 
 
-def _searched(texts: DataFrame, block: bytes, keys: str, hits_only: bool = False) -> DataFrame:
-    """texts(<keys>, text) with n_words, spans and items that the items of one block give."""
-    sent = texts.sparkSession.sparkContext.broadcast(block)
+def _searched(texts: DataFrame, block: bytes, keys: str, sent: Broadcast, hits_only: bool = False) -> DataFrame:
+    """texts(<keys>, text) with n_words, spans and items that the items of one block, sent, give."""
     key = "wm-" + hashlib.sha256(block).hexdigest()
 
     def fn(cols: dict[str, list]) -> dict[str, list]:
@@ -146,10 +146,14 @@ def _found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     if second is None:
         names = [f"c{i}" for i in range(len(docs.columns))]
         plain = docs.toDF(*names).withColumn("text", F.col(names[docs.columns.index("text")]).cast("binary"))
-        out = _searched(plain, first, ", ".join(f"{n} {k}" for n, (_, k) in zip(names, docs.dtypes)))
+        out = _searched(plain, first, ", ".join(f"{n} {k}" for n, (_, k) in zip(names, docs.dtypes)), docs.sparkSession.sparkContext.broadcast(first))
         return out.select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns)), F.col("n_words").alias("gneiss_n"), F.col("spans").alias("gneiss_spans"), F.col("items").alias("gneiss_items"))
     keyed = docs.select(F.xxhash64("doc_id", "text").alias("r1"), F.xxhash64("text", "doc_id", F.lit(1)).alias("r2"), text.alias("text"))
-    each = [written(_searched(keyed, b, "r1 long, r2 long", True), "hits") for b in chain((first, second), blocks)]
+    each = []
+    for b in chain((first, second), blocks):
+        sent = docs.sparkSession.sparkContext.broadcast(b)
+        each.append(written(_searched(keyed, b, "r1 long, r2 long", sent, True), "hits"))
+        sent.destroy()
     hits = reduce(DataFrame.unionByName, each).groupBy("r1", "r2").agg(F.flatten(F.collect_set("spans")).alias("gneiss_spans"), F.flatten(F.collect_set("items")).alias("gneiss_items"))
     rows = docs.withColumn("gneiss_r1", F.xxhash64("doc_id", "text")).withColumn("gneiss_r2", F.xxhash64("text", "doc_id", F.lit(1)))
     joined = rows.join(hits, (F.col("gneiss_r1") == F.col("r1")) & (F.col("gneiss_r2") == F.col("r2")), "left")
