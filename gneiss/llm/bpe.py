@@ -302,4 +302,5 @@ DECIMALS: list[str] = []
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """encode_decode of all documents by the ranks and pattern of the contract; edge cases as there."""
     return encode_decode(table(spark, sf_dir, "documents").select("doc_id", F.col("text")))

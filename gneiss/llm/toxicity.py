@@ -172,11 +172,16 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
-    """docs without the rows that the model rejects; columns unchanged."""
+    """docs without the rows that the model rejects; columns unchanged, whatever their names.
+
+    Null and empty texts have no features and are judged by the thresholds alone, which a model of mostly clean labels
+    keeps; repeated rows are judged alike; an empty table gives no rows; texts of any length are read whole.
+    """
     prepare(docs.sparkSession)
     return filter_batches(docs, lambda cols: [bool(model.exceed(t)[0] < REJECT) for t in cols["text"]])
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """score of all documents by a model fitted on a bounded sample of labelled ones; edge cases as there."""
     docs = table(spark, sf_dir, "documents")
     return score(docs, fit(docs, table(spark, sf_dir, "labels")))

@@ -2,6 +2,7 @@ import binascii
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from gneiss.llm import quality as q
 
@@ -56,3 +57,29 @@ def test_labels_of_one_kind_or_none(spark, make):
     for labels, want in (([], 0.5), ([(1, 1), (2, 1)], 1.0)):
         model = q.fit(stats, spark.createDataFrame([(i, y) for i, y in labels], "doc_id long, quality int"))
         assert np.allclose(model.score(np.zeros((2, q.STATS))), want)
+
+
+def test_fit_equals_one_dense_solve(spark):
+    """Weights from sums by partition against a least-squares solve over all training rows at once."""
+    r = np.random.default_rng(4)
+    rows = [(i, r.standard_normal(q.STATS).astype("float32").tolist()) for i in range(600)]
+    labels = [(i, int(x[0] + 0.3 * x[1] > 0)) for i, x in rows]
+    stats = spark.createDataFrame(rows, "doc_id long, x array<float>")
+    given = spark.createDataFrame(labels, "doc_id long, quality int")
+    model = q.fit(stats, given)
+    fold = {x["doc_id"]: x["f"] for x in stats.select("doc_id", q.fold_of(F.col("doc_id")).alias("f")).collect()}
+    kept = [(x, y) for (i, x), (_, y) in zip(rows, labels) if fold[i] not in (0, q.CALIBRATION_FOLD)]
+    a = q.lifted(np.array([x for x, _ in kept], float), model.mean, model.scale, model.waves, model.phases)
+    y = np.array([y for _, y in kept], float)
+    whole = np.vstack([a, np.sqrt(q.RIDGE) * np.eye(a.shape[1])])
+    want = np.linalg.lstsq(whole, np.concatenate((y, np.zeros(a.shape[1]))), rcond=None)[0]
+    assert np.allclose(model.beta, want, atol=1e-6)
+    scored = model.score(np.array([x for i, x in rows if fold[i] == 0], float))
+    truth = np.array([y for (i, y) in labels if fold[i] == 0])
+    assert ((scored >= 0.5) == truth).mean() > 0.8
+
+
+def test_very_long_text(make):
+    rows = [(1, "Some words here. " * 100_000), (2, "")]
+    got = {x["doc_id"]: x["x"] for x in q.document_statistics(make(rows)).collect()}
+    assert len(got[1]) == q.STATS and all(v == v for v in got[1])

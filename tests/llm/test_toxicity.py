@@ -67,3 +67,31 @@ def test_many_or_most_labels_toxic(spark, make, prose, tenths):
     model = tox.fit(make(rows), spark.createDataFrame([x for x in labels if x[0] % 5], "doc_id long, quality int, toxic int"))
     got = {r["doc_id"]: r["toxic"] for r in tox.score(make(rows), model).collect()}
     assert not [i for i, _, t in labels if i % 5 == 0 and got[i] != bool(t)]
+
+
+def test_the_fit_is_a_maximum_by_numeric_gradients():
+    """The penalised log-likelihood, written out from its definition, has no slope at the fitted weights and thresholds."""
+    r = np.random.default_rng(6)
+    n, f = 300, 5
+    x = (r.random((n, f)) < 0.4).astype(float)
+    latent = x @ np.array([2.0, 1.0, 0.0, -1.0, 0.5]) + r.logistic(size=n)
+    grades = np.digitize(latent, [0.5, 1.5, 2.5])
+    w, theta = tox.fit_ordinal([np.flatnonzero(row) for row in x], grades, f)
+
+    def gain(p):
+        z, t = x @ p[:f], p[f:]
+        over = np.vstack([np.ones(n), 1 / (1 + np.exp(t[:, None] - z)), np.zeros(n)])
+        at = np.arange(n)
+        return np.log(over[grades, at] - over[grades + 1, at]).mean() - tox.RIDGE / 2 * (p[:f] ** 2).sum()
+
+    best = np.concatenate((w, theta))
+    slope = [(gain(best + h) - gain(best - h)) / 2e-4 for h in 1e-4 * np.eye(f + 3)]
+    assert np.abs(slope).max() < 5e-3 and (np.diff(theta) > 0).all()
+    assert all(gain(best + 0.2 * r.standard_normal(f + 3)) < gain(best) for _ in range(50))
+
+
+def test_very_long_text(make):
+    model = tox.Model({"bad": 3.0}, [1.0, 2.0, 3.0])
+    rows = [(1, "good " * 400_000 + "bad"), (2, "good " * 400_000)]
+    got = {x["doc_id"]: x["p_toxic"] for x in tox.score(make(rows), model).collect()}
+    assert got[1] > 0.8 > 0.3 > got[2]
