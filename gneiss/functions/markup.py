@@ -140,6 +140,30 @@ def tables(html: str | None) -> list[list[list[str]]]:
     return [matrix(t) for t in tree(html).walk("table")]
 
 
+def column(html: str | None, label: str) -> list[dict]:
+    """(name, value) of the rows of the tables whose first row names the label in exactly one cell: the first cell and the
+    one under the label. Rows of another width, or with cells that span, are left out, as where they belong is unsure."""
+    out = []
+    for table in tree(html).walk("table"):
+        rows = [[c for c in r.children if isinstance(c, Node) and c.name in ("td", "th")] for r in table.walk("tr") if _table_of(r) is table]
+        heads = [c.text(" ").casefold() for c in rows[0]] if rows else []
+        if heads.count(label.casefold()) != 1:
+            continue
+        at = heads.index(label.casefold())
+        for cells in rows[1:]:
+            if len(cells) == len(heads) and all(c.attributes.get(n, "1") == "1" for c in cells for n in ("rowspan", "colspan")):
+                out.append({"name": cells[0].text("\n"), "value": cells[at].text("\n")})
+    return out
+
+
+def column_of(html: Column, label: str) -> Column:
+    @F.pandas_udf("array<struct<name:string,value:string>>")
+    def read(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: column(x, label))
+
+    return read(html)
+
+
 def parameters_of(html: Column, skipped: tuple[str, ...] = ()) -> Column:
     @F.pandas_udf("array<struct<group:string,label:string,value:string>>")
     def read(s: pd.Series) -> pd.Series:

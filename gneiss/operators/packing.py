@@ -137,6 +137,17 @@ def packed_by_cost(rows: DataFrame, key: list[str], order: list[Column], cost: C
     return in_groups(placed, key, starts).drop("_one", "_cost", "_n", "_end", "_limit")
 
 
+def packed_elements(rows: DataFrame, key: list[str], order: list[Column], same: list[str], atomic: Column, cost: Column, budget: int, block: int = BLOCK) -> DataFrame:
+    """rows with part: as packed_by_cost, but elements of a part also agree in the columns same, and an atomic element is
+    a part of its own. Runs between such breaks are numbered by running sums and packed each."""
+    before = Window.partitionBy(*key).orderBy(*order)
+    changed = ~F.struct(*same).eqNullSafe(F.lag(F.struct(*same)).over(before))
+    broken = rows.withColumn("_atomic", F.coalesce(atomic, F.lit(False))).withColumn("_break", (changed | F.col("_atomic") | F.coalesce(F.lag("_atomic").over(before), F.lit(True))).cast("long"))
+    runs = running(broken, key, order, _run=("sum", "_break"))
+    packed = packed_by_cost(runs, [*key, "_run"], order, cost, budget, block).withColumn("_first", ((F.col("place") == 0) | (F.col("part") != F.lag("part").over(Window.partitionBy(*key, "_run").orderBy("place")))).cast("long"))
+    return running(packed.drop("part", "place"), key, order, _nth=("sum", "_first")).withColumn("part", F.col("_nth") - 1).select(*rows.columns, "part")
+
+
 def timed_groups(rows: DataFrame, key: list[str], start: str, end: str, text: str, most_chars: int, most_span: float, block: int = BLOCK) -> DataFrame:
     """Consecutive timed segments of a key, in order of (start, end, text), in groups: a new one begins where the joined
     text would be longer than most_chars or the group's time longer than most_span. Result: key, part, start, end, text.

@@ -7,7 +7,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from gneiss.plans import answers, batches, cases, crawl, flows, graphs, knowledge, markup, relational, retrieval, runs, scans, vectors  # noqa: F401
+from gneiss.plans import answers, batches, cases, crawl, flows, graphs, knowledge, markup, relational, retrieval, rules, runs, scans, vectors  # noqa: F401
 from gneiss.plans.registry import ORACLES, QUERIES
 
 
