@@ -25,7 +25,7 @@ def _(t):
 @query("gr_5_display_selection")
 def _(t):
     e = facts(t).groupBy("predicate", "subject", "object").agg(F.count("*").alias("n"))
-    return groups.display_selection(e, "predicate", "subject", "object", "n", 60, 80)
+    return graph.connected_selection(e, "predicate", "subject", "object", "n", 60, 80)
 
 
 @query("wn_16_distinct_frames")

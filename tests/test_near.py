@@ -70,3 +70,48 @@ def test_expansion_under_budgets(spark, budget):
     assert sorted((x["id"], x["hop"]) for x in chosen.collect()) == sorted(want_edges)
     assert {x["node"]: x["hop"] for x in nodes.collect()} == want_nodes
     assert cut == want_cut
+
+
+def cores_of(near):
+    core, rest, k = {}, {n: set(v) for n, v in near.items()}, 0
+    while rest:
+        low = [n for n, v in rest.items() if len(v) <= k]
+        if not low:
+            k += 1
+        for n in low:
+            core[n] = k
+            for m in rest.pop(n):
+                if m in rest:
+                    rest[m].discard(n)
+    return core
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_cores_and_the_display_part(spark, seed):
+    r = random.Random(seed)
+    edges = [(g, f"n{x}", f"n{y}", r.randrange(6)) for g, n, m in (("g", 30, 90), ("h", 12, 14), ("i", 2, 1)) for x, y in [r.sample(range(n), 2) for _ in range(m)]] + [("g", "n1", "n1", 99)]
+    df = spark.createDataFrame(edges, "g string, a string, b string, w int")
+    want_edges, want_cores = set(), {}
+    for g in ("g", "h", "i"):
+        best, near = {}, {}
+        for q, x, y, w in edges:
+            if q == g and x != y:
+                e = (min(x, y), max(x, y))
+                best[e] = max(best.get(e, w), w)
+                near.setdefault(x, set()).add(y)
+                near.setdefault(y, set()).add(x)
+        core = cores_of(near)
+        want_cores |= {(g, n): (c, len(near[n])) for n, c in core.items()}
+        rank = lambda n: (-core[n], -len(near[n]), n)  # noqa: B023, E731
+        kept, tree = [min(near, key=rank)], []
+        while len(kept) < 9:
+            border = {m for n in kept for m in near[n]} - set(kept)
+            if not border:
+                break
+            new = min(border, key=lambda n: (-len(near[n] & set(kept)), *rank(n)))  # noqa: B023
+            tree.append(max(((min(new, m), max(new, m)) for m in near[new] & set(kept)), key=lambda e: (best[e], e)))  # noqa: B023
+            kept.append(new)
+        more = sorted((e for e in best if set(e) <= set(kept) and e not in tree), key=lambda e: (-min(core[e[0]], core[e[1]]), -best[e], e))
+        want_edges |= {(g, *e, best[e]) for e in (tree + more)[: max(12, len(tree))]}
+    assert {(x["graph"], x["node"]): (x["core"], x["degree"]) for x in graph.core_numbers(df, "g", "a", "b").collect()} == want_cores
+    assert {tuple(x) for x in graph.connected_selection(df, "g", "a", "b", "w", 9, 12).collect()} == want_edges
