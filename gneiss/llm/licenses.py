@@ -11,6 +11,8 @@ has all numbers of the template (its version), and no qualifier that the templat
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
@@ -109,10 +111,31 @@ def _others() -> list[str]:
 WRAPPED = (40, 60, 90)
 #: Lines of a wrapped paragraph that are classed together, and how many further on the next ones begin.
 MOST_LINES, NEXT_LINES = 24, 16
-_MARKS = r"(?m)^[ \t]*(?:/{2,}|/\*+|\*+/|\*+|#+|;+|-{2,}|%+|<!--)[ \t]*|[ \t]*(?:\*+/|-->)?[ \t\r]*$"
+_OPEN = r"^[ \t]*(?:/{2,}|/\*+|\*+/|\*+|#+|;+|-{2,}|%+|<!--)[ \t]*"
+_CLOSE = r"[ \t]*(?:\*+/|-->)$"
 _JOINED = "\x0b"
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _bare(line: Column) -> Column:
+    """A line without blanks and marks of comments at its ends; patterns run only on lines that begin or end like one."""
+    cut = F.when(F.substring(line, -1, 1).isin(" ", "\t", "\r"), F.rtrim(line, F.lit(" \t\r"))).otherwise(line)
+    open_ = lambda x: F.when(F.substring(x, 1, 1).isin(*" \t/*#;-%<"), F.regexp_replace(x, _OPEN, "")).otherwise(x)
+    close = lambda x: F.when(F.substring(x, -1, 1).isin("/", ">"), F.regexp_replace(x, _CLOSE, "")).otherwise(x)
+    return close(open_(cut))
+
+
+def _goes_on(line: Column, after: Column) -> Column:
+    """Whether a line end is inside a paragraph."""
+    low, full, most = WRAPPED
+    n = F.length(line)
+    return after.isNotNull() & n.between(low, most) & F.length(after).between(1, most) & ((n >= full) | ~F.substring(line, -1, 1).isin(*".!?")) & after.rlike(r"[\p{L}\p{N}]")
+
+
 def paragraphs(text: Column) -> Column:
     """The paragraphs of a text, each as an array of its lines.
 
@@ -120,10 +143,13 @@ def paragraphs(text: Column) -> Column:
     wrapped ones are (WRAPPED: shorter ones and ones that end a sentence early end a paragraph, longer ones are not
     wrapped) and the line after it is neither blank nor longer.
     """
-    low, full, most = WRAPPED
-    end = rf"\n(?=[^\n]{{0,{most - 1}}}[\p{{L}}\p{{N}}][^\n]{{0,{most - 1}}}(?:\n|\z))(?=[^\n]{{1,{most}}}(?:\n|\z))(?<=(?:\A|\n)(?:[^\n]{{{low - 1},{most - 1}}}[^\n.!?]|[^\n]{{{full},{most}}})\n)"
-    bare = F.regexp_replace(F.replace(text, F.lit(_JOINED), F.lit(" ")), _MARKS, "")
-    return F.transform(F.split(F.regexp_replace(bare, end, _JOINED), "\n"), lambda x: F.split(x, _JOINED))
+
+    def joined(bare: Column) -> Column:
+        ends = F.zip_with(bare, F.slice(bare, 2, F.greatest(F.size(bare) - 1, F.lit(1))), lambda x, y: F.when(_goes_on(x, y), F.lit(_JOINED)).when(y.isNull(), F.lit("")).otherwise(F.lit("\n")))
+        put = lambda e: F.transform(F.split(F.array_join(F.zip_with(bare, e, lambda x, y: F.concat(x, y)), ""), "\n"), lambda x: F.split(x, _JOINED))
+        return _let(ends, lambda e: F.when(F.array_contains(e, _JOINED), put(e)).otherwise(F.transform(bare, lambda x: F.array(x))))
+
+    return _let(F.transform(F.split(F.when(F.contains(text, F.lit(_JOINED)), F.translate(text, _JOINED, " ")).otherwise(text), "\n"), _bare), joined)
 
 
 def has_cue(c: Column) -> Column:
