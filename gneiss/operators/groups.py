@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gneiss.operators.projection import ranges_in
 from gneiss.operators.windows import first_per
 
 
@@ -80,17 +81,27 @@ def merged_boxes(boxes: DataFrame, page: str, overlap: float = 0.2, least_area:
     return boxes.select(page, "x0", "y0", "x1", "y1").groupBy(page).applyInPandas(merge, f"{page} {kinds[page]}, x0 double, y0 double, x1 double, y1 double")
 
 
+def protected(body: str) -> list[tuple[int, int]]:
+    """Where a text should not be cut: its fenced blocks, and its quoted lines, those that follow each other as one."""
+    out: list[list] = []
+    for r in ranges_in(body):
+        if out and r["kind"] == "quote" and out[-1][2] == "quote" and out[-1][1] + 1 == r["start"]:
+            out[-1][1] = r["end"]
+        else:
+            out.append([r["start"], r["end"], r["kind"]])
+    return [(a, b) for a, b, _ in out]
+
+
 def post_windows(posts: DataFrame, topic: str, number: str, text: str, size: int = 4000) -> DataFrame:
     """(topic, number, window, start, end): windows of up to size characters; a cut falls at the last blank line after the
-    first third, else at the end of a line, else at size, and never inside a fenced block that fits a window."""
+    first third, else at the end of a line, else at size, and never inside a fenced block or a quote that fits a window."""
     kinds = dict(posts.dtypes)
 
     def cut(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = []
         for n, body in zip(pdf[number], pdf[text]):
             body, start, window = body or "", 0, 0
-            fences = [i for i in range(len(body)) if body.startswith("```", i) and (i == 0 or body[i - 1] == "\n")]
-            blocks = list(zip(fences[::2], [f + 3 for f in fences[1::2]]))
+            blocks = protected(body)
             while start < len(body):
                 end = min(start + size, len(body))
                 if end < len(body):

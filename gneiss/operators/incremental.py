@@ -79,3 +79,18 @@ def sync_chunks(state: DataFrame, now: DataFrame, key: str) -> DataFrame:
     here = F.when(F.col("_s").isNull(), "new").when(F.col("_s.obsolete"), "revived").when(F.col("_s.hash") != F.col("_n.hash"), "stale").when(F.col("_s.place") != F.col("_n.place"), "moved").otherwise("same")
     action = F.when(F.col("_n").isNotNull(), here).when(F.col("_s.obsolete"), "gone").otherwise("obsolete")
     return both.select(key, F.coalesce("chunk_id", F.sha2(F.col(key), 256)).alias("chunk_id"), action.alias("action"))
+
+
+def republished(nodes: DataFrame, edges: DataFrame, new_nodes: DataFrame, new_edges: DataFrame, build: str) -> tuple[DataFrame, DataFrame]:
+    """A graph store after one build was published again: nodes(id, data) and edges(id, build, start, end, data).
+
+    The build's own edges are replaced as a whole, those of other builds stay. New nodes are merged by id, the new
+    content wins; of several new rows of an id the least content counts. A node that no edge needs any more stays, as
+    other stores may name it; an edge whose ends are no nodes is not published.
+    """
+    once = new_nodes.groupBy("id").agg(F.min("data").alias("data"))
+    merged = nodes.join(once.select("id"), "id", "left_anti").select("id", "data").unionByName(once)
+    ids = merged.select("id")
+    sound = new_edges.dropDuplicates(["id"]).join(ids.withColumnRenamed("id", "start"), "start", "left_semi").join(ids.withColumnRenamed("id", "end"), "end", "left_semi")
+    kept = edges.filter(F.col("build") != build)
+    return merged, kept.unionByName(sound.withColumn("build", F.lit(build)).select(kept.columns))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gneiss.functions import dialogue, markup, text
 from gneiss.operators import checks, packing, search
+from gneiss.operators.incremental import republished
 from gneiss.plans.model import CHUNKS, FACTS, chunks, facts
 from gneiss.plans.registry import Tables, query
 from gneiss.shared import ship
@@ -168,3 +169,47 @@ def _(t):
     held = found.filter(F.contains("text", quote))
     place = F.row_number().over(Window.partitionBy("source_id").orderBy(F.desc("confidence"), "line", "subject"))
     return held.withColumn("place", place).filter("place <= 3").select("source_id", "subject", "line", F.lit(1.0).alias("score"))
+
+
+@query("snk_6b_republish", """WITH e AS (SELECT l_suppkey AS s, l_partkey AS p, l_returnflag AS f, l_orderkey, l_linenumber FROM lineitem),
+ old AS (SELECT f || '/' || s || '/' || p AS id, f AS build, 's' || s AS a, 'p' || p AS b, CAST(count(*) AS VARCHAR) AS data FROM e GROUP BY s, p, f),
+ new AS (SELECT 'R/' || s || '/' || p AS id, 'R' AS build, 's' || s AS a, 'p' || p AS b, 'again' AS data FROM e WHERE f = 'R' AND p % 3 <> 0 AND s % 50 <> 7 GROUP BY s, p),
+ every AS (SELECT * FROM old WHERE build <> 'R' UNION ALL SELECT * FROM new) SELECT 'edge' AS kind, id, build, data FROM every
+ UNION ALL SELECT 'node', n, NULL, CASE WHEN n LIKE 's%' AND CAST(substring(n, 2) AS BIGINT) % 2 = 0 THEN 'new' ELSE 'old' END FROM (SELECT DISTINCT 's' || s AS n FROM e WHERE s % 50 <> 7 UNION SELECT DISTINCT 'p' || p FROM e)""")
+def _(t):
+    """A store of three builds; one of them is published again with fewer edges, some of which name a node that is not there."""
+    e = t.lineitem.select(F.col("l_returnflag").alias("build"), F.concat(F.lit("s"), "l_suppkey").alias("start"), F.concat(F.lit("p"), "l_partkey").alias("end"), "l_suppkey", "l_partkey")
+    listed = e.groupBy("build", "start", "end", "l_suppkey", "l_partkey").agg(F.count("*").cast("string").alias("data")).withColumn("id", F.concat_ws("/", "build", "l_suppkey", "l_partkey"))
+    nodes = e.filter("l_suppkey % 50 <> 7").select(F.col("start").alias("id")).union(e.select("end")).distinct().withColumn("data", F.lit("old"))
+    fresh = nodes.filter("id LIKE 's%' AND CAST(substring(id, 2) AS BIGINT) % 2 = 0").withColumn("data", F.lit("new"))
+    again = listed.filter("build = 'R' AND l_partkey % 3 <> 0").withColumn("data", F.lit("again"))
+    n, k = republished(nodes, listed.select("id", "build", "start", "end", "data"), fresh.unionByName(fresh), again.select("id", "start", "end", "data"), "R")
+    return k.select(F.lit("edge").alias("kind"), "id", "build", "data").unionByName(n.select(F.lit("node").alias("kind"), "id", F.lit(None).cast("string").alias("build"), "data"))
+
+
+PL_5 = f"""WITH q AS (SELECT item_id AS direction, unnest(list_distinct(string_split_regex(lower(text), '[^a-z0-9]+'))) AS term FROM benchmark), t AS (SELECT direction, term FROM q WHERE length(term) >= 4 QUALIFY row_number() OVER (PARTITION BY direction ORDER BY length(term) DESC, term) <= 6),
+ w AS (SELECT DISTINCT doc_id, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) AS term FROM documents),
+ h AS (SELECT direction, doc_id, count(*) AS n FROM t JOIN w USING (term) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY direction ORDER BY n * 1000000 + (doc_id % 25 + 2000) * 100 + doc_id % 100 DESC, doc_id) AS place FROM h),
+ a AS (SELECT direction, doc_id, place, substring(trim(text, ' '), 1, 25) AS quote, doc_id % 6 <> 1 AND length(trim(text, ' ')) > 0 AS holds FROM r JOIN documents USING (doc_id) WHERE place <= 5)
+ SELECT item_id AS direction, count(doc_id) AS found, count(*) FILTER (holds) AS verified, md5(coalesce(string_agg(quote || ' [' || doc_id || ']', chr(10) ORDER BY place) FILTER (holds), 'nothing found')) AS report FROM benchmark LEFT JOIN a ON a.direction = item_id GROUP BY item_id"""
+
+
+@query("pl_5b_literature", PL_5)
+def _(t):
+    """Each benchmark item as a direction: search by its longest words, rank by matches, year and id in one number, take
+    a claim from each of the best, verify that its source has it, and report what holds."""
+    w = F.array_distinct(text.words(F.col("text")))
+    best = F.slice(F.array_sort(F.transform(F.filter(w, lambda x: F.length(x) >= 4), lambda x: F.struct((-F.length(x)).alias("n"), x.alias("w")))), 1, 6)
+    asked = t.benchmark.select(F.col("item_id").alias("direction"), F.explode(best["w"]).alias("term"))
+    held = t.documents.select("doc_id", F.explode(F.array_distinct(text.words(F.col("text")))).alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    hits = asked.join(held, "term").groupBy("direction", "doc_id").agg(F.count("*").alias("n"))
+    score = F.col("n") * 1_000_000 + (F.col("doc_id") % 25 + 2000) * 100 + F.col("doc_id") % 100
+    ranked = hits.withColumn("place", F.row_number().over(Window.partitionBy("direction").orderBy(F.desc(score), "doc_id"))).filter("place <= 5")
+    body = F.trim("text")
+    claim = F.when(F.col("doc_id") % 6 == 1, "a claim that is nowhere").otherwise(F.substring(body, 1, 25))
+    analysed = ranked.join(t.documents.select("doc_id", "text"), "doc_id").withColumn("quote", claim).withColumn("holds", F.contains("text", "quote") & (F.length(body) > 0))
+    line = F.struct("place", F.concat("quote", F.lit(" ["), "doc_id", F.lit("]")).alias("line"))
+    told = analysed.groupBy("direction").agg(F.count("*").alias("found"), F.count_if("holds").alias("verified"), F.array_sort(F.collect_list(F.when(F.col("holds"), line))).alias("lines"))
+    out = t.benchmark.select(F.col("item_id").alias("direction")).join(told, "direction", "left")
+    report = F.when(F.col("verified") > 0, F.array_join(F.transform("lines", lambda x: x["line"]), "\n")).otherwise("nothing found")
+    return out.select("direction", F.coalesce("found", F.lit(0)).alias("found"), F.coalesce("verified", F.lit(0)).alias("verified"), F.md5(report).alias("report"))

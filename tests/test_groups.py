@@ -28,6 +28,13 @@ def test_frames_boxes_and_windows(spark):
     assert not any(text.index("```") < r["end"] < text.rindex("```") for r in w)
 
 
+def test_quotes_are_not_cut():
+    body = "lead " * 30 + "\n" + "\n".join(f"> quoted line {i}" for i in range(6)) + "\nafter " + "end " * 40
+    a, b = body.index("> "), body.index("\nafter")
+    assert groups.protected(body) == [(a, b)]
+    assert groups.protected("> a\nx\n> b\n```\n> c\n```") == [(0, 3), (6, 9), (10, 21)]
+
+
 def test_display_part_is_connected(spark):
     e = spark.createDataFrame([("g", f"n{i}", f"n{(i * 7 + 1) % 30}", i) for i in range(30)] + [("g", "x", "y", 99)], "g string, a string, b string, w long")
     got = groups.display_selection(e, "g", "a", "b", "w", 10, 12).collect()
