@@ -128,7 +128,7 @@ def _evidence(t: Tables, q):
 
 _Q = rf"""u AS (SELECT conv_id, turn, text, lag(text, 1) OVER w AS one, lag(text, 2) OVER w AS two FROM conversations WHERE role = 'user' AND conv_id % 20 = 0 WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
  k0 AS (SELECT *, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: len(x) > 3) AS now, list_filter(string_split_regex(lower(coalesce(one, '')), '[^a-z0-9]+'), lambda x: len(x) > 3) AS was FROM u),
- k1 AS (SELECT *, CASE WHEN one IS NULL THEN 'first' WHEN regexp_matches(lower(text), '(it|that|this|they|them)') OR len(list_intersect(now, was)) > 0 THEN 'follow_up' ELSE 'switch' END AS kind FROM k0),
+ k1 AS (SELECT *, CASE WHEN one IS NULL THEN 'first' WHEN regexp_matches(lower(text), '\b(it|that|this|they|them)\b') OR len(list_intersect(now, was)) > 0 THEN 'follow_up' ELSE 'switch' END AS kind FROM k0),
  q AS (SELECT conv_id || '/' || turn AS question, conv_id, turn, CASE WHEN trim(lower(regexp_replace(text, '[[:punct:]\s]+', ' ', 'g'))) IN ({", ".join(f"'{g}'" for g in GREETINGS)}) THEN 'chat' ELSE 'question' END AS intent, kind, CASE WHEN kind = 'follow_up' THEN concat_ws(chr(10), two, one, text) ELSE text END AS asked FROM k1)"""
 _HITS = rf"""live AS (SELECT * FROM {ITEMS} WHERE status <> 'obsolete'),
  qt AS (SELECT question, term FROM (SELECT question, term, row_number() OVER (PARTITION BY question ORDER BY length(term) DESC, term) AS n FROM (SELECT DISTINCT question, unnest(string_split_regex(lower(asked), '[^a-z0-9]+')) AS term FROM q WHERE intent = 'question')
