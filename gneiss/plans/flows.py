@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gneiss.functions import html
 from gneiss.operators import chunking, incremental, windows
 from gneiss.plans.registry import query
-from gneiss.shared import shared_dir
+from gneiss.shared import scratch
 from gneiss.sources import files
 from gneiss.streaming import jobs
 
 
 def _place(t, name: str) -> str:
-    return f"{shared_dir(t.spark)}/gneiss/{name}-{uuid.uuid4().hex}"
+    return scratch(t.spark, name)
 
 
 @query("src_3_jsonl", "SELECT c_custkey, c_name, c_acctbal FROM customer")

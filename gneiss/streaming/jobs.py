@@ -3,13 +3,11 @@ remembers it, and the next run goes on from there."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gneiss.operators.incremental import insert_absent
-from gneiss.shared import shared_dir
+from gneiss.shared import scratch
 
 
 def folder(spark: SparkSession, path: str, pattern: str, schema, files_per_batch: int = 100) -> DataFrame:
@@ -25,7 +23,7 @@ def bursts(events: DataFrame, key: str, at: str, quiet: str, late: str) -> DataF
 def run_complete(stream: DataFrame, name: str) -> DataFrame:
     """Runs an aggregating stream over what is there; its whole result, replaced with every batch, as a table in the shared folder."""
     spark = stream.sparkSession
-    out = f"{shared_dir(spark)}/gneiss/stream-{name}-{uuid.uuid4().hex}"
+    out = scratch(spark, f"stream-{name}")
     query = stream.writeStream.outputMode("complete").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{out}/data")).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{out}/data")
@@ -35,7 +33,7 @@ def run_ingest(stream: DataFrame, key: list[str], order: str, name: str, target:
     """Rows of a stream whose key is new, first in order, appended batch by batch to a table; a batch that is run again
     adds nothing, as its keys are there. target and state resume an earlier run."""
     spark = stream.sparkSession
-    base = f"{shared_dir(spark)}/gneiss/ingest-{name}-{uuid.uuid4().hex}"
+    base = scratch(spark, f"ingest-{name}")
     target, state = target or f"{base}/data", state or f"{base}/state"
 
     def add(batch: DataFrame, _: int) -> None:
