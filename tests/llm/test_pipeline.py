@@ -27,3 +27,20 @@ def test_stages_over_planted_documents(spark, make, prose, tmp_path):
     docs = make([(1, None)])
     for _, stage in cp.STAGES[1:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns
+
+
+def test_stages_over_odd_tables(spark, make, prose, tmp_path):
+    """No rows, an empty benchmark, nulls, repeated rows and columns named like those of the operators."""
+    text = prose(80, 5)
+    docs = make([(1, text), (1, text), (2, None), (3, ""), (None, prose(60, 6)), (None, None), (4, f"{text} {prose(50, 7)}"), (5, " \n")])
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for k, (_, stage) in enumerate(cp.STAGES):
+        assert stage(spark, make([]), str(tmp_path)).count() == 0
+        out = stage(spark, docs, str(tmp_path))
+        rows = out.collect()
+        if k < 4:
+            assert out.columns == docs.columns and out.schema.simpleString() == docs.schema.simpleString()
+            assert all(r["home"] == 7 and r["gneiss_r1"] == "g" for r in rows)
+        # One of the two equal rows goes as a copy, and of the four blank ones three.
+        assert len(rows) == (4 if cp.STAGES[k][0] == "simhash_near_dedup" else 8)
