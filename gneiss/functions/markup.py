@@ -104,6 +104,57 @@ def parameters(html: str | None, skipped: tuple[str, ...] = (), unnamed: str = "
     return out
 
 
+# Elements that hold a page's own text, that are no part of it, and that are blocks of it.
+MAIN, ASIDE, BLOCKS = ("article", "main", "body"), {"nav", "footer", "aside", "header", "form"}, ("h1", "h2", "h3", "h4", "h5", "h6", "p", "li", "pre", "td", "blockquote")
+
+
+def article(html: str | None) -> dict:
+    """title, published and blocks of a page: the texts of the blocks of its first article, else main, else body, that lie
+    in no navigation, header, footer, aside or form, each text once, in order; published as a meta element or a time
+    element says it, null if none does."""
+    root = tree(html)
+    found = next((x for name in MAIN for x in root.walk(name)), root)
+    blocks: list[str] = []
+
+    def take(node: Node) -> None:
+        texts: list[str] = []
+
+        def flush() -> None:
+            line = " ".join(" ".join(texts).split())
+            if line:
+                blocks.append(line)
+            texts.clear()
+
+        # A stack of what is still to be read; a block's start and end flush the text before them.
+        stack: list = list(reversed(node.children))
+        while stack:
+            x = stack.pop()
+            if x is None:
+                flush()
+            elif isinstance(x, str):
+                texts.append(x)
+            elif x.name not in ASIDE:
+                if x.name in BLOCKS:
+                    flush()
+                    stack.append(None)
+                stack += reversed(x.children)
+        flush()
+
+    take(found)
+    title = next((x.text(" ") for x in root.walk("title")), None)
+    meta = next((x.attributes.get("content") for x in root.walk("meta") if x.attributes.get("property") == "article:published_time"), None)
+    published = meta or next((x.attributes.get("datetime") for x in root.walk("time") if x.attributes.get("datetime")), None)
+    return {"title": title, "published": published, "blocks": blocks}
+
+
+def article_of(html: Column) -> Column:
+    @F.pandas_udf("struct<title:string,published:string,blocks:array<string>>")
+    def read(s: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([article(x) for x in s], columns=["title", "published", "blocks"]).astype(object)
+
+    return read(html)
+
+
 def _span(cell: Node, name: str, most: int) -> int:
     digits = cell.attributes.get(name, "").strip()
     return min(max(int(digits), 1), most) if digits.isascii() and digits.isdigit() else 1

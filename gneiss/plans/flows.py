@@ -120,3 +120,29 @@ def _(t):
     names = ["customer", "orders", "part", "documents", "pages"]
     one = lambda n: t.spark.range(1).select(F.lit(n).alias("name"), F.lit(len(getattr(t, n).columns)).alias("columns"))
     return reduce(lambda a, b: a.union(b), map(one, names))
+
+
+@query("snk_7_writers", """SELECT k AS kind, p_partkey, p_name, round(p_retailprice, 2) AS price FROM part, (SELECT unnest(['csv', 'json', 'parquet']) AS k) WHERE p_partkey % 2 = 0""")
+def _(t):
+    """A table written in three formats twice; the second write replaces the first as a whole."""
+    part = t.part.select("p_partkey", "p_name", F.round("p_retailprice", 2).alias("price"))
+    out = None
+    for kind in ("csv", "json", "parquet"):
+        path = _place(t, f"sink-{kind}")
+        files.write_atomic(part, path, kind)
+        files.write_atomic(part.filter("p_partkey % 2 = 0"), path, kind)
+        back = t.spark.read.schema("p_partkey long, p_name string, price double").format(kind).load(path).select(F.lit(kind).alias("kind"), "*")
+        out = back if out is None else out.unionByName(back)
+    return out
+
+
+@query("src_17b_columns", """SELECT table_name AS name, column_name AS column, ordinal_position AS place FROM information_schema.columns WHERE table_name IN ('customer', 'orders', 'part', 'documents', 'pages', 'lineitem') AND contains(column_name, 'key')""")
+def _(t):
+    """The catalogue of some tables, searched by a part of a column's name: what Spark's catalogue says of views of them."""
+    names = ["customer", "orders", "part", "documents", "pages", "lineitem"]
+    for n in names:
+        getattr(t, n).createOrReplaceTempView(f"gneiss_{n}")
+    rows = [(n, c.name, i) for n in names for i, c in enumerate(t.spark.catalog.listColumns(f"gneiss_{n}"), 1)]
+    for n in names:
+        t.spark.catalog.dropTempView(f"gneiss_{n}")
+    return t.spark.createDataFrame(rows, "name string, column string, place long").filter(F.contains("column", F.lit("key")))

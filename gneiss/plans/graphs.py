@@ -293,3 +293,11 @@ def _(t):
 def _(t):
     mapping = t.customer.filter("c_custkey <= 100").select(F.col("c_custkey").alias("old"), (F.col("c_custkey") + 1_000_000).alias("new"))
     return incremental.retarget(t.orders.select("o_orderkey", "o_custkey"), "o_custkey", mapping)
+
+
+@query("gr_2_both_directions", f"""WITH RECURSIVE f AS (SELECT DISTINCT subject AS a, object AS b FROM {FACTS} WHERE predicate = 'A' AND assertion = 'negated'), u AS (SELECT a, b FROM f UNION SELECT b, a FROM f),
+ r AS (SELECT 's2' AS node, 0 AS hop UNION SELECT u.b, r.hop + 1 FROM r JOIN u ON u.a = r.node WHERE r.hop < 2) SELECT node, min(hop) AS hop FROM r GROUP BY node""")
+def _(t):
+    """Everything within two facts of a supplier, whichever way the facts point."""
+    f = facts(t).filter("predicate = 'A' AND assertion = 'negated'")
+    return graph.expand(f, "subject", "object", t.spark.range(1).select(F.lit("s2").alias("node")), 2)

@@ -144,3 +144,10 @@ def _(t):
 def _(t):
     """Claims with two contents, and edges that lead to them or to nothing."""
     return _projected(t)[2]
+
+
+@query("ch_9_protected", f"""WITH {_POSTS} SELECT conv_id, turn, 0 AS start, q - 1 AS "end", 'quote' AS kind FROM p WHERE q > 0 UNION ALL SELECT conv_id, turn, q + length(text) + 1, q + length(text) + fence - 1, 'code' FROM p WHERE fence > 0""")
+def _(t):
+    """The ranges of every post that no window may cut: its quoted lines and fenced blocks."""
+    ship(t.spark)
+    return _posts(t).select("conv_id", "turn", F.explode(projection.block_ranges(F.col("body"))).alias("b")).select("conv_id", "turn", "b.start", "b.end", "b.kind")

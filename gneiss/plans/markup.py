@@ -113,3 +113,14 @@ def _(t):
     name = lambda c: F.concat(F.lit("p"), c.cast("string"))
     t.pages.select(name(p).alias("url"), F.array(name(p * 3 + 1), name(p * 3 + 2), name(F.floor(p / 2))).alias("links"), F.col("html").alias("body")).write.json(folder)
     return crawled(read_site(t.spark, folder), "p0", 4).select("url", "hop", F.length("body").alias("chars"))
+
+
+@query("src_6c_articles", r"""SELECT page_id, trim(regexp_replace(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&amp;', '&'), '\s+', ' ', 'g')) AS title, CASE WHEN page_id % 3 = 0 THEN '2024-05-0' || (page_id % 9 + 1) WHEN page_id % 3 = 1 THEN '2023-01-01' END AS published,
+ trim(regexp_replace(replace(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '&amp;', '&'), '\s+', ' ', 'g')) AS first FROM pages""")
+def _(t):
+    """Title, date and first block of every page by its tree; dates are planted as meta or time elements."""
+    ship(t.spark)
+    p = F.col("page_id")
+    date = F.when(p % 3 == 0, F.concat(F.lit('<meta property="article:published_time" content="2024-05-0'), p % 9 + 1, F.lit('">'))).when(p % 3 == 1, '<time datetime="2023-01-01">long ago</time>').otherwise("")
+    read = t.pages.select("page_id", markup.article_of(F.concat(date, "html")).alias("a"))
+    return read.select("page_id", F.trim(F.regexp_replace("a.title", r"\s+", " ")).alias("title"), "a.published", F.get("a.blocks", F.lit(0)).alias("first"))

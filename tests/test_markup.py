@@ -105,3 +105,9 @@ def test_the_site_is_read_in_parts_and_filters_reach_it(spark):
         hops.update(dict.fromkeys(front, h))
     assert {r["url"]: r["hop"] for r in site.crawled(stored, "u/1", 3).collect()} == hops
     assert json.dumps(hops)
+
+
+def test_articles():
+    page = """<html><head><title> A &amp; B </title></head><body><nav><p>menu</p></nav><article><h1>Head</h1>loose <p>one <b>bold</b><p>two</p><ul><li>x</li><li></li></ul><footer>foot</footer></article><p>outside</p></body></html>"""
+    assert markup.article(page) == {"title": "A & B", "published": None, "blocks": ["Head", "loose", "one bold", "two", "x"]}
+    assert markup.article('<time datetime="2024">x</time>y')["published"] == "2024" and markup.article(None) == {"title": None, "published": None, "blocks": []}
