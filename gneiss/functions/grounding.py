@@ -32,17 +32,24 @@ def folded(text: str) -> tuple[str, list[int], list[int]]:
     return "".join(out), at, source
 
 
-def recovered(text: str | None, quote: str | None, ignore_case: bool = False) -> tuple[int, int] | None:
-    """Where the source holds a quote but for typography, as (start, end); the first place. With ignore_case, places that
-    read differently in the source are ambiguous, and there is none."""
+def recovered(text: str | None, quote: str | None, ignore_case: bool = False, near: int | None = None) -> tuple[int, int] | None:
+    """Where the source holds a quote but for typography, as (start, end); the first place, or of all places, those that
+    overlap too, the one that begins nearest to `near`, the first of two. With ignore_case and no `near`, places that read
+    differently in the source are ambiguous, and there is none."""
     if not text or not quote or not quote.strip():
         return None
     body, at, source = folded(text)
     needle = folded(quote)[0]
+    # A match begins and ends with characters, never with the space between two pieces.
+    back = lambda i: source[bisect_right(at, i) - 1] + i - at[bisect_right(at, i) - 1]
+    if near is not None:
+        starts = [m.start() for m in re.finditer(f"(?={re.escape(needle)})", body, re.I if ignore_case else 0)]
+        if not starts:
+            return None
+        start = min(starts, key=lambda i: abs(back(i) - near))
+        return back(start), back(start + len(needle) - 1) + 1
     spans = []
     for m in re.finditer(re.escape(needle), body, re.I if ignore_case else 0):
-        # A match begins and ends with characters, never with the space between two pieces.
-        back = lambda i: source[bisect_right(at, i) - 1] + i - at[bisect_right(at, i) - 1]
         spans.append((back(m.start()), back(m.end() - 1) + 1))
         if not ignore_case:
             break
@@ -51,15 +58,15 @@ def recovered(text: str | None, quote: str | None, ignore_case: bool = False) ->
     return spans[0]
 
 
-def recovered_span(text: Column, quote: Column, ignore_case: bool = False) -> Column:
-    """recovered as a struct (start, end); null where there is none."""
+def recovered_span(text: Column, quote: Column, ignore_case: bool = False, near: Column | None = None) -> Column:
+    """recovered as a struct (start, end); null where there is none. A null in `near` is no hint."""
 
     @F.pandas_udf("struct<start:int,end:int>")
-    def find(texts: pd.Series, quotes: pd.Series) -> pd.DataFrame:
-        found = [recovered(t, q, ignore_case) for t, q in zip(texts, quotes)]
+    def find(texts: pd.Series, quotes: pd.Series, places: pd.Series) -> pd.DataFrame:
+        found = [recovered(t, q, ignore_case, None if pd.isna(n) else int(n)) for t, q, n in zip(texts, quotes, places)]
         return pd.DataFrame({c: pd.array([f[i] if f else None for f in found], dtype="Int32") for i, c in enumerate(("start", "end"))})
 
-    span = find(text, quote)
+    span = find(text, quote, F.lit(None).cast("long") if near is None else near)
     return F.when(span["start"].isNotNull(), span)
 
 
