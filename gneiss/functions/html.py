@@ -9,16 +9,18 @@ from gneiss.functions.text import collapse
 
 #: Entities that are resolved; &amp; comes last so that no entity is made by it.
 ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
+AMP = [("&amp;", "&")]
 
 
-def unescape(c: Column) -> Column:
-    for a, b in ENTITIES:
+def unescape(c: Column, entities: list[tuple[str, str]] = ENTITIES) -> Column:
+    for a, b in entities:
         c = F.replace(c, F.lit(a), F.lit(b))
     return c
 
 
-def title(c: Column) -> Column:
-    return collapse(unescape(F.regexp_extract(c, r"(?s)<title>(.*?)</title>", 1)))
+def title(c: Column, entities: list[tuple[str, str]] = ENTITIES) -> Column:
+    """The title with white space collapsed; only the given entities are resolved, others stay as they are written."""
+    return collapse(unescape(F.regexp_extract(c, r"(?s)<title>(.*?)</title>", 1), entities))
 
 
 def strip_tags(c: Column) -> Column:
