@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gneiss.shared import dropped, written
+from gneiss.shared import dropped, scratch, written
 
 
 def undirected(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -128,34 +128,46 @@ def core_numbers(edges: DataFrame, graph: str, a: str, b: str) -> DataFrame:
             return value
 
 
+#: Folders of a display table's edges, of which a step reads those of the nodes just taken.
+FOLDERS = 256
+
+
 def connected_selection(edges: DataFrame, graph: str, a: str, b: str, weight: str, nodes: int, links: int) -> DataFrame:
     """A connected part of each graph for display: grown from the node of greatest (core, degree), least id, by most
     attachments, then core, degree and id; a spanning tree of its strongest edges, then its other edges by the lesser
     core of their ends, weight and ends, `links` in all. nodes and links are the feature; the graph is not cut.
 
-    A step of growth looks at the edges of the nodes chosen so far, which are few and broadcast; only the node that
-    each graph takes next comes to the driver.
+    Edges lie in folders by a hash of their node, and a step of growth reads those of the nodes just taken alone; it
+    adds them to the table of what the chosen nodes touch. Only the node that each graph takes next comes to the driver.
     """
     spark = edges.sparkSession
     kinds = dict(edges.dtypes)
-    cores = core_numbers(edges, graph, a, b)
-    near = parallel_by(edges, graph, a, b, weight)
+    near = written(parallel_by(edges, graph, a, b, weight), "near")
+    cores = core_numbers(near, "graph", "a", "b")
     both = near.unionByName(near.select("graph", F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
     info = cores.select("graph", F.col("node").alias("b"), "core", "degree")
-    table = written(both.join(info, ["graph", "b"]), "display")
+    bucket = lambda node: F.pmod(F.xxhash64(node), F.lit(FOLDERS)).cast("int")
+    path = scratch(spark, "display")
+    both.join(info, ["graph", "b"]).select("graph", "a", "b", "core", "degree", bucket("a").alias("_folder")).repartition("_folder").sortWithinPartitions("_folder", "a").write.partitionBy("_folder").parquet(path)
+    kind = ", ".join(f"{c} {k}" for c, k in (("graph", kinds[graph]), ("a", kinds[a]), ("b", kinds[b]), ("core", "long"), ("degree", "long"), ("_folder", "int")))
+    table = spark.read.schema(kind).parquet(path)
     rank = lambda node: F.struct((-F.col("core")).alias("c"), (-F.col("degree")).alias("d"), F.col(node).alias("node"))
     schema = f"graph {kinds[graph]}, a {kinds[a]}, step int"
     kept = [(r["graph"], r["s"]["node"], 0) for r in cores.groupBy("graph").agg(F.min(rank("node")).alias("s")).collect()]
-    growing = {g for g, _, _ in kept}
+    fresh, touched = [(g, n) for g, n, _ in kept], scratch(spark, "touched")
     for step in range(1, nodes):
-        if not growing:
+        if not fresh:
             break
-        have = F.broadcast(spark.createDataFrame([k for k in kept if k[0] in growing], schema))
-        border = table.join(have.select("graph", "a"), ["graph", "a"], "left_semi").groupBy("graph", "b", "core", "degree").agg(F.count("*").alias("n"))
+        new = spark.createDataFrame(fresh, f"graph {kinds[graph]}, a {kinds[a]}")
+        folders = [r[0] for r in new.select(bucket("a")).distinct().collect()]
+        mine = table.filter(F.col("_folder").isin(folders) & F.col("a").isin([n for _, n in fresh])).join(F.broadcast(new), ["graph", "a"], "left_semi").drop("_folder")
+        mine.write.mode("append").parquet(touched)
+        have = F.broadcast(spark.createDataFrame(kept, schema))
+        border = spark.read.schema(mine.schema).parquet(touched).groupBy("graph", "b", "core", "degree").agg(F.count("*").alias("n"))
         border = border.join(have.select("graph", F.col("a").alias("b")), ["graph", "b"], "left_anti")
         best = border.groupBy("graph").agg(F.min(F.struct((-F.col("n")).alias("n"), rank("b").alias("r"))).alias("s")).collect()
-        kept += [(r["graph"], r["s"]["r"]["node"], step) for r in best]
-        growing = {r["graph"] for r in best}
+        fresh = [(r["graph"], r["s"]["r"]["node"]) for r in best]
+        kept += [(g, n, step) for g, n in fresh]
     chosen = F.broadcast(spark.createDataFrame(kept, schema))
     core = cores.select("graph", "node", "core")
     side = lambda end: chosen.select("graph", F.col("a").alias(end), F.col("step").alias(f"_{end}"))
