@@ -26,11 +26,12 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that are not alike (5-word shingles, Jaccard >= 0.8, counted exactly) to an earlier one that stays.
+    """Of rows whose SimHash fingerprints are linked (3 bits or fewer, in any number of steps, as in op3) the first; of
+    these, rows that are not alike (5-word shingles, Jaccard >= 0.8, counted exactly) to an earlier one that stays.
 
     The order is that of doc_id, null ones last; of rows equal in all that counts one stays, and so one of all blank texts.
     """
-    return drop_near_duplicates(docs)
+    return drop_near_duplicates(docs, prints=True)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,7 +24,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import lean, positional, prepare, written
+from gneiss.llm.common import cut, lean, positional, prepare, written
+from gneiss.llm.simhash import components, fingerprint, link_fingerprints, signed
 from gneiss.llm.substring import _keyed, word_hashes
 from gneiss.llm.winnow import gram_hashes
 from gneiss.shared import dropped
@@ -93,21 +94,24 @@ def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return found[order], -order
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    """doc_id, r1, r2 (the row's key), equal (a hash of its set), n (its size), bits (its bitmap) and first (its prefix)."""
+def _rows(docs: DataFrame, prints: bool) -> DataFrame:
+    """doc_id, r1, r2 (the row's key), equal (a hash of its set), n (its size), bits (its bitmap), first (its prefix) and
+    fp (its SimHash fingerprint, 0 if not wanted)."""
     common, rank = _common(docs)
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingles(t) for t in b.column(3).to_pylist()]
+            texts = b.column(3).to_pylist()
+            sets = [shingles(t) for t in texts]
+            fps = [signed(fingerprint(t)) for t in texts] if prints else [0] * len(texts)
             first = [prefix(s, common, rank) for s in sets]
             ends = np.concatenate(([0], np.cumsum([len(f) for f in first]))).astype(np.int32)
             values = np.concatenate(first) if first else np.zeros(0, np.int64)
-            cols = [*b.columns[:3], pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array([bitmap(s) for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "r1", "r2", "equal", "n", "bits", "first"])
+            cols = [*b.columns[:3], pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array([bitmap(s) for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(values)), pa.array(fps, pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "r1", "r2", "equal", "n", "bits", "first", "fp"])
 
-    return _keys(docs).mapInArrow(lean(run), f"doc_id {kind}, r1 long, r2 long, equal binary, n int, bits binary, first array<long>")
+    return _keys(docs).mapInArrow(lean(run), f"doc_id {kind}, r1 long, r2 long, equal binary, n int, bits binary, first array<long>, fp long")
 
 
 def fit_pairs(n: np.ndarray, at: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -230,18 +234,29 @@ def _settled(links: DataFrame, open_rows: DataFrame) -> tuple[DataFrame, list[Da
         links = rest
 
 
-def drop_near_duplicates(docs: DataFrame, large: int = LARGE) -> DataFrame:
+def _unlinked(rows: DataFrame) -> DataFrame:
+    """Of the rows whose SimHash fingerprints are linked, over any number of steps, the first."""
+    nodes = written(rows.groupBy("fp").agg(F.min(F.struct("no", "doc_id", "r1", "r2")).alias("k")), "prints")
+    rooted = components(cut(link_fingerprints(nodes)))
+    first = nodes.join(rooted, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("k").alias("k"))
+    return rows.join(written(first.select("k.r1", "k.r2"), "firsts"), ["r1", "r2"], "left_semi")
+
+
+def drop_near_duplicates(docs: DataFrame, large: int = LARGE, prints: bool = False) -> DataFrame:
     """docs without each row that is alike (Jaccard of 5-word shingles at least 0.8) to a row before it that stays.
 
     Rows are taken in the order of doc_id, null ones last, then by a hash of doc_id and text; of equal rows one stays.
     So no two rows that stay are alike, and every row that goes is alike to an earlier one that stays; large, the size
     of a bucket from which it takes rounds, has no influence on the result. Blank and null texts are alike. An empty
     table gives no rows; columns stay as they are, whatever their names.
+
+    With prints, of rows linked by SimHash fingerprints (as in op3) only the first comes into this choice: fingerprints
+    find what differs in a few words, and the exact search after them what their radius misses.
     """
     prepare(docs.sparkSession)
     given, docs = docs, positional(docs)
-    rows = written(_rows(docs).withColumn("no", F.col("doc_id").isNull()), "rows")
-    lead = written(rows.groupBy("equal").agg(F.min(F.struct("no", "doc_id", "r1", "r2")).alias("k")).select("k.r1", "k.r2"), "leads")
+    rows = written(_rows(docs, prints).withColumn("no", F.col("doc_id").isNull()), "rows")
+    lead = written((_unlinked(rows) if prints else rows).groupBy("equal").agg(F.min(F.struct("no", "doc_id", "r1", "r2")).alias("k")).select("k.r1", "k.r2"), "leads")
     parts = _parts(rows)
     base = written(rows.select("no", "doc_id", "r1", "n", "bits", "first").join(lead.select("r1"), "r1", "left_semi").dropDuplicates(["r1"]).coalesce(parts), "base")
     listed, gone, used, links, leaders = base.select("no", "doc_id", "r1", "n", F.posexplode("first").alias("at", "s")), [], [], None, LEADERS
