@@ -26,3 +26,14 @@ def test_no_items_and_no_questions(spark):
     one = spark.createDataFrame([(1, ["red"])], none.schema)
     assert search.keyword_top(none, "id", [(F.col("a"), 0.5)], asked, 2).count() == 0
     assert search.keyword_top(one, "id", [(F.col("a"), 0.5)], asked.limit(0), 2).count() == 0
+
+
+def test_answers_search_once(spark, sf, monkeypatch):
+    from gneiss.plans import answers
+    from gneiss.plans.registry import QUERIES
+
+    made, before = [], answers.written
+    monkeypatch.setattr(answers, "written", lambda df, name: made.append(name) or before(df, name))
+    plan = QUERIES["pl_3c_answers"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert made == ["questions", "evidence", "blocks"]
+    assert "MapInArrow" not in plan and "FlatMapGroups" not in plan  # nothing of the search is left to run again
