@@ -37,3 +37,17 @@ def test_answers_search_once(spark, sf, monkeypatch):
     plan = QUERIES["pl_3c_answers"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert made == ["questions", "evidence", "blocks"]
     assert "MapInArrow" not in plan and "FlatMapGroups" not in plan  # nothing of the search is left to run again
+
+
+def shuffles(df):
+    """The exchanges of a plan before it runs."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count("Exchange hashpartitioning") + plan.count("Exchange rangepartitioning")
+
+
+def test_pairs_to_match_are_not_dealt_out(spark, sf):
+    from gneiss.plans import cases  # noqa: F401
+    from gneiss.plans.registry import QUERIES
+
+    found = QUERIES["gr_23_matching"](spark, sf)
+    assert shuffles(found) == 2  # the lines' two columns; pairs are made where they are matched
