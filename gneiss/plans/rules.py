@@ -10,7 +10,7 @@ from gneiss.operators import checks, packing, search
 from gneiss.operators.incremental import republished
 from gneiss.plans.model import CHUNKS, FACTS, chunks, facts
 from gneiss.plans.registry import Tables, query
-from gneiss.shared import ship
+from gneiss.shared import ship, written
 
 # Messages that some turns say instead of their own text.
 SAID = ["Hello!!", "thank you.", "OK", "Bye ~", "Who are you?", "hi, what is a gimbal", "why is it so", "Mini 4 weight?", "  ", "Compare A and B"]
@@ -78,7 +78,8 @@ def _(t):
  UNION ALL SELECT chunk, 'place not in quote', 'r1' FROM c WHERE chunk % 3 = 0 AND chunk % 5 = 0""")
 def _(t):
     """What is wrong with planted extractions of every chunk."""
-    c = chunks(t).filter(F.length(F.trim("body")) >= 20).select((F.col("doc_id") * 1000 + F.col("chunk_index")).alias("chunk"), F.col("body").alias("text"))
+    # Written, as each check reads the chunks several times, and would cut all documents again for each.
+    c = written(chunks(t).filter(F.length(F.trim("body")) >= 20).select((F.col("doc_id") * 1000 + F.col("chunk_index")).alias("chunk"), F.col("body").alias("text")), "chunks")
     n, surface = F.col("chunk"), F.substring(F.trim("text"), 1, 12)
     e1 = c.select("chunk", F.lit("e1").alias("key"), surface.alias("surface"))
     e2 = c.select("chunk", F.lit("e2").alias("key"), F.when(n % 5 == 0, "no such words here").otherwise(surface).alias("surface"))

@@ -75,3 +75,13 @@ def test_batches_are_worked_out_without_texts(spark, monkeypatch):
     got = packing.document_batches(spark.createDataFrame(docs, "k string, i int, b string"), ["k"], "i", "b", 20, 1)
     assert sorted((r["k"] or "", r["batch"], r["i"], r["text"]) for r in got.collect()) == [("", 0, 4, "\n"), ("s", 0, 1, "ab\r\ncd\x0bef"), ("s", 1, 2, "x" * 10), ("s", 2, 2, "xxx"), ("s", 2, 2, "x" * 10)]
     assert not {"_piece", "text", "b"} & set(seen)
+
+
+def test_chunks_are_cut_once(spark, sf, monkeypatch):
+    from gneiss.plans import rules
+    from gneiss.plans.registry import QUERIES
+
+    made, before = [], rules.written
+    monkeypatch.setattr(rules, "written", lambda df, name: made.append(name) or before(df, name))
+    QUERIES["gr_16b_problems"](spark, sf)
+    assert made == ["chunks"]
