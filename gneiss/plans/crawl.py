@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gneiss.plans.registry import Tables, query
-from gneiss.shared import scratch
+from gneiss.shared import scratch, spread
 from gneiss.streaming import jobs, queue
 
 SINCE = "2024-01-15 00:00:00"
+ALL_FILES = 2**31 - 1
 
 
 def _posts(t: Tables):
@@ -41,17 +42,17 @@ STR_3 = f"""WITH RECURSIVE e AS (SELECT user_id AS topic, epoch_us(ts) AS t_us,
 
 @query("str_3b_task_queue", STR_3)
 def _(t):
-    """The tasks of all events: found, failed and done; the events come in four slices of time, and the stream is stopped
-    and started again after the second."""
+    """The tasks of all events: found, failed and done; the events come in four slices of time, each of them a batch of
+    files that all tasks write, and the stream is stopped and started again after every slice."""
     kind = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "purchase", "ok").otherwise("discovered")
     at = F.col("ts").cast("timestamp")
     events = t.events.select(F.col("user_id").alias("topic"), at.alias("at"), F.unix_micros(at).alias("at_us"), "event_id", kind.alias("kind"), (F.col("event_id") % 10).cast("int").alias("priority"))
     ends = events.agg(F.min("at_us").alias("a"), F.max("at_us").alias("b")).first()
     folder, cuts = scratch(t.spark, "queue"), [ends["a"] + (ends["b"] - ends["a"]) * i // 4 for i in range(1, 4)]
     part = sum((F.col("at_us") > c).cast("int") for c in cuts)
-    for half in ((0, 1), (2, 3)):
-        for i in half:
-            events.filter(part == i).repartition(1).write.mode("append").parquet(f"{folder}/events")
-        stream = jobs.folder(t.spark, f"{folder}/events", "*.parquet", events.schema, 1)
+    for i in range(4):
+        spread(events.filter(part == i)).write.mode("append").parquet(f"{folder}/events")
+        # All files of a slice are one batch: in a batch of some of them the newest event would make others late.
+        stream = jobs.folder(t.spark, f"{folder}/events", "*.parquet", events.schema, ALL_FILES)
         changes = queue.queue_changes(stream, "1 minute", folder)
     return queue.tasks_at(changes)

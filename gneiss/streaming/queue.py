@@ -15,7 +15,11 @@ from gneiss.sources.pages import PostPages, write_pages
 
 #: First pause after a failure, and how many times as long the longest is, in seconds.
 PAUSE, LONGEST = 3600, 24
-_STATE = "status string, priority int, next_us long, attempts int"
+#: Lanes that topics are dealt to by their hash. A call of Python, its state and its timer cost some thousand times what an
+#: event does, and are paid for a lane, not for a topic. It must stay as it is for a state that is gone on with.
+LANES = 1024
+_FIELDS = ("status", "priority", "next_us", "attempts")
+_STATE = "topic long, status string, priority int, next_us long, attempts int"
 _CHANGE = "topic long, at_us long, event_id long, status string, priority int, next_us long, attempts int, cause string"
 _COLUMNS = ["topic", "at_us", "event_id", "status", "priority", "next_us", "attempts", "cause"]
 
@@ -78,42 +82,57 @@ def applied(state: dict | None, at_us: int, kind: str, priority: int) -> dict:
     return s
 
 
+def _changes(lane: int, out: list[tuple]) -> pd.DataFrame:
+    """Rows of changes; the topic of the lane below zero is null."""
+    rows = pd.DataFrame(out, columns=_COLUMNS)
+    return rows if lane >= 0 else rows.assign(topic=None)
+
+
+def _timer(tasks: dict) -> int | None:
+    """The first millisecond at which a pause of these tasks is over."""
+    return min((-(-s["next_us"] // 1000) for s in tasks.values() if s["status"] == "retry"), default=None)
+
+
 class TaskQueue(StatefulProcessor):
-    """Keyed by topic: rows (topic, at, at_us, event_id, kind, priority) change its state; a timer ends its pause. Each
-    change goes out with its cause."""
+    """Keyed by lane: rows (topic, at, at_us, event_id, kind, priority) change the states of its topics. A lane has one
+    timer, for the pause that is over first; when it goes off, all pauses end that are over by then. Each change goes out
+    with its cause."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.task = handle.getValueState("task", _STATE)
+        self.tasks = handle.getListState("tasks", _STATE)
 
-    def _now(self) -> dict | None:
-        if not self.task.exists():
-            return None
-        return dict(zip(("status", "priority", "next_us", "attempts"), self.task.get()))
+    def _now(self) -> dict:
+        return {topic: dict(zip(_FIELDS, s)) for topic, *s in self.tasks.get()}
 
-    def _kept(self, s: dict) -> None:
-        self.task.update((s["status"], s["priority"], s["next_us"], s["attempts"]))
+    def _kept(self, tasks: dict) -> None:
+        self.tasks.put([(topic, *s.values()) for topic, s in tasks.items()])
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
         events = pd.concat(list(rows)).sort_values(["at_us", "event_id"])
-        was, out = self._now(), []
-        state = was
-        for at, event, kind, priority in zip(*(events[c].tolist() for c in ("at_us", "event_id", "kind", "priority"))):
-            state = applied(state, at, kind, priority)
-            out.append((key[0], at, event, *state.values(), kind))
-        self._kept(state)
-        if was and was["status"] == "retry":
-            self.handle.deleteTimer(was["next_us"] // 1000)
-        if state["status"] == "retry":
-            self.handle.registerTimer(state["next_us"] // 1000)
-        yield pd.DataFrame(out, columns=_COLUMNS)
+        tasks, out = self._now(), []
+        was = _timer(tasks)
+        for topic, at, event, kind, priority in zip(*(events[c].tolist() for c in ("topic", "at_us", "event_id", "kind", "priority"))):
+            tasks[topic] = state = applied(tasks.get(topic), at, kind, priority)
+            out.append((topic, at, event, *state.values(), kind))
+        self._kept(tasks)
+        now = _timer(tasks)
+        if was is not None and was != now:
+            self.handle.deleteTimer(was)
+        if now is not None and was != now:
+            self.handle.registerTimer(now)
+        yield _changes(key[0], out)
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        s = self._now()
-        if s and s["status"] == "retry" and s["next_us"] // 1000 <= expiredTimerInfo.getExpiryTimeInMs():
-            s["status"] = "pending"
-            self._kept(s)
-            yield pd.DataFrame([(key[0], s["next_us"], -1, *s.values(), "due")], columns=_COLUMNS)
+        tasks, over = self._now(), max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()) * 1000
+        due = {topic: s for topic, s in tasks.items() if s["status"] == "retry" and s["next_us"] <= over}
+        if due:
+            for s in due.values():
+                s["status"] = "pending"
+            self._kept(tasks)
+            if (now := _timer(tasks)) is not None:
+                self.handle.registerTimer(now)
+            yield _changes(key[0], [(topic, s["next_us"], -1, *s.values(), "due") for topic, s in due.items()])
 
     def close(self) -> None:
         pass
@@ -124,18 +143,25 @@ def queue_changes(events: DataFrame, late: str, folder: str, name: str = "change
 
     Runs over what is there; the state and the offsets are kept in the folder, so a later run over a grown source goes
     on from there, and a batch that is repeated after a failure writes the same part files again. Events must not be
-    later than `late` behind the newest; those of a topic are applied in order within a batch.
+    later than `late` behind the newest; those of a topic are applied in order within a batch. Python holds a lane's tasks
+    and its events of a batch.
     """
     spark = events.sparkSession
     ship(spark)
-    store = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(store, None)
-    spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    # Rows hold no texts: more of them at once take little memory.
+    wanted = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.execution.arrow.maxRecordsPerBatch": "10000"}
+    before = {option: spark.conf.get(option, None) for option in wanted}
+    for option, value in wanted.items():
+        spark.conf.set(option, value)
     try:
-        changes = events.withWatermark("at", late).groupBy("topic").transformWithStateInPandas(statefulProcessor=TaskQueue(), outputStructType=StructType.fromDDL(_CHANGE), outputMode="Append", timeMode="EventTime")
+        lane = F.when(F.isnull("topic"), -1).otherwise(F.pmod(F.hash("topic"), F.lit(LANES)))
+        # A null among whole numbers would make floating-point ones of them in Python.
+        lanes = events.withWatermark("at", late).withColumn("lane", lane).fillna(0, ["topic"])
+        changes = lanes.groupBy("lane").transformWithStateInPandas(statefulProcessor=TaskQueue(), outputStructType=StructType.fromDDL(_CHANGE), outputMode="Append", timeMode="EventTime")
         changes.writeStream.format("parquet").option("path", f"{folder}/{name}").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     finally:
-        spark.conf.unset(store) if before is None else spark.conf.set(store, before)
+        for option, value in before.items():
+            spark.conf.unset(option) if value is None else spark.conf.set(option, value)
     return spark.read.schema(_CHANGE).parquet(f"{folder}/{name}")
 
 

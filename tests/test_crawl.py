@@ -2,8 +2,10 @@
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from gneiss.shared import scratch
 from gneiss.sources.pages import PageReader, write_pages
@@ -78,3 +80,63 @@ def test_timers_end_pauses_and_state_survives_a_stop(spark):
     got = {x["topic"]: {c: x[c] for c in ("status", "priority", "next_us", "attempts")} for x in queue.tasks_at(changes).collect()}
     assert got == states
     assert changes.filter("cause = 'due'").count() > 0 and changes.filter("cause <> 'due'").count() == len(rows)
+
+
+class Handle:
+    """What a lane's processor sees of its state: one list, and timers in milliseconds."""
+
+    def __init__(self):
+        self.rows, self.timers, self.puts = [], set(), 0
+
+    def getListState(self, *_):
+        return self
+
+    def get(self):
+        return iter(self.rows)
+
+    def put(self, rows):
+        self.rows, self.puts = rows, self.puts + 1
+
+    def registerTimer(self, ms):
+        self.timers.add(ms)
+
+    def deleteTimer(self, ms):
+        self.timers.remove(ms)
+
+
+def test_a_lane_is_one_call_one_state_and_one_timer():
+    handle, lane = Handle(), queue.TaskQueue()
+    lane.init(handle)
+
+    def fed(*rows):
+        return pd.concat(lane.handleInputRows((3,), iter([pd.DataFrame(rows, columns=["topic", "at_us", "event_id", "kind", "priority"])]), None))
+
+    hour = queue.PAUSE * 1000
+    out = fed((7, 500, 2, "failed", 1), (8, 100, 1, "discovered", 4), (9, 2_000_000, 3, "failed", 5))
+    assert out["topic"].tolist() == [8, 7, 9] and handle.puts == 1 and handle.timers == {hour + 1}  # 7's pause ends within that millisecond
+    fed((7, 3_000_000, 4, "ok", 1))
+    assert handle.timers == {hour + 2000}
+    clock = lambda ms: (TimerValues(0, ms), ExpiredTimerInfo(ms))
+    assert not list(lane.handleExpiredTimer((3,), *clock(hour + 1999)))
+    handle.timers.clear()  # Spark removes a timer that went off
+    fed((7, 4_000_500, 5, "failed", 1))
+    (due,) = lane.handleExpiredTimer((3,), *clock(hour + 2500))
+    assert due[["topic", "status", "cause"]].values.tolist() == [[9, "pending", "due"]] and handle.timers == {hour + 4001}
+    (due,) = lane.handleExpiredTimer((3,), *clock(hour + 4001))
+    assert due["topic"].tolist() == [7] and dict((t, s) for t, s, *_ in handle.rows) == {7: "pending", 8: "pending", 9: "pending"}
+
+
+def test_state_is_kept_by_lanes_not_by_topics(spark):
+    wide = 2**53 + 1  # not a floating-point number
+    topics = [None, 0, *range(wide, wide + 2500)]
+    rows = [(t, s * 10**6, 3 * i + s, ("discovered", "failed", "ok")[(i + s) % 3], i % 9) for i, t in enumerate(topics) for s in range(2)]
+    events = spark.createDataFrame(rows, "topic long, at_us long, event_id long, kind string, priority int").select("topic", F.timestamp_micros("at_us").alias("at"), "at_us", "event_id", "kind", "priority")
+    folder = scratch(spark, "queue")
+    events.write.parquet(f"{folder}/events")
+    changes = queue.queue_changes(jobs.folder(spark, f"{folder}/events", "*.parquet", events.schema), "1 minute", folder)
+    states = {}
+    for t, at, _, kind, p in rows:
+        states[t] = queue.applied(states.get(t), at, kind, p)
+    assert {x["topic"]: {c: x[c] for c in ("status", "priority", "next_us", "attempts")} for x in queue.tasks_at(changes).collect()} == states
+    kept = spark.read.format("statestore").option("path", f"{folder}/state").option("stateVarName", "tasks").load()
+    assert kept.select("key").distinct().count() <= queue.LANES + 1 and kept.select("list_element.topic").count() == len(topics)
