@@ -2,11 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from contextlib import contextmanager
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gneiss.shared import dropped, scratch, written
 
+#: Bytes that were written for a partition up to which a join may hash it.
+HASHED = "64m"
+
+
+@contextmanager
+def hashed(spark: SparkSession):
+    """Joins that run within it hash partitions that are all below HASHED instead of sorting both sides; larger ones are
+    sorted as ever, so what a task holds stays bounded."""
+    name = "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, HASHED)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
 
 def undirected(edges: DataFrame, a: str, b: str) -> DataFrame:
     """Both directions of every edge, without loops, once each."""
@@ -106,24 +125,76 @@ def k_core(edges: DataFrame, a: str, b: str, k: int) -> DataFrame:
         both = rest
 
 
+# Joins name the node first: a sort compares the first bytes of its first column at once, and all nodes of a graph have the
+# same graph.
+
+#: Share of a graph's edges whose ends both have the degree that its nodes are parted at.
+INNER = 0.2
+
+
+def _both(edges: DataFrame) -> DataFrame:
+    """(graph, a, b) in both directions."""
+    return edges.select("graph", "a", "b").unionByName(edges.select("graph", F.col("b").alias("a"), F.col("a").alias("b")))
+
+
 def core_numbers(edges: DataFrame, graph: str, a: str, b: str) -> DataFrame:
-    """(graph, node, core, degree): the greatest k for which a node is in its graph's k-core, parallel edges as one.
+    """(graph, node, core, degree): the greatest k for which a node is in its graph's k-core, parallel edges as one."""
+    ends = edges.select(F.col(graph).alias("graph"), F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).filter("a <> b")
+    return simple_core_numbers(written(ends.distinct(), "near"))
+
+
+def simple_core_numbers(near: DataFrame) -> DataFrame:
+    """core_numbers of a table near(graph, a, b) that has each two nodes once.
 
-    Every node starts at its degree and takes, round by round, the greatest h such that h of its neighbours have at
-    least h, until none moves: that is the core number, reached in far fewer rounds than peeling takes.
+    Each graph is parted at a degree t. Nodes of its t-core have core numbers of t or more, which edges within the t-core
+    decide alone; to the others, which stay below t, neighbours in the t-core count in full, whatever their numbers. So
+    only edges within and edges outside the t-core are gone over again, and t, of which the results do not depend, is a
+    degree that few edges reach at both ends: most nodes below it meet the t-core alone, and their degree is their number.
+    """
+    count = lambda df: df.groupBy("graph", F.col("a").alias("node")).agg(F.count("*").alias("_n"))
+    degree = written(count(_both(near)).withColumnRenamed("_n", "degree"), "degrees")
+    side = lambda end: degree.select("graph", F.col("node").alias(end), F.col("degree").alias(f"_{end}"))
+    with hashed(near.sparkSession):
+        ends = written(near.select("graph", "a", "b").join(side("a"), ["a", "graph"]).join(side("b"), ["b", "graph"]), "ends")
+    lesser = F.least("_a", "_b")
+    by = Window.partitionBy("graph")
+    reach = ends.groupBy("graph", lesser.alias("_t")).agg(F.count("*").alias("_n")).select("graph", "_t", F.sum("_n").over(by.orderBy(F.desc("_t"))).alias("_upto"), F.sum("_n").over(by).alias("_all"))
+    split = written(reach.filter(F.col("_upto") >= INNER * F.col("_all")).groupBy("graph").agg(F.max("_t").alias("_t")), "split")
+    marked = ends.join(split, "graph")
+    inner = written(marked.filter(lesser >= F.col("_t")).select("graph", "a", "b"), "inner")
+    while True:
+        few = written(count(_both(inner)).join(split, "graph").filter("_n < _t").select("graph", "node"), "few")
+        if few.isEmpty():
+            break
+        rest = written(inner.join(few.withColumnRenamed("node", "a"), ["a", "graph"], "left_anti").join(few.withColumnRenamed("node", "b"), ["b", "graph"], "left_anti").select("graph", "a", "b"), "inner")
+        dropped(inner)
+        inner = rest
+    held = written(count(_both(inner)).select("graph", "node", F.col("_n").alias("core"), F.lit(0).cast("long").alias("base")), "held")
+    fallen = written(degree.join(split, "graph").filter("degree >= _t").join(held, ["node", "graph"], "left_anti").select("graph", "node"), "fallen")
+    gone = lambda end: fallen.select("graph", F.col("node").alias(end), F.lit(True).alias(f"_out_{end}"))
+    below = lambda end: (F.col(f"_{end}") < F.col("_t")) | F.col(f"_out_{end}").isNotNull()
+    outer = written(marked.join(gone("a"), ["a", "graph"], "left").join(gone("b"), ["b", "graph"], "left").filter(below("a") & below("b")).select("graph", "a", "b"), "outer")
+    others = count(_both(outer)).join(degree, ["node", "graph"]).join(split, "graph").select("graph", "node", F.least("degree", F.col("_t") - 1).alias("core"), (F.col("degree") - F.col("_n")).alias("base"))
+    value = _settled(written(_both(inner.unionByName(outer)), "links"), written(held.unionByName(others), "cores"))
+    return degree.join(value.select("graph", "node", "core"), ["node", "graph"], "left").select("graph", "node", F.coalesce("core", "degree").alias("core"), "degree")
+
+
+def _settled(both: DataFrame, value: DataFrame) -> DataFrame:
+    """value(graph, node, core, base) brought down to core numbers, over both(graph, a, b).
+
+    Every node starts at a number not below its own and takes, round by round, the greatest h such that h of its
+    neighbours have at least h, until none moves: that is the core number, reached in far fewer rounds than peeling
+    takes. `base` neighbours that are not in the table have at least h always.
     """
-    ends = edges.select(F.col(graph).alias("graph"), F.col(a).alias("a"), F.col(b).alias("b")).filter("a <> b")
-    both = written(ends.unionByName(ends.select("graph", F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    value = written(both.groupBy("graph", "a").agg(F.count("*").alias("degree")).select("graph", F.col("a").alias("node"), F.col("degree").alias("core"), "degree"), "cores")
     while True:
-        near = both.join(value.select("graph", F.col("node").alias("b"), F.col("core").alias("_v")), ["graph", "b"])
+        near = both.join(value.select("graph", F.col("node").alias("b"), F.col("core").alias("_v")), ["b", "graph"])
         # Neighbours of one value are counted first; running counts from the greatest value down give h.
-        counted = near.groupBy("graph", "a", "_v").agg(F.count("*").alias("_n"))
-        upto = F.sum("_n").over(Window.partitionBy("graph", "a").orderBy(F.desc("_v")))
-        h = counted.withColumn("_h", F.least("_v", upto)).groupBy("graph", "a").agg(F.max("_h").alias("_h"))
-        step = written(value.join(h.withColumnRenamed("a", "node"), ["graph", "node"]).select("graph", "node", F.least("core", "_h").alias("core"), "degree", (F.col("_h") < F.col("core")).alias("moved")), "cores")
+        counted = near.groupBy("graph", "a", "_v").agg(F.count("*").alias("_n")).join(value.select("graph", F.col("node").alias("a"), "base"), ["a", "graph"])
+        upto = F.sum("_n").over(Window.partitionBy("a", "graph").orderBy(F.desc("_v"))) + F.col("base")
+        h = counted.withColumn("_h", F.greatest(F.least("_v", upto), "base")).groupBy("graph", "a").agg(F.max("_h").alias("_h"))
+        step = written(value.join(h.withColumnRenamed("a", "node"), ["node", "graph"]).select("graph", "node", F.least("core", "_h").alias("core"), "base", (F.col("_h") < F.col("core")).alias("moved")), "cores")
         dropped(value)
-        value = step.select("graph", "node", "core", "degree")
+        value = step.select("graph", "node", "core", "base")
         if step.filter("moved").isEmpty():
             return value
 
@@ -143,39 +214,42 @@ def connected_selection(edges: DataFrame, graph: str, a: str, b: str, weight: st
     spark = edges.sparkSession
     kinds = dict(edges.dtypes)
     near = written(parallel_by(edges, graph, a, b, weight), "near")
-    cores = core_numbers(near, "graph", "a", "b")
+    cores = written(simple_core_numbers(near), "numbers")
     both = near.unionByName(near.select("graph", F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
     info = cores.select("graph", F.col("node").alias("b"), "core", "degree")
     bucket = lambda node: F.pmod(F.xxhash64(node), F.lit(FOLDERS)).cast("int")
     path = scratch(spark, "display")
-    both.join(info, ["graph", "b"]).select("graph", "a", "b", "core", "degree", bucket("a").alias("_folder")).repartition("_folder").sortWithinPartitions("_folder", "a").write.partitionBy("_folder").parquet(path)
+    with hashed(spark):
+        both.join(info, ["b", "graph"]).select("graph", "a", "b", "core", "degree", bucket("a").alias("_folder")).repartition("_folder").sortWithinPartitions("_folder", "a").write.partitionBy("_folder").parquet(path)
     kind = ", ".join(f"{c} {k}" for c, k in (("graph", kinds[graph]), ("a", kinds[a]), ("b", kinds[b]), ("core", "long"), ("degree", "long"), ("_folder", "int")))
     table = spark.read.schema(kind).parquet(path)
     rank = lambda node: F.struct((-F.col("core")).alias("c"), (-F.col("degree")).alias("d"), F.col(node).alias("node"))
     schema = f"graph {kinds[graph]}, a {kinds[a]}, step int"
+    # A local table, which needs no job to be read.
+    local = lambda rows, kind: spark.createDataFrame(pa.table({c: list(v) for c, v in zip(("graph", "a", "step"), zip(*rows))}), kind)
     kept = [(r["graph"], r["s"]["node"], 0) for r in cores.groupBy("graph").agg(F.min(rank("node")).alias("s")).collect()]
     fresh, touched = [(g, n) for g, n, _ in kept], scratch(spark, "touched")
     for step in range(1, nodes):
         if not fresh:
             break
-        new = spark.createDataFrame(fresh, f"graph {kinds[graph]}, a {kinds[a]}")
-        folders = [r[0] for r in new.select(bucket("a")).distinct().collect()]
-        mine = table.filter(F.col("_folder").isin(folders) & F.col("a").isin([n for _, n in fresh])).join(F.broadcast(new), ["graph", "a"], "left_semi").drop("_folder")
+        new = local(fresh, f"graph {kinds[graph]}, a {kinds[a]}")
+        folders = list({r[0] for r in new.select(bucket("a")).collect()})
+        mine = table.filter(F.col("_folder").isin(folders) & F.col("a").isin([n for _, n in fresh])).join(F.broadcast(new), ["a", "graph"], "left_semi").drop("_folder")
         mine.write.mode("append").parquet(touched)
-        have = F.broadcast(spark.createDataFrame(kept, schema))
+        have = F.broadcast(local(kept, schema))
         border = spark.read.schema(mine.schema).parquet(touched).groupBy("graph", "b", "core", "degree").agg(F.count("*").alias("n"))
-        border = border.join(have.select("graph", F.col("a").alias("b")), ["graph", "b"], "left_anti")
+        border = border.join(have.select("graph", F.col("a").alias("b")), ["b", "graph"], "left_anti")
         best = border.groupBy("graph").agg(F.min(F.struct((-F.col("n")).alias("n"), rank("b").alias("r"))).alias("s")).collect()
         fresh = [(r["graph"], r["s"]["r"]["node"]) for r in best]
         kept += [(g, n, step) for g, n in fresh]
     chosen = F.broadcast(spark.createDataFrame(kept, schema))
     core = cores.select("graph", "node", "core")
     side = lambda end: chosen.select("graph", F.col("a").alias(end), F.col("step").alias(f"_{end}"))
-    held = near.join(side("a"), ["graph", "a"]).join(side("b"), ["graph", "b"])
-    held = held.join(core.select("graph", F.col("node").alias("a"), F.col("core").alias("_ca")), ["graph", "a"]).join(core.select("graph", F.col("node").alias("b"), F.col("core").alias("_cb")), ["graph", "b"])
+    held = near.join(side("a"), ["a", "graph"]).join(side("b"), ["b", "graph"])
+    held = held.join(core.select("graph", F.col("node").alias("a"), F.col("core").alias("_ca")), ["a", "graph"]).join(core.select("graph", F.col("node").alias("b"), F.col("core").alias("_cb")), ["b", "graph"])
     held = held.withColumn("_new", F.greatest("_a", "_b")).withColumn("_low", F.least("_ca", "_cb"))
     # The tree has each node's strongest edge to those chosen before it; a graph's chosen edges are some thousands.
-    tree = F.row_number().over(Window.partitionBy("graph", "_new").orderBy(F.desc("weight"), F.desc("a"), F.desc("b"))) == 1
+    tree = F.row_number().over(Window.partitionBy("_new", "graph").orderBy(F.desc("weight"), F.desc("a"), F.desc("b"))) == 1
     marked = held.withColumn("_tree", tree)
     place = F.row_number().over(Window.partitionBy("graph").orderBy(F.desc("_tree"), F.desc("_low"), F.desc("weight"), "a", "b"))
     out = marked.withColumn("_place", place).filter(F.col("_tree") | (F.col("_place") <= links))

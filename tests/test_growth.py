@@ -85,3 +85,49 @@ def test_chunks_are_cut_once(spark, sf, monkeypatch):
     monkeypatch.setattr(rules, "written", lambda df, name: made.append(name) or before(df, name))
     QUERIES["gr_16b_problems"](spark, sf)
     assert made == ["chunks"]
+
+
+def peeled(edges):
+    """{(graph, node): core} by taking away the node of least degree, again and again."""
+    core = {}
+    for g in {e[0] for e in edges}:
+        near = {}
+        for _, a, b in (e for e in edges if e[0] == g and e[1] != e[2]):
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+        k = 0
+        while near:
+            n = min(near, key=lambda n: len(near[n]))
+            k = max(k, len(near[n]))
+            core[g, n] = k
+            for m in near.pop(n):
+                near[m].discard(n)
+    return core
+
+
+def test_core_numbers_go_over_few_edges_again(spark, monkeypatch):
+    import random
+
+    from gneiss.operators import graph
+
+    links, before = [], graph.written
+
+    def written(df, name):
+        made = before(df, name)
+        if name == "links":
+            links.append(made.count())
+        return made
+
+    monkeypatch.setattr(graph, "written", written)
+    dice = random.Random(4)
+    # Few nodes of many edges and many nodes of few; a clique with a tail; a ring; loops and repeated edges.
+    edges = [("a", f"s{dice.randrange(20)}", f"p{dice.randrange(300)}") for _ in range(1500)]
+    edges += [("b", f"n{i}", f"n{j}") for i in range(9) for j in range(i)] + [("b", f"n{i}", f"n{i + 1}") for i in range(8, 30)] + [("b", "n3", "n3"), ("b", "n2", "n3")]
+    edges += [("c", f"r{i}", f"r{(i + 1) % 12}") for i in range(12)]
+    table, want = spark.createDataFrame(edges, "g string, a string, b string"), peeled(edges)
+    for inner in (0.01, graph.INNER):
+        monkeypatch.setattr(graph, "INNER", inner)
+        found = graph.core_numbers(table, "g", "a", "b").collect()
+        assert {(r["graph"], r["node"]): r["core"] for r in found} == want and len(found) == len(want)
+    # In both directions: of the first graph's edges a part, where all of them were gone over before.
+    assert links[1] < len(set(edges))
